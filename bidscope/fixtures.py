@@ -46,16 +46,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+
+
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``NOTICES_SQL`` in the DataFrame API.
+    """``NOTICES_SQL`` in the DataFrame API."""
+    orders = read_table(spark, sf_dir, "orders").select(*ORDER_COLUMNS)
+    return notices_from_orders(spark, sf_dir, orders)
+
+
+def notices_from_orders(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
+    """Notices for a batch *or streaming* ``orders`` frame.
 
     ``orders`` (the large side) joins ``customer`` on its key, a shuffle join
     that AQE may turn into a broadcast at run time and splits when one
     customer holds a large share of orders; ``nation`` is broadcast after a
     bounded row-count check.
     """
-    o = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    o = orders
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.dates import force_date, last_week, resolve_today, this_week
 from ..functions.text import col_ref
-from .project import DATE_COLUMNS
+from .project import DATE_COLUMNS, DERIVED, is_derived
 
 # The operator vocabulary of a plan.
 OPERATORS = ("equals", "in", "contains", "between", "next_days", "today", "tomorrow",
@@ -49,8 +49,20 @@ def _typed_literal(value, dt: T.DataType) -> Column:
     return F.lit(value).try_cast(dt)
 
 
-def _date_range(c: Column, lo: _dt.date, hi: _dt.date) -> Column:
-    return c.isNotNull() & (c >= F.lit(lo)) & (c <= F.lit(hi))
+def _date_range(c: Column, lo, hi, derived: bool = False) -> Column:
+    """Inclusive range; NULL never matches.
+
+    On a stored DATE column the two comparisons reach the parquet scan as
+    pushed filters.  On a parsed (derived) date Catalyst would copy the whole
+    parse into each comparison, so the test references it once:
+    ``|2 * (d - lo) - (hi - lo)| <= hi - lo``.
+    """
+    lo_c = lo if isinstance(lo, Column) else F.lit(lo)
+    hi_c = hi if isinstance(hi, Column) else F.lit(hi)
+    if not derived:
+        return (c >= lo_c) & (c <= hi_c)
+    width = F.datediff(hi_c, lo_c)
+    return F.abs(F.datediff(c, lo_c) * 2 - width) <= width
 
 
 def filter_predicate(df: DataFrame, f: Mapping, today: _dt.date, strict: bool = False,
@@ -64,8 +76,9 @@ def filter_predicate(df: DataFrame, f: Mapping, today: _dt.date, strict: bool =
         return _skip(f"filter column {name!r} not in the table", strict, notes)
     dt = df.schema[name].dataType
     c = col_ref(name)
+    derived = is_derived(df, name)
     if name in DATE_COLUMNS and not _is_datelike(dt):   # F14
-        c, dt = force_date(c, dt), T.DateType()
+        c, dt, derived = force_date(c, dt), T.DateType(), True
 
     if op == "in":                                       # F1 (+Q15, Q19)
         values = list(val) if isinstance(val, (list, tuple, set)) else [val]
@@ -91,15 +104,15 @@ def filter_predicate(df: DataFrame, f: Mapping, today: _dt.date, strict: bool =
     if op == "between":                                  # F4 (+Q17)
         if not isinstance(val, (list, tuple)) or len(val) < 2:
             return _skip(f"between on {name!r} without two bounds", strict, notes)
-        lo = force_date(F.lit(None if val[0] is None else str(val[0])))
-        hi = force_date(F.lit(None if val[1] is None else str(val[1])))
-        return d.isNotNull() & (d >= lo) & (d <= hi)
+        lo = _typed_literal(val[0], T.DateType())
+        hi = _typed_literal(val[1], T.DateType())
+        return _date_range(d, lo, hi, derived)
     if op == "next_days":                                # F5
         try:
             n = int(val)
         except (TypeError, ValueError) as e:
             raise FilterError(f"next_days on {name!r} needs an integer, got {val!r}") from e
-        return _date_range(d, today, today + _dt.timedelta(days=n))
+        return _date_range(d, today, today + _dt.timedelta(days=n), derived)
     if op == "today":                                    # F6
         return d == F.lit(today)
     if op == "tomorrow":                                 # F7
@@ -107,11 +120,11 @@ def filter_predicate(df: DataFrame, f: Mapping, today: _dt.date, strict: bool =
     if op == "yesterday":                                # F8
         return d == F.lit(today - _dt.timedelta(days=1))
     if op == "this_week":                                # F9
-        return _date_range(d, *this_week(today))
+        return _date_range(d, *this_week(today), derived)
     if op == "last_week":                                # F10
-        return _date_range(d, *last_week(today))
+        return _date_range(d, *last_week(today), derived)
     # last_7_days, F11: eight calendar days, today included
-    return _date_range(d, today - _dt.timedelta(days=7), today)
+    return _date_range(d, today - _dt.timedelta(days=7), today, derived)
 
 
 def _skip(msg: str, strict: bool, notes: list[str] | None):
@@ -151,5 +164,6 @@ def _recoerce_dates(df: DataFrame, filters) -> DataFrame:
         if name in names and name in df.columns:
             dt = df.schema[name].dataType
             if not _is_datelike(dt):
-                df = df.withColumn(name, force_date(col_ref(name), dt))
+                df = df.withColumn(name, force_date(col_ref(name), dt).alias(
+                    name, metadata={DERIVED: True}))
     return df

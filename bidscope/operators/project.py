@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.classify import NO_SET_ASIDE, SET_ASIDE_OUT, TYPE_OUT
 from ..functions.dates import force_date
@@ -105,14 +106,24 @@ def drop_no_set_aside(df: DataFrame, col: str = SET_ASIDE_OUT) -> DataFrame:
     """keep rows whose bucket is set and is not ``NO SET-ASIDE``."""
     if col not in df.columns:
         return df
-    b = col_ref(col)
-    return df.where(b.isNotNull() & (b != F.lit(NO_SET_ASIDE)))
+    # One reference to the bucket expression: Catalyst inlines it into the
+    # filter, and ``NULL -> NO SET-ASIDE`` covers both exclusions at once.
+    return df.where(F.coalesce(col_ref(col), F.lit(NO_SET_ASIDE)) != F.lit(NO_SET_ASIDE))
+
+
+# Column metadata key marking a canonical column computed from other columns
+# (e.g. a date parsed from text): filters then avoid repeating the expression.
+DERIVED = "bidscope.derived"
+
+
+def is_derived(df: DataFrame, name: str) -> bool:
+    return bool(df.schema[name].metadata.get(DERIVED))
 
 
 def canonical_columns(df: DataFrame, resolved: Mapping[str, str | None],
                       include_naics: bool = False) -> list[tuple[str, Column]]:
     """P5: ``(name, expression)`` pairs in canonical order, skipping absent
-    targets."""
+    targets.  Parsed dates carry the ``DERIVED`` metadata flag."""
     types = {f.name: f.dataType for f in df.schema.fields}
     cols: list[tuple[str, Column]] = []
 
@@ -124,7 +135,11 @@ def canonical_columns(df: DataFrame, resolved: Mapping[str, str | None],
             cols.append((TARGETS[key], col_ref(src(key))))
     for key in ("solicitation_date", "due_date"):
         if src(key):
-            cols.append((TARGETS[key], force_date(col_ref(src(key)), types[src(key)])))
+            dt = types[src(key)]
+            expr = force_date(col_ref(src(key)), dt)
+            if not isinstance(dt, T.DateType):
+                expr = expr.alias(TARGETS[key], metadata={DERIVED: True})
+            cols.append((TARGETS[key], expr))
     if TYPE_OUT in types:
         cols.append((OPPORTUNITY_TYPE, col_ref(TYPE_OUT)))
     if SET_ASIDE_OUT in types:
@@ -165,10 +180,10 @@ def select_output_columns(df: DataFrame, wanted: Sequence[str] | None,
             raw_to_canon[raw] = SOURCE_TARGETS.get(key)
     chosen: list[Column] = []
     for name in wanted:
-        if name in df.columns:
-            chosen.append(col_ref(name))
-        elif raw_to_canon.get(name) in df.columns:
+        if raw_to_canon.get(name) in df.columns:
             chosen.append(col_ref(raw_to_canon[name]))
+        elif name in df.columns:
+            chosen.append(col_ref(name))
         elif notes is not None:
             notes.append(f"output column {name!r} not available: skipped")
     return df.select(*chosen) if chosen else df

@@ -71,15 +71,18 @@ def run_plan(df: DataFrame, plan, today=None, tz: str = DEFAULT_TZ, strict: bool
     day = resolve_today(today, tz)
     hidden = [ROW_ID] if ROW_ID in df.columns else []
     ties = list(tie_break) if tie_break is not None else hidden
-    raw_wanted = [c for c in (plan.output_columns or []) if c in df.columns]
+    resolved = resolve_columns(df.columns, plan.columns)
+    resolved["opportunity_type_column"] = (plan.columns.get("opportunity_type_column")
+                                           or DEFAULT_TYPE_COLUMN)
+    resolved["set_aside_column"] = plan.columns.get("set_aside_column") or DEFAULT_SET_ASIDE_COLUMN
+    sources = {v for v in resolved.values() if v}
+    # Raw columns a user asks for that feed no canonical column ride along.
+    raw_wanted = [c for c in (plan.output_columns or []) if c in df.columns and c not in sources]
     carry = [c for c in [*ties, *raw_wanted] if c not in CANONICAL_ORDER]
     staged = stage(df, plan, match, parity, carry, notes)
     filtered = apply_filters(staged, plan.filters, day, tz, strict, regex_contains, notes)
     ordered = canonical_sort(filtered, ties) if sort else filtered
     if plan.output_columns:
-        resolved = resolve_columns(df.columns, plan.columns)
-        resolved["opportunity_type_column"] = plan.columns.get("opportunity_type_column") or DEFAULT_TYPE_COLUMN
-        resolved["set_aside_column"] = plan.columns.get("set_aside_column") or DEFAULT_SET_ASIDE_COLUMN
         return select_output_columns(ordered, plan.output_columns, resolved, notes)
     drop = [c for c in carry if c in ordered.columns]
     return ordered.drop(*drop) if drop else ordered
