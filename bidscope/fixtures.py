@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.sizing import broadcast_if_bounded
+from .operators.sizing import broadcast_if_bounded, spread
 
 NOTICE_COLUMNS = ("SolicitationNumber", "Title", "Agency", "PostedDate", "ResponseDeadLine",
                   "Type", "TypeOfSetAsideDescription", "UiLink", "NaicsCode")
@@ -49,10 +49,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
 
 
+_BUILT: dict[tuple[int, str], DataFrame] = {}
+
+
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``NOTICES_SQL`` in the DataFrame API."""
-    orders = read_table(spark, sf_dir, "orders").select(*ORDER_COLUMNS)
-    return notices_from_orders(spark, sf_dir, orders)
+    """``NOTICES_SQL`` in the DataFrame API.
+
+    The lazy frame is built once per session and folder (footers read, size
+    check done) and reused by every query; no data is cached.
+    """
+    key = (id(spark), sf_dir.rstrip("/"))
+    if key not in _BUILT:
+        orders = spread(read_table(spark, sf_dir, "orders").select(*ORDER_COLUMNS))
+        _BUILT[key] = notices_from_orders(spark, sf_dir, orders)
+    return _BUILT[key]
 
 
 def notices_from_orders(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:

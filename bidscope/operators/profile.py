@@ -61,42 +61,46 @@ def _value_text(c: Column, dt: T.DataType) -> Column:
     return c.cast("string")
 
 
-def _prune_partition(n: int, ncols: int, ordered: bool):
-    """Per-partition candidates: for each column, the ``n`` distinct values
-    with the smallest order key seen in this partition."""
+def _prune_partition(n: int, ncols: int, key_type: pa.DataType):
+    """Per-partition candidates.  Rows arrive in ascending key order, so a
+    value's first occurrence carries its smallest key in this partition and
+    the first ``n`` distinct values of a column are its local top ``n``; a
+    column is done (and never converted again) once it has ``n`` values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pandas as pd
-        best: list[pd.Series | None] = [None] * ncols  # value -> min key
+        found: list[dict] = [dict() for _ in range(ncols)]  # value -> first key
+        open_cols = set(range(ncols))
         for batch in batches:
-            pdf = batch.to_pandas()
-            key = pdf["_k"]
-            for i in range(ncols):
-                cur = best[i]
-                if ordered and cur is not None and len(cur) >= n:
-                    continue  # keys only grow inside the partition
-                vals = pdf[f"c{i}"]
-                mask = vals.notna()
+            if not open_cols:
+                continue
+            keys = None
+            for i in sorted(open_cols):
+                vals = batch.column(i + 1).to_pandas()
+                mask = vals.notna().to_numpy()
                 if not mask.any():
                     continue
-                if ordered:
-                    first = pd.Series(key[mask].values, index=vals[mask].values)
-                    first = first[~first.index.duplicated(keep="first")]
-                else:
-                    first = key[mask].groupby(vals[mask].values, sort=False).min()
-                merged = first if cur is None else pd.concat([cur, first])
-                merged = merged.groupby(level=0, sort=False).min()
-                best[i] = merged.sort_values(kind="stable").iloc[:n]
-        names, values, keys = [], [], []
-        for i, s in enumerate(best):
-            if s is None:
-                continue
-            names.extend([i] * len(s))
-            values.extend(s.index.tolist())
-            keys.extend(s.tolist())
+                if keys is None:
+                    keys = batch.column(0).to_pandas()
+                firsts = pd.Series(keys.to_numpy()[mask], index=vals.to_numpy()[mask])
+                firsts = firsts[~firsts.index.duplicated(keep="first")]
+                seen = found[i]
+                for v, k in firsts.items():
+                    if v not in seen:
+                        seen[v] = k
+                        if len(seen) >= n:
+                            break
+                if len(seen) >= n:
+                    open_cols.discard(i)
+        names, values, keys_out = [], [], []
+        for i, seen in enumerate(found):
+            for v, k in seen.items():
+                names.append(i)
+                values.append(v)
+                keys_out.append(k)
         yield pa.RecordBatch.from_pydict({"col": pa.array(names, pa.int32()),
                                           "value": pa.array(values, pa.string()),
-                                          "_k": keys})
+                                          "_k": pa.array(keys_out, key_type)})
 
     return run
 
@@ -106,10 +110,13 @@ def first_distinct_values(df: DataFrame, n: int = EXAMPLES_PER_COLUMN,
     """``name, example_rank, example_value`` -- the first ``n``
     distinct non-null values of each column, in order of first appearance.
 
-    Order of appearance is the caller's ``order_by`` key, else the scan order
-    (``monotonically_increasing_id``).  Losslessness of the prune: a value's
-    rank inside one partition never exceeds its global rank.
+    Order of appearance is the caller's ``order_by`` key (a unique row
+    order; each partition is sorted by it in the JVM first), else the scan
+    order (``monotonically_increasing_id``, already ascending).
+    Losslessness of the prune: a value's rank inside one partition never
+    exceeds its global rank, so the global top ``n`` survive.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
     fields = df.schema.fields
     if order_by:
         key = col_ref(order_by)
@@ -120,10 +127,12 @@ def first_distinct_values(df: DataFrame, n: int = EXAMPLES_PER_COLUMN,
     texts = df.select(key.alias("_k"),
                       *[_value_text(col_ref(f.name), f.dataType).alias(f"c{i}")
                         for i, f in enumerate(fields)])
+    if order_by:
+        texts = texts.where(F.col("_k").isNotNull()).sortWithinPartitions("_k")
     out_schema = T.StructType([T.StructField("col", T.IntegerType()),
                                T.StructField("value", T.StringType()),
                                T.StructField("_k", key_type)])
-    pruned = texts.mapInArrow(_prune_partition(n, len(fields), ordered=order_by is None),
+    pruned = texts.mapInArrow(_prune_partition(n, len(fields), to_arrow_type(key_type)),
                               out_schema)
     firsts = pruned.groupBy("col", "value").agg(F.min("_k").alias("_k"))
     w = Window.partitionBy("col").orderBy(F.col("_k").asc(), F.col("value").asc())

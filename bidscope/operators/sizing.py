@@ -26,6 +26,20 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS)
     return F.broadcast(df) if row_count_at_most(df, max_rows) else df
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a frame that has fewer partitions than the cluster has
+    task slots (one unsplittable file, one parquet row group), so per-row
+    work after the scan uses every core.  A large input already has many
+    partitions and is returned untouched; streams are left alone.
+    """
+    if df.isStreaming:
+        return df
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
+
+
 def materialize(df: DataFrame, kind: str = "stage") -> DataFrame:
     """Cut lineage by writing ``df`` as parquet under ``spark.checkpoint.dir``.
 

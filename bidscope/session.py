@@ -22,6 +22,10 @@ ENGINE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Classification and date parsing fuse into long generated methods; past
+    # HotSpot's 8000-byte limit they would never be JIT-compiled, so such a
+    # subtree falls back to per-operator codegen instead (Spark's own advice).
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -35,6 +39,7 @@ def build_session(master: str | None = None, app_name: str = "bidscope",
     conf = dict(ENGINE_CONF)
     conf.update({
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.driver.memory": os.environ.get("BIDSCOPE_DRIVER_MEMORY", "16g"),
     })
