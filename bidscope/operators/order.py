@@ -33,10 +33,22 @@ def canonical_sort_keys(df: DataFrame, tie_break: Sequence[str] | None = None) -
     return keys
 
 
+def global_sort(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
+    """``orderBy`` behind a rebalance exchange.
+
+    A range-partitioned sort samples its input to pick bounds, and that
+    sample job re-runs the input's whole lineage (scan, classification,
+    date parsing).  Behind a ``rebalance`` exchange the sample reads the
+    materialised shuffle of the (usually filtered) rows instead, and AQE
+    sizes those partitions.
+    """
+    return df.hint("rebalance").orderBy(*keys)
+
+
 def canonical_sort(df: DataFrame, tie_break: Sequence[str] | None = None) -> DataFrame:
     """O1 (O2 when there is no date column); identity without a type column."""
     keys = canonical_sort_keys(df, tie_break)
-    return df.orderBy(*keys) if keys else df
+    return global_sort(df, keys) if keys else df
 
 
 def preview(df: DataFrame, n: int = 20, order_by: Sequence[str] | None = None) -> DataFrame:
@@ -65,7 +77,7 @@ def with_positions(df: DataFrame, keys: Sequence[Column], name: str = "output_po
     table has one row per partition, so broadcasting it is bounded.
     """
     shared_dir(df.sparkSession)
-    ordered = df.orderBy(*keys).checkpoint(eager=True)
+    ordered = global_sort(df, keys).checkpoint(eager=True)
     tagged = (ordered.withColumn("_pid", F.spark_partition_id())
                      .withColumn("_mid", F.monotonically_increasing_id()))
     tagged = tagged.withColumn("_idx", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))

@@ -17,7 +17,7 @@ from ..functions.classify import (DEFAULT_SET_ASIDE_COLUMN, DEFAULT_TYPE_COLUMN,
                                   normalize_opportunity_type, normalize_set_aside)
 from ..functions.dates import DEFAULT_TZ, resolve_today
 from ..operators.filters import apply_filters, combined_predicate
-from ..operators.order import ROW_ID, canonical_sort, canonical_sort_keys
+from ..operators.order import ROW_ID, canonical_sort, canonical_sort_keys, global_sort
 from ..operators.project import (CANONICAL_ORDER, NAICS, project_canonical, resolve_columns,
                                  select_output_columns)
 from .plan import Plan
@@ -126,5 +126,5 @@ def run_saved_plans(df: DataFrame, plans: Mapping[str, object], today=None,
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     if sort:
-        out = out.orderBy(F.col(PLAN_ID), *canonical_sort_keys(out, ties))
+        out = global_sort(out, [F.col(PLAN_ID), *canonical_sort_keys(out, ties)])
     return out.drop(*carry) if carry else out
