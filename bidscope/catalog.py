@@ -240,6 +240,22 @@ def l4_saved_plans(spark, sf_dir):
                                          tie_break=TIE))
 
 
+INGESTED_PLAN = {"filters": [
+    {"column": "Normalized Set Aside", "operator": "in", "value": ["SDVOSB", "WOSB"]},
+    {"column": "Solicitation Date", "operator": "between", "value": ["1998-01-15", "1998-03-10"]},
+    {"column": "Due Date", "operator": "last_7_days"}]}
+
+
+def i1_ingested_plan(spark, sf_dir):
+    """Ingest once (typed dates, stored buckets, month partitions), then a
+    plan that prunes months and pushes the due-date range into the scan."""
+    from .plans.ingest import ingest, run_plan_ingested
+    path = scratch_path(spark, "ingest")
+    ingest(notices(spark, sf_dir), path)
+    return dates_as_text(run_plan_ingested(spark, path, INGESTED_PLAN, today=TODAY,
+                                           tie_break=TIE))
+
+
 def k1_csv_round_trip(spark, sf_dir):
     """K1 then S1/S5: the notices written as CSV and read back.  NA
     spellings come back as NULL, as a CSV reader with pandas defaults does."""
@@ -306,6 +322,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "a4_agency_type_rollup": a4_agency_type_rollup,
     "l3_run_plan": l3_run_plan,
     "l4_saved_plans": l4_saved_plans,
+    "i1_ingested_plan": i1_ingested_plan,
     "k1_csv_round_trip": k1_csv_round_trip,
     "k2_workbook_round_trip": k2_workbook_round_trip,
     "st_stream_plan": st_stream_plan,
@@ -477,6 +494,9 @@ def oracle_sql() -> dict[str, str]:
         "a4_agency_type_rollup": _sql_rollup(),
         "l3_run_plan": _final_sql(FILTER_SQL["f1_in"] + " AND " + FILTER_SQL["f5_next_days"]),
         "l4_saved_plans": _sql_saved_plans(),
+        "i1_ingested_plan": _final_sql(
+            "\"Normalized Set Aside\" IN ('SDVOSB', 'WOSB') AND \"Solicitation Date\" BETWEEN "
+            "DATE '1998-01-15' AND DATE '1998-03-10' AND " + FILTER_SQL["f11_last_7_days"]),
         "k1_csv_round_trip": _sql_csv_round_trip(),
         "k2_workbook_round_trip": _sql_workbook_round_trip(),
         "st_stream_plan": _final_sql(FILTER_SQL["f1_in"] + " AND " + FILTER_SQL["f5_next_days"]),

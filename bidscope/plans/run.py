@@ -13,8 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.classify import (DEFAULT_SET_ASIDE_COLUMN, DEFAULT_TYPE_COLUMN,
-                                  normalize_opportunity_type, normalize_set_aside)
+from ..functions.classify import (DEFAULT_SET_ASIDE_COLUMN, DEFAULT_TYPE_COLUMN, SET_ASIDE_OUT,
+                                  TYPE_OUT, normalize_opportunity_type, normalize_set_aside)
 from ..functions.dates import DEFAULT_TZ, resolve_today
 from ..operators.filters import apply_filters, combined_predicate
 from ..operators.order import ROW_ID, canonical_sort, canonical_sort_keys, global_sort
@@ -44,16 +44,19 @@ def normalize(df: DataFrame, plan: Plan, match: str = "first",
 
 
 def stage(df: DataFrame, plan: Plan, match: str = "first", parity: bool = False,
-          carry: Sequence[str] = (), notes: list[str] | None = None) -> DataFrame:
+          carry: Sequence[str] = (), notes: list[str] | None = None,
+          reuse_buckets: bool = False) -> DataFrame:
     """Normalised, F0-dropped, canonical (unfiltered, unsorted) table.
 
     Q12: a plan asking for ``NO SET-ASIDE`` rows turns the drop off unless
-    ``parity`` keeps the reference's always-empty answer.
+    ``parity`` keeps the reference's always-empty answer.  ``reuse_buckets``
+    keeps bucket columns an ingest already computed.
     """
     drop = parity or not plan.asks_for_no_set_aside()
     if not drop and notes is not None:
         notes.append("plan asks for NO SET-ASIDE: no-set-aside drop turned off")
-    normalized = normalize(df, plan, match, notes)
+    stored = SET_ASIDE_OUT in df.columns and TYPE_OUT in df.columns
+    normalized = df if (reuse_buckets and stored) else normalize(df, plan, match, notes)
     return project_canonical(normalized, plan.columns, drop_no_set_aside_rows=drop,
                              include_naics=plan.mentions(NAICS), carry=carry, notes=notes)
 
@@ -61,7 +64,7 @@ def stage(df: DataFrame, plan: Plan, match: str = "first", parity: bool = False,
 def run_plan(df: DataFrame, plan, today=None, tz: str = DEFAULT_TZ, strict: bool = False,
              match: str = "first", parity: bool = False, tie_break: Sequence[str] | None = None,
              sort: bool = True, regex_contains: bool = False,
-             notes: list[str] | None = None) -> DataFrame:
+             notes: list[str] | None = None, reuse_buckets: bool = False) -> DataFrame:
     """L3: the reference's request pipeline as one lazy DataFrame.
 
     ``today`` (a date or ISO text) fixes the calendar for repeatable runs;
@@ -79,7 +82,7 @@ def run_plan(df: DataFrame, plan, today=None, tz: str = DEFAULT_TZ, strict: bool
     # Raw columns a user asks for that feed no canonical column ride along.
     raw_wanted = [c for c in (plan.output_columns or []) if c in df.columns and c not in sources]
     carry = [c for c in [*ties, *raw_wanted] if c not in CANONICAL_ORDER]
-    staged = stage(df, plan, match, parity, carry, notes)
+    staged = stage(df, plan, match, parity, carry, notes, reuse_buckets)
     filtered = apply_filters(staged, plan.filters, day, tz, strict, regex_contains, notes)
     ordered = canonical_sort(filtered, ties) if sort else filtered
     if plan.output_columns:

@@ -72,3 +72,25 @@ def test_typed_dates_push_down(spark):
     text = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(DueDate), GreaterThanOrEqual(DueDate" in text
     assert df.count() == 1
+
+
+def test_ingest_then_query_prunes_and_matches(spark):
+    from bidscope.plans.ingest import ingest, run_plan_ingested, solicitation_months
+    from bidscope.plans.plan import Plan
+    path = os.path.join(tempfile.mkdtemp(), "ingested")
+    n = notices(spark, SF001)
+    assert ingest(n, path) == 1500
+    plan = {"filters": [
+        {"column": "Normalized Set Aside", "operator": "in", "value": ["SDVOSB", "WOSB"]},
+        {"column": "Solicitation Date", "operator": "between", "value": ["1998-01-15", "1998-03-10"]}]}
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    got = run_plan_ingested(spark, path, plan, today="1998-02-04")
+    want = run_plan(n, plan, today="1998-02-04")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(posted_month" in text
+    assert "GreaterThanOrEqual(PostedDate,1998-01-15)" in text
+    custom = dict(plan, set_aside_patterns={"8(A)": ["8(a)"]})
+    got2 = run_plan_ingested(spark, path, custom, today="1998-02-04")
+    assert got2.count() == run_plan(n, custom, today="1998-02-04").count()
+    assert solicitation_months(Plan.from_dict(plan), dt.date(1998, 2, 4)) == ("1998-01", "1998-03")
