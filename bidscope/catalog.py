@@ -44,9 +44,10 @@ def dates_as_text(df: DataFrame) -> DataFrame:
                         else col_ref(f.name)).alias(f.name) for f in df.schema.fields])
 
 
-def final(spark: SparkSession, sf_dir: str, filters=None, **plan_extra) -> DataFrame:
+def final(spark: SparkSession, sf_dir: str, filters=None, sort: bool = True,
+          **plan_extra) -> DataFrame:
     plan = {"columns": {}, "filters": filters or [], **plan_extra}
-    return run_plan(notices(spark, sf_dir), plan, today=TODAY, tie_break=TIE)
+    return run_plan(notices(spark, sf_dir), plan, today=TODAY, tie_break=TIE, sort=sort)
 
 
 # --------------------------------------------------------------------- Spark
@@ -142,7 +143,7 @@ def p6_columns(spark, sf_dir):
 
 
 def o1_sorted_positions(spark, sf_dir):
-    f = final(spark, sf_dir)
+    f = final(spark, sf_dir, sort=False)
     return with_positions(f, canonical_sort_keys(f, TIE)).select("Solicitation Number",
                                                                    "output_pos")
 
@@ -206,12 +207,12 @@ def _filter_query(name):
 
 
 def a4_naics_summary(spark, sf_dir):
-    f = final(spark, sf_dir, [], summary_by=["NAICS"])
+    f = final(spark, sf_dir, [], sort=False, summary_by=["NAICS"])
     return dates_as_text(grouped_summary(f, ["NAICS"], today=TODAY))
 
 
 def a4_agency_type_rollup(spark, sf_dir):
-    f = final(spark, sf_dir)
+    f = final(spark, sf_dir, sort=False)
     return dates_as_text(grouped_summary(f, ["Agency", "Opportunity Type"], today=TODAY,
                                          rollup=True))
 

@@ -25,7 +25,8 @@ def grouped_summary(df: DataFrame, by: Sequence[str] = (NAICS,), today=None,
                     rollup: bool = False) -> DataFrame:
     """Per group: notice count, first/last due date and how many fall due in
     ``[today, today + horizon_days]``.  ``rollup=True`` adds subtotals and a
-    grand total (NULL group keys)."""
+    grand total (NULL group keys).  Feed it ``run_plan(..., sort=False)``:
+    an aggregate discards the order, and the sort's exchange would remain."""
     keys = [col_ref(k) for k in by]
     day = resolve_today(today, tz)
     aggs = [F.count(F.lit(1)).alias("notices")]
