@@ -49,7 +49,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
 
 
-_BUILT: dict[tuple[int, str], DataFrame] = {}
+_BUILT: dict[tuple[int, str], tuple[SparkSession, DataFrame]] = {}
 
 
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,10 +59,11 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     check done) and reused by every query; no data is cached.
     """
     key = (id(spark), sf_dir.rstrip("/"))
-    if key not in _BUILT:
+    hit = _BUILT.get(key)
+    if hit is None or hit[0] is not spark:
         orders = spread(read_table(spark, sf_dir, "orders").select(*ORDER_COLUMNS))
-        _BUILT[key] = notices_from_orders(spark, sf_dir, orders)
-    return _BUILT[key]
+        _BUILT[key] = (spark, notices_from_orders(spark, sf_dir, orders))
+    return _BUILT[key][1]
 
 
 def notices_from_orders(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:

@@ -22,14 +22,22 @@ ROW_ID = "_row"
 
 def canonical_sort_keys(df: DataFrame, tie_break: Sequence[str] | None = None) -> list[Column]:
     """O1/O2: type rank (unknown last), then solicitation date (nulls last),
-    then the tie-break columns (``_row`` when present)."""
+    then the tie-break columns (``_row`` when present).
+
+    Without any tie-break a row hash closes the key, so rows sharing one
+    type and date (possibly a third of the table) still spread over many
+    range partitions, and the order of ties is repeatable.
+    """
     if OPPORTUNITY_TYPE not in df.columns:
         return []
     keys = [type_rank(col_ref(OPPORTUNITY_TYPE)).asc_nulls_last()]
     if SOLICITATION_DATE in df.columns:
         keys.append(col_ref(SOLICITATION_DATE).asc_nulls_last())
     ties = list(tie_break) if tie_break is not None else ([ROW_ID] if ROW_ID in df.columns else [])
-    keys += [col_ref(t).asc_nulls_last() for t in ties if t in df.columns]
+    ties = [t for t in ties if t in df.columns]
+    keys += [col_ref(t).asc_nulls_last() for t in ties]
+    if not ties:
+        keys.append(F.xxhash64(*[col_ref(c) for c in df.columns]).asc())
     return keys
 
 

@@ -20,7 +20,7 @@ from ..operators.filters import apply_filters, combined_predicate
 from ..operators.order import ROW_ID, canonical_sort, canonical_sort_keys, global_sort
 from ..operators.project import (CANONICAL_ORDER, NAICS, project_canonical, resolve_columns,
                                  select_output_columns)
-from .plan import Plan
+from .plan import Plan, validate
 
 PLAN_ID = "plan_id"
 
@@ -72,6 +72,8 @@ def run_plan(df: DataFrame, plan, today=None, tz: str = DEFAULT_TZ, strict: bool
     """
     plan = _as_plan(plan)
     day = resolve_today(today, tz)
+    if notes is not None:
+        notes.extend("plan: " + p for p in validate(plan))
     hidden = [ROW_ID] if ROW_ID in df.columns else []
     ties = list(tie_break) if tie_break is not None else hidden
     resolved = resolve_columns(df.columns, plan.columns)

@@ -14,10 +14,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Settings every session of the engine wants.  Names are case-sensitive in
-# raw sheets (``UiLink`` beside ``UIlink``), so resolution must be exact.
+# Runtime settings the operators want; safe to apply to a caller's session.
 ENGINE_CONF = {
-    "spark.sql.caseSensitive": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -38,6 +36,8 @@ def build_session(master: str | None = None, app_name: str = "bidscope",
         b = b.master(master)
     conf = dict(ENGINE_CONF)
     conf.update({
+        # Raw sheets may hold ``UiLink`` beside ``UIlink``: resolve exactly.
+        "spark.sql.caseSensitive": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
