@@ -182,7 +182,7 @@ def candidate_columns(df: DataFrame) -> DataFrame:
     sa_pats = [p for _, pats in SET_ASIDE_BUCKETS for p in pats]
     ty_pats = [p for _, pats in OPPORTUNITY_BUCKETS for p in pats]
     fields = df.schema.fields
-    aggs = []
+    flags, aggs = [], []
     for i, f in enumerate(fields):
         c = col_ref(f.name)
         present = _non_null(c, f.dataType)
@@ -193,9 +193,13 @@ def candidate_columns(df: DataFrame) -> DataFrame:
             "type": any_substring(low, ty_pats),
             "naics": py_strip(c.cast("string")).rlike(r"^[0-9]{6}$"),
         }
-        aggs.append(F.count(F.when(present, F.lit(1))).alias(f"n{i}"))
+        # Flags first (one projection, shared subexpressions), counts after.
+        flags.append(present.alias(f"p{i}"))
+        aggs.append(F.count_if(F.col(f"p{i}")).alias(f"n{i}"))
         for r, t in tests.items():
-            aggs.append(F.count(F.when(present & t, F.lit(1))).alias(f"{r}{i}"))
+            flags.append((present & t).alias(f"{r}f{i}"))
+            aggs.append(F.count_if(F.col(f"{r}f{i}")).alias(f"{r}{i}"))
+    df = df.select(*flags)
     one = df.agg(*aggs)
     rows = F.array(*[
         F.struct(F.lit(f.name).alias("name"), F.lit(i).alias("position"),
