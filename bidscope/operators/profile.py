@@ -215,6 +215,21 @@ def candidate_columns(df: DataFrame) -> DataFrame:
     return out.withColumn("candidate_role", role)
 
 
+def best_candidates(candidates: DataFrame) -> DataFrame:
+    """E4 ranking: per role, columns ordered by hit share (ties: schema
+    position) -- ``role, rank, name, hits, non_null_count``.  The input has
+    one row per column, so the window is tiny."""
+    per_role = candidates.select(
+        "name", "position", "non_null_count",
+        F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"{r}_hits").alias("hits"))
+                            for r in ROLES])).alias("x")).select(
+        "name", "position", "non_null_count", "x.role", "x.hits").where(F.col("hits") > 0)
+    share = F.col("hits") / F.col("non_null_count")
+    w = Window.partitionBy("role").orderBy(share.desc(), F.col("position").asc())
+    return per_role.select("role", F.row_number().over(w).alias("rank"), "name", "hits",
+                           "non_null_count")
+
+
 def sample_rows(df: DataFrame, n: int | None = None, fraction: float | None = None,
                 seed: int = 42) -> DataFrame:
     """E5: a repeatable sample.  ``fraction`` is Bernoulli sampling per task;

@@ -116,12 +116,12 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructTy
     else:
         bad = []
     if bad:
-        good = [r["path"] for r in enc.where(F.col("utf8")).select("path").collect()]
-        parts = []
-        if good:
-            parts.append(_csv_reader(spark, multi_line, "UTF-8", use_schema).csv(good))
-        parts.append(_csv_reader(spark, multi_line, "ISO-8859-1", use_schema).csv(bad))
-        df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        # Only the (usually few) non-UTF-8 paths reach the driver; the UTF-8
+        # read skips them by file path, which Spark uses to prune files.
+        utf8 = (_csv_reader(spark, multi_line, "UTF-8", use_schema).csv(paths)
+                .where(~F.col("_metadata.file_path").isin(bad)))
+        latin1 = _csv_reader(spark, multi_line, "ISO-8859-1", use_schema).csv(bad)
+        df = utf8.unionByName(latin1)
     else:
         df = _csv_reader(spark, multi_line, "UTF-8", use_schema).csv(paths)
     if with_row_id:
@@ -133,24 +133,32 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructTy
     return df
 
 
-def _suffix(path: str) -> str:
+_SUFFIXES = (".csv", ".xlsx", ".xls", ".parquet", ".orc", ".json")
+
+
+def _suffix(spark: SparkSession, path: str) -> str:
     p = path.rstrip("/").lower()
-    for s in (".csv", ".xlsx", ".xls", ".parquet", ".orc", ".json"):
+    for s in _SUFFIXES:
         if p.endswith(s):
             return s
-    if os.path.isdir(path):
-        kinds = {os.path.splitext(f)[1].lower() for f in os.listdir(path)
-                 if not f.startswith((".", "_"))}
-        kinds.discard("")
-        if len(kinds) == 1:
-            return kinds.pop()
-    return ""
+    # A folder: the suffix its data files share.  Listed through the
+    # binaryFile source with only ``path`` selected, so no content is read
+    # and any Hadoop filesystem works.
+    try:
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+                 .select("path").limit(1000).collect())
+    except Exception:  # not a folder Spark can list
+        return ""
+    kinds = {os.path.splitext(r["path"])[1].lower() for r in files
+             if not os.path.basename(r["path"]).startswith((".", "_"))}
+    kinds &= set(_SUFFIXES)
+    return kinds.pop() if len(kinds) == 1 else ""
 
 
 def load_dataset(spark: SparkSession, path: str, fmt: str | None = None, **kw) -> DataFrame:
     """Dispatch on the lower-cased suffix (or ``fmt``); a folder takes the
     suffix its files share.  ``.xls`` is refused (binary legacy format)."""
-    kind = ("." + fmt.lower().lstrip(".")) if fmt else _suffix(path)
+    kind = ("." + fmt.lower().lstrip(".")) if fmt else _suffix(spark, path)
     if kind == ".csv":
         return read_csv(spark, path, **kw)
     if kind == ".xlsx":

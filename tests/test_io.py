@@ -80,3 +80,10 @@ def test_sheets(spark):
     df = spark.range(3)
     counts = write_sheets({"Filtered": df, "Summary": df.limit(1)}, tmpdir())
     assert counts == {"Filtered": 3, "Summary": 1}
+
+
+def test_folder_dispatch(spark):
+    d = tmpdir()
+    with open(os.path.join(d, "a.csv"), "w") as f:
+        f.write("x\n1\n")
+    assert load_dataset(spark, d).count() == 1

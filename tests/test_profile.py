@@ -72,3 +72,11 @@ def test_sample_is_repeatable(spark):
     b = sorted(r["id"] for r in sample_rows(df.repartition(5), n=7, seed=3).collect())
     assert a == b and len(a) == 7
     assert 0 < sample_rows(df, fraction=0.1, seed=1).count() < 300
+
+
+def test_best_candidates(spark):
+    from bidscope.operators.profile import best_candidates
+    df = spark.createDataFrame([("2024-01-02", "x", "2024-01-05"), ("02/03/2024", "y", None),
+                                ("bad", "z", "2024-02-01")], "a string, b string, c string")
+    ranked = best_candidates(candidate_columns(df)).where("role = 'date'").orderBy("rank").collect()
+    assert [r["name"] for r in ranked] == ["c", "a"]  # 2/2 beats 2/3
