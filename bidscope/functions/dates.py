@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import py_strip
+from .text import PY_WHITESPACE_CLASS, py_strip
 
 DEFAULT_TZ = "Africa/Lagos"
 
@@ -26,15 +26,26 @@ US_DATE_PART = r"^([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})"
 NAMED_RE = r"^[A-Za-z]{3,9} [0-9]{1,2}, [0-9]{4}$"
 
 
+def _padded(rx: str) -> str:
+    """``rx`` (anchored) allowing Python whitespace around the value."""
+    return f"^{PY_WHITESPACE_CLASS}*(?:{rx[1:-1]}){PY_WHITESPACE_CLASS}*$"
+
+
 def text_to_date(text: Column) -> Column:
-    """Lenient, never-raising parse of date text; unparsable gives NULL."""
-    t = py_strip(text.cast("string"))
+    """Lenient, never-raising parse of date text; unparsable gives NULL.
+
+    The layout guards run on the raw text (whitespace allowed around it) and
+    only the chosen branch strips it, so the parse stays cheap when Catalyst
+    copies it into a filter.
+    """
+    raw = text.cast("string")
+    t = py_strip(raw)
     return (
-        F.when(t.rlike(ISO_RE), t.try_cast("date"))
-        .when(t.rlike(COMPACT_RE), F.try_to_date(t, "yyyyMMdd"))
-        .when(t.rlike(US_RE),
+        F.when(raw.rlike(_padded(ISO_RE)), t.try_cast("date"))
+        .when(raw.rlike(_padded(COMPACT_RE)), F.try_to_date(t, "yyyyMMdd"))
+        .when(raw.rlike(_padded(US_RE)),
               F.try_to_date(F.regexp_extract(t, US_DATE_PART, 1), "M/d/yyyy"))
-        .when(t.rlike(NAMED_RE),
+        .when(raw.rlike(_padded(NAMED_RE)),
               F.coalesce(F.try_to_date(t, "MMM d, yyyy"),
                          F.try_to_date(t, "MMMM d, yyyy")))
     )

@@ -16,6 +16,14 @@ from pyspark.sql import functions as F
 PY_WHITESPACE = "".join(ch for ch in map(chr, range(sys.maxunicode + 1)) if ch.isspace())
 
 
+# The same set as a Java regex character class (every member as \uXXXX).
+PY_WHITESPACE_CLASS = "[" + "".join(f"\\u{ord(ch):04X}" for ch in PY_WHITESPACE) + "]"
+
+
+def has_edge_space(text: str) -> bool:
+    return text != text.strip()
+
+
 def col_ref(name: str) -> Column:
     """Column by exact name; names may hold spaces or dots."""
     return F.col("`" + name.replace("`", "``") + "`")
