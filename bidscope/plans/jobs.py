@@ -23,17 +23,20 @@ def run_and_export(df: DataFrame, plan, out_path: str, fmt: str = "csv",
                    audit_path: str | None = None, today=None, tz: str = DEFAULT_TZ,
                    role: str = "unknown", **kw) -> dict:
     """Write the plan's rows as ``Filtered`` (and ``Summary`` when the plan
-    has ``summary_by``) under ``out_path``; return rows, status and notes."""
+    has ``summary_by``) under ``out_path``; return rows, status and notes.
+    A plan's ``sheets`` member renames them, e.g. ``{"Summary": "By NAICS"}``."""
     plan = _as_plan(plan)
     day = resolve_today(today, tz)
     notes: list[str] = []
     result = run_plan(df, plan, today=day, tz=tz, notes=notes, **kw)
-    frames = {FILTERED_SHEET: result}
+    names = {FILTERED_SHEET: FILTERED_SHEET, SUMMARY_SHEET: SUMMARY_SHEET}
+    names.update({k: str(v) for k, v in (plan.sheets or {}).items() if k in names and v})
+    frames = {names[FILTERED_SHEET]: result}
     if plan.summary_by:
         unsorted = run_plan(df, plan, today=day, tz=tz, sort=False, **kw)
-        frames[SUMMARY_SHEET] = grouped_summary(unsorted, plan.summary_by, today=day)
+        frames[names[SUMMARY_SHEET]] = grouped_summary(unsorted, plan.summary_by, today=day)
     counts = write_sheets(frames, out_path, fmt=fmt)
-    rows = counts[FILTERED_SHEET]
+    rows = counts[names[FILTERED_SHEET]]
     status = "ok" if rows else "empty"
     if audit_path:
         log_event(df.sparkSession, audit_path, "run_plan", status, f"{rows} rows",

@@ -100,10 +100,10 @@ def test_run_and_export_logs(spark):
     from bidscope.plans.jobs import run_and_export
     out = os.path.join(tempfile.mkdtemp(), "out")
     audit = os.path.join(tempfile.mkdtemp(), "audit")
-    plan = dict(FLAGSHIP, summary_by=["NAICS"],
+    plan = dict(FLAGSHIP, summary_by=["NAICS"], sheets={"Summary": "By NAICS"},
                 filters=FLAGSHIP["filters"] + [{"column": "Budget", "operator": "equals", "value": 1}])
     res = run_and_export(notices(spark, SF001), plan, out, audit_path=audit, today="1998-02-04")
-    assert res["rows"] == 2 and res["status"] == "ok" and res["sheets"]["Summary"] >= 1
+    assert res["rows"] == 2 and res["status"] == "ok" and res["sheets"]["By NAICS"] >= 1
     ev = read_audit(spark, audit).first()
     assert ev["extra"]["rows"] == "2" and "Budget" in ev["extra"]["notes"]
     assert spark.read.option("header", True).csv(os.path.join(out, "Filtered")).count() == 2
