@@ -123,13 +123,13 @@ def read_workbooks(spark: SparkSession, path: str, na_tokens=PANDAS_NA_TOKENS,
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx")
              .option("recursiveFileLookup", "true").load(path).select("path", "content"))
     heads = files.mapInPandas(_headers, "path string, idx int, name string")
-    # Header cells only: one small row per column per file.
-    seen: list[str] = []
-    for r in heads.orderBy("path", "idx").collect():
-        name = r["name"] or f"Unnamed: {r['idx']}"
-        if name not in seen:
-            seen.append(name)
-    names = list(seen)
+    # Distinct header names only, each at its first (file, position): the
+    # driver receives one row per distinct column name, not per file.
+    label = F.coalesce(F.nullif(F.col("name"), F.lit("")),
+                       F.concat(F.lit("Unnamed: "), F.col("idx").cast("string")))
+    firsts = (heads.select(label.alias("name"), F.struct("path", "idx").alias("at"))
+                   .groupBy("name").agg(F.min("at").alias("at")))
+    names = [r["name"] for r in firsts.orderBy("at").select("name").collect()]
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
