@@ -48,9 +48,9 @@ def clear_audit(spark: SparkSession, path: str, before: _dt.datetime | None = No
     if before is None:
         spark.createDataFrame([], AUDIT_SCHEMA).write.mode("overwrite").parquet(path)
         return
-    kept = read_audit(spark, path).where(F.col("timestamp") >= F.lit(before))
-    # Materialise first: overwriting a table while reading it is unsafe.
-    from ..session import scratch_path
-    tmp = scratch_path(spark, "audit-keep")
-    kept.write.parquet(tmp)
-    spark.read.parquet(tmp).write.mode("overwrite").parquet(path)
+    # Materialise first (shared scratch): overwriting a table while reading it
+    # is unsafe.
+    from .sizing import materialize
+    kept = materialize(read_audit(spark, path).where(F.col("timestamp") >= F.lit(before)),
+                       "audit-keep")
+    kept.write.mode("overwrite").parquet(path)

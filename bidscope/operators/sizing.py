@@ -9,6 +9,9 @@ from ..session import scratch_path
 
 # A dimension side is broadcast only when it has at most this many rows.
 DEFAULT_BROADCAST_ROWS = 100_000
+# A small input is never spread over more tasks than this, however large
+# the cluster: past it, scheduling costs more than the per-row work saves.
+SPREAD_MAX_PARTITIONS = 256
 
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
@@ -34,7 +37,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """
     if df.isStreaming:
         return df
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    want = min_partitions or min(df.sparkSession.sparkContext.defaultParallelism,
+                                 SPREAD_MAX_PARTITIONS)
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want)

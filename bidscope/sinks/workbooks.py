@@ -134,16 +134,33 @@ def workbook_bytes(header: list[str], rows: list[tuple], sheet_name: str) -> byt
     return buf.getvalue()
 
 
-def _open_output(path: str):
-    """Writable stream for ``path`` on whatever filesystem it names."""
+def _filesystem(path: str):
     from pyarrow import fs as pafs
     if "://" in path:
-        filesystem, inner = pafs.FileSystem.from_uri(path)
-    else:
-        filesystem, inner = pafs.LocalFileSystem(), path.replace("file:", "", 1)
-    parent = inner.rsplit("/", 1)[0]
-    filesystem.create_dir(parent, recursive=True)
-    return filesystem.open_output_stream(inner)
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), path.replace("file:", "", 1)
+
+
+class _AttemptFile:
+    """Output stream that writes ``path`` under an attempt-private name and
+    moves it into place on close, so a retried or speculative task never
+    leaves a half-written or interleaved workbook behind."""
+
+    def __init__(self, path: str, attempt: int):
+        self.fs, self.final = _filesystem(path)
+        self.fs.create_dir(self.final.rsplit("/", 1)[0], recursive=True)
+        self.tmp = f"{self.final}.attempt-{attempt}.tmp"
+        self.stream = self.fs.open_output_stream(self.tmp)
+
+    def write(self, data) -> int:
+        return self.stream.write(data)
+
+    def flush(self) -> None:
+        self.stream.flush()
+
+    def close(self) -> None:
+        self.stream.close()
+        self.fs.move(self.tmp, self.final)
 
 
 def write_workbooks(df: DataFrame, path: str, sheet_name: str = "Filtered",
@@ -157,13 +174,14 @@ def write_workbooks(df: DataFrame, path: str, sheet_name: str = "Filtered",
 
     def write_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
+        ctx = TaskContext.get()
+        pid, attempt = ctx.partitionId(), ctx.taskAttemptId()
         written = []
         state = {"k": 0, "stream": None, "book": None, "name": None}
 
         def start():
             name = f"{target}/part-{pid:05d}-{state['k']:03d}.xlsx"
-            state["stream"] = _open_output(name)
+            state["stream"] = _AttemptFile(name, attempt)
             state["book"] = WorkbookWriter(state["stream"], header, sheet_name)
             state["name"] = name
 

@@ -56,3 +56,12 @@ def test_one_scan_per_plan(spark):
     assert df.count() == sum(1 for r in run_plan(notices(spark, SF001), {"filters": [
         {"column": "Normalized Set Aside", "operator": "in", "value": ["SDVOSB"]},
         {"column": "Due Date", "operator": "this_week"}]}, today="1998-02-04").collect())
+
+
+def test_summary_aggregates_partially_before_the_shuffle(spark):
+    from bidscope.operators.summary import grouped_summary
+    n = run_plan(notices(spark, SF001), {"summary_by": ["NAICS"]}, today="1998-02-04", sort=False)
+    plan = grouped_summary(n, ["NAICS"], today="1998-02-04")._jdf.queryExecution() \
+        .executedPlan().toString()
+    partial, shuffle = plan.find("partial_count"), plan.find("Exchange hashpartitioning(NAICS")
+    assert 0 <= shuffle < partial  # printed top-down: the partial aggregate sits below the exchange
