@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from bidscope.functions.classify import (PatternError, merge_patterns, normalize_opportunity_type,
                                          normalize_set_aside, SET_ASIDE_BUCKETS)

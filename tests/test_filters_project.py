@@ -1,10 +1,9 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from bidscope.operators.filters import FilterError, apply_filters
-from bidscope.operators.project import ColumnMapError, project_canonical, resolve_columns
+from bidscope.operators.project import ColumnMapError, resolve_columns
 from bidscope.plans.run import run_plan
 
 TODAY = dt.date(1998, 2, 4)

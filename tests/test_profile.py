@@ -1,5 +1,4 @@
 import json
-import random
 
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F

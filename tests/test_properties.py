@@ -2,7 +2,6 @@ import os
 import tempfile
 
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from bidscope.fixtures import notices
 from bidscope.functions.classify import NO_SET_ASIDE, SET_ASIDE_BUCKETS, normalize_set_aside
