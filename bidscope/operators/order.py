@@ -60,12 +60,16 @@ def canonical_sort(df: DataFrame, tie_break: Sequence[str] | None = None) -> Dat
 
 
 def preview(df: DataFrame, n: int = 20, order_by: Sequence[str] | None = None) -> DataFrame:
-    """K3: first ``n`` rows.  With a key (or the scan's ``_row``) it is a
-    ``TakeOrderedAndProject`` (top-n per task, no full sort); without one,
-    a plain limit that stops reading once ``n`` rows are found."""
-    keys = list(order_by) if order_by else ([ROW_ID] if ROW_ID in df.columns else [])
-    if keys:
-        return df.orderBy(*[col_ref(k) for k in keys]).limit(n)
+    """K3: the first ``n`` rows.
+
+    Without a key this is ``head``: collected, a limit reads partition 0
+    first and only then further partitions, in order, so it returns the
+    first rows in scan order (``_row`` order) after reading a few row groups
+    of a table of any size.  With a key it is a ``TakeOrderedAndProject``
+    (top-n per task, no full sort).
+    """
+    if order_by:
+        return df.orderBy(*[col_ref(k) for k in order_by]).limit(n)
     return df.limit(n)
 
 

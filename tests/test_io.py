@@ -87,3 +87,15 @@ def test_folder_dispatch(spark):
     with open(os.path.join(d, "a.csv"), "w") as f:
         f.write("x\n1\n")
     assert load_dataset(spark, d).count() == 1
+
+
+def test_preview_is_head_in_scan_order(spark):
+    from bidscope.operators.order import preview
+    d = tmpdir()
+    for part in range(3):
+        with open(os.path.join(d, f"p{part}.csv"), "w") as f:
+            f.write("k\n" + "".join(f"{part * 100 + i}\n" for i in range(30)))
+    df = read_csv(spark, d, with_row_id=True, latin1_fallback=False)
+    head = [r["_row"] for r in preview(df, 20).collect()]
+    ordered = [r["_row"] for r in df.orderBy("_row").limit(20).collect()]
+    assert head == ordered
