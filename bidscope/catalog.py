@@ -268,6 +268,20 @@ def k1_csv_round_trip(spark, sf_dir):
     return read_csv(spark, path, schema=src.schema)
 
 
+def s2_latin1_round_trip(spark, sf_dir):
+    """S2 on the whole ``documents`` table: English documents written as
+    UTF-8, the others (when Latin-1 can hold them) as ISO-8859-1, into one
+    folder set; read back with per-file encoding detection."""
+    from .sinks.exports import write_csv
+    from .sources.readers import read_csv
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    latin = (F.col("lang") != "en") & ~F.col("text").rlike("[^\\x00-\\xFF]")
+    base = scratch_path(spark, "s2-csv")
+    write_csv(docs.where(latin), f"{base}/latin1", encoding="ISO-8859-1")
+    write_csv(docs.where(~latin | F.col("text").isNull()), f"{base}/utf8")
+    return read_csv(spark, [f"{base}/latin1", f"{base}/utf8"], schema=docs.schema)
+
+
 def k2_workbook_round_trip(spark, sf_dir):
     """K2 then S3: the final table written as workbooks and read back."""
     from .sinks.workbooks import write_workbooks
@@ -325,6 +339,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "l4_saved_plans": l4_saved_plans,
     "i1_ingested_plan": i1_ingested_plan,
     "k1_csv_round_trip": k1_csv_round_trip,
+    "s2_latin1_round_trip": s2_latin1_round_trip,
     "k2_workbook_round_trip": k2_workbook_round_trip,
     "st_stream_plan": st_stream_plan,
 }
@@ -499,6 +514,9 @@ def oracle_sql() -> dict[str, str]:
             "\"Normalized Set Aside\" IN ('SDVOSB', 'WOSB') AND \"Solicitation Date\" BETWEEN "
             "DATE '1998-01-15' AND DATE '1998-03-10' AND " + FILTER_SQL["f11_last_7_days"]),
         "k1_csv_round_trip": _sql_csv_round_trip(),
+        "s2_latin1_round_trip": (
+            "SELECT doc_id, CASE WHEN text IN (" + ", ".join(O.q(t) for t in _NA) + ") THEN NULL "
+            "ELSE text END AS text, lang FROM documents"),
         "k2_workbook_round_trip": _sql_workbook_round_trip(),
         "st_stream_plan": _final_sql(FILTER_SQL["f1_in"] + " AND " + FILTER_SQL["f5_next_days"]),
     }

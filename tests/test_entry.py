@@ -7,7 +7,7 @@ from tools.oracle_check import canon
 
 from conftest import SF001
 
-TABLES = ["orders", "customer", "nation"]
+TABLES = ["orders", "customer", "nation", "documents"]
 
 
 def test_entry_smoke(spark):
