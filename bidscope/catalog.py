@@ -257,6 +257,21 @@ def i1_ingested_plan(spark, sf_dir):
                                            tie_break=TIE))
 
 
+def g1_audit_run(spark, sf_dir):
+    """G1 + G2 with K1/K5: the flagship plan exported by ``run_and_export``,
+    which appends one audit event; the formatted audit view read back (the
+    clock time itself is checked by its text shape only)."""
+    from .operators.audit import audit_view
+    from .plans.jobs import run_and_export
+    audit, out = scratch_path(spark, "audit"), scratch_path(spark, "export")
+    run_and_export(notices(spark, sf_dir), FLAGSHIP_PLAN, out, audit_path=audit, today=TODAY,
+                   tie_break=TIE)
+    view = audit_view(spark, audit)
+    return view.select("action", "status", "message", F.col("extra")["rows"].alias("rows"),
+                       F.col("timestamp").rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$")
+                       .alias("timestamp_ok"))
+
+
 def k1_csv_round_trip(spark, sf_dir):
     """K1 then S1/S5: the notices written as CSV and read back.  NA
     spellings come back as NULL, as a CSV reader with pandas defaults does."""
@@ -338,6 +353,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "l3_run_plan": l3_run_plan,
     "l4_saved_plans": l4_saved_plans,
     "i1_ingested_plan": i1_ingested_plan,
+    "g1_audit_run": g1_audit_run,
     "k1_csv_round_trip": k1_csv_round_trip,
     "s2_latin1_round_trip": s2_latin1_round_trip,
     "k2_workbook_round_trip": k2_workbook_round_trip,
@@ -514,6 +530,11 @@ def oracle_sql() -> dict[str, str]:
             "\"Normalized Set Aside\" IN ('SDVOSB', 'WOSB') AND \"Solicitation Date\" BETWEEN "
             "DATE '1998-01-15' AND DATE '1998-03-10' AND " + FILTER_SQL["f11_last_7_days"]),
         "k1_csv_round_trip": _sql_csv_round_trip(),
+        "g1_audit_run": O.final_cte() + (
+            "SELECT 'run_plan' AS action, CASE WHEN n > 0 THEN 'ok' ELSE 'empty' END AS status, "
+            "CAST(n AS VARCHAR) || ' rows' AS message, CAST(n AS VARCHAR) AS rows, "
+            "true AS timestamp_ok FROM (SELECT count(*) AS n FROM final WHERE "
+            + FILTER_SQL["f1_in"] + " AND " + FILTER_SQL["f5_next_days"] + ")"),
         "s2_latin1_round_trip": (
             "SELECT doc_id, CASE WHEN text IN (" + ", ".join(O.q(t) for t in _NA) + ") THEN NULL "
             "ELSE text END AS text, lang FROM documents"),
