@@ -5,7 +5,7 @@ written as many parquet files, then the main operators timed on it.
 
 ``orders`` is replicated by a union of key-shifted copies (no cross join), so
 every copy gets its own dates, types and set-asides through the fixture
-derivation.  Prints one JSON line of timings.
+derivation.  Prints one JSON line of timings (best of two runs; ingest runs once).
 """
 
 from __future__ import annotations
@@ -44,10 +44,14 @@ def main():
         {"column": "Due Date", "operator": "next_days", "value": 14}]}
     out = {"rows": rows, "partitions": raw.rdd.getNumPartitions()}
 
-    def timed(name, fn):
-        t0 = time.perf_counter()
-        fn()
-        out[name] = round(time.perf_counter() - t0, 2)
+    def timed(name, fn, runs=2):
+        best = None
+        for _ in range(runs):  # best of two: the first pays code generation and JIT
+            t0 = time.perf_counter()
+            fn()
+            took = time.perf_counter() - t0
+            best = took if best is None else min(best, took)
+        out[name] = round(best, 2)
 
     noop = lambda df: df.write.format("noop").mode("overwrite").save()
     timed("flagship_raw", lambda: noop(run_plan(raw, flagship, today="1998-02-04",
@@ -57,7 +61,7 @@ def main():
         staged, canonical_sort_keys(staged, ["Solicitation Number"]))))
     timed("profile_counts", lambda: noop(profile_counts(raw)))
     timed("first_distinct", lambda: noop(first_distinct_values(raw)))
-    timed("ingest", lambda: ingest(raw, f"{scratch}/ingested"))
+    timed("ingest", lambda: ingest(raw, f"{scratch}/ingested"), runs=1)
     timed("flagship_ingested", lambda: noop(run_plan_ingested(
         spark, f"{scratch}/ingested", flagship, today="1998-02-04",
         tie_break=["Solicitation Number"])))
