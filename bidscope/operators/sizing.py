@@ -37,9 +37,13 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """
     if df.isStreaming:
         return df
-    want = min_partitions or min(df.sparkSession.sparkContext.defaultParallelism,
-                                 SPREAD_MAX_PARTITIONS)
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = min_partitions or min(df.sparkSession.sparkContext.defaultParallelism,
+                                     SPREAD_MAX_PARTITIONS)
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a Spark Connect session): leave as is
+        return df
+    if have >= want:
         return df
     return df.repartition(want)
 

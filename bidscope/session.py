@@ -69,11 +69,16 @@ def shared_dir(spark: SparkSession) -> str:
     Read from the session; set only when unset (local runs and tests).
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no context; the conf is all there is
+        sc = None
+    if not d and sc is not None:
+        d = sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="bidscope-ckpt-")
-        spark.sparkContext.setCheckpointDir(d)
+        if sc is not None:
+            sc.setCheckpointDir(d)
         try:
             spark.conf.set("spark.checkpoint.dir", d)
         except Exception:  # core conf may be read-only at runtime
