@@ -64,3 +64,38 @@ def test_summary_aggregates_partially_before_the_shuffle(spark):
         .executedPlan().toString()
     partial, shuffle = plan.find("partial_count"), plan.find("Exchange hashpartitioning(NAICS")
     assert 0 <= shuffle < partial  # printed top-down: the partial aggregate sits below the exchange
+
+
+def test_hot_key_holding_a_third_of_rows(spark):
+    import datetime as dt
+    from bidscope.operators.profile import first_distinct_values
+    from bidscope.operators.summary import grouped_summary
+    rows = []
+    for i in range(900):
+        hot = i % 3 == 0
+        rows.append((f"N-{i:04d}", "541512" if hot else f"5415{i % 7:02d}",
+                     "Solicitation" if hot else ["Sources Sought", "RFI", "x"][i % 3],
+                     "1998-02-01" if hot else f"1998-01-{1 + i % 28:02d}",
+                     f"1998-02-{1 + i % 20:02d}", "SDVOSB set-aside"))
+    df = spark.createDataFrame(rows, "NoticeId string, NaicsCode string, Type string, "
+                                     "PostedDate string, DueDate string, "
+                                     "TypeOfSetAsideDescription string").repartition(8)
+    final = run_plan(df, {"summary_by": ["NAICS"]}, today="1998-02-04", sort=False)
+    counts = {r["NAICS"]: r["notices"] for r in grouped_summary(final, ["NAICS"],
+                                                                   today="1998-02-04").collect()}
+    assert counts["541512"] == 300 + sum(1 for i in range(900) if i % 3 and i % 7 == 12)
+    assert sum(counts.values()) == 900
+    # Sort with positions: no tie-break given, so a row hash closes the key.
+    pos = with_positions(final, canonical_sort_keys(final, None))
+    got = pos.select("Opportunity Type", "Solicitation Date", "output_pos").collect()
+    assert sorted(r["output_pos"] for r in got) == list(range(1, 901))
+    hot_pos = sorted(r["output_pos"] for r in got if r["Opportunity Type"] == "Solicitation"
+                     and r["Solicitation Date"] == dt.date(1998, 2, 1))
+    assert hot_pos == list(range(1, 301))  # the hot (type, date) group comes first, contiguous
+    ex = {r["example_rank"]: r["example_value"]
+          for r in first_distinct_values(df, 10, order_by="NoticeId").collect() if r["name"] == "NaicsCode"}
+    want = []
+    for r in sorted(rows):
+        if r[1] not in want:
+            want.append(r[1])
+    assert [ex[k] for k in sorted(ex)] == want[:10]
