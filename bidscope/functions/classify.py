@@ -140,18 +140,36 @@ def classify_column(value: Column, buckets: Sequence[tuple[str, Sequence[str]]],
     raise ValueError(f"unknown match mode {match!r}")
 
 
+def set_aside_expr(columns: Sequence[str], col: str | None = DEFAULT_SET_ASIDE_COLUMN,
+                   extra_patterns: Mapping[str, Sequence[str]] | None = None,
+                   match: str = "first", notes: list[str] | None = None) -> Column:
+    """N1 as an expression over a frame with ``columns``."""
+    if not col or col not in columns:
+        if notes is not None:
+            notes.append(f"set-aside column {col!r} missing: all rows NULL")
+        return F.lit(None).cast("string")
+    buckets = merge_patterns(SET_ASIDE_BUCKETS, extra_patterns, notes)
+    return classify_column(col_ref(col), buckets, NO_SET_ASIDE, SET_ASIDE_NULL_TEXT, match)
+
+
+def type_expr(columns: Sequence[str], col: str | None = DEFAULT_TYPE_COLUMN,
+              extra_patterns: Mapping[str, Sequence[str]] | None = None,
+              match: str = "first", notes: list[str] | None = None) -> Column:
+    """N3 as an expression over a frame with ``columns``."""
+    if not col or col not in columns:
+        if notes is not None:
+            notes.append(f"type column {col!r} missing: all rows {OTHER_TYPE!r}")
+        return F.lit(OTHER_TYPE)
+    buckets = merge_patterns(OPPORTUNITY_BUCKETS, extra_patterns, notes)
+    return classify_column(col_ref(col), buckets, OTHER_TYPE, (), match)
+
+
 def normalize_set_aside(df: DataFrame, col: str | None = DEFAULT_SET_ASIDE_COLUMN,
                         extra_patterns: Mapping[str, Sequence[str]] | None = None,
                         new_col: str = SET_ASIDE_OUT, match: str = "first",
                         notes: list[str] | None = None) -> DataFrame:
     """N1 (+N2 defaults, N5 merge, N6 missing column -> all NULL)."""
-    if not col or col not in df.columns:
-        if notes is not None:
-            notes.append(f"set-aside column {col!r} missing: all rows NULL")
-        return df.withColumn(new_col, F.lit(None).cast("string"))
-    buckets = merge_patterns(SET_ASIDE_BUCKETS, extra_patterns, notes)
-    return df.withColumn(new_col, classify_column(col_ref(col), buckets, NO_SET_ASIDE,
-                                                  SET_ASIDE_NULL_TEXT, match))
+    return df.withColumn(new_col, set_aside_expr(df.columns, col, extra_patterns, match, notes))
 
 
 def normalize_opportunity_type(df: DataFrame, col: str | None = DEFAULT_TYPE_COLUMN,
@@ -159,12 +177,7 @@ def normalize_opportunity_type(df: DataFrame, col: str | None = DEFAULT_TYPE_COL
                                new_col: str = TYPE_OUT, match: str = "first",
                                notes: list[str] | None = None) -> DataFrame:
     """N3 (+N4 defaults, N5 merge, N6 missing column -> constant ``Other``)."""
-    if not col or col not in df.columns:
-        if notes is not None:
-            notes.append(f"type column {col!r} missing: all rows {OTHER_TYPE!r}")
-        return df.withColumn(new_col, F.lit(OTHER_TYPE))
-    buckets = merge_patterns(OPPORTUNITY_BUCKETS, extra_patterns, notes)
-    return df.withColumn(new_col, classify_column(col_ref(col), buckets, OTHER_TYPE, (), match))
+    return df.withColumn(new_col, type_expr(df.columns, col, extra_patterns, match, notes))
 
 
 def type_rank(c: Column) -> Column:

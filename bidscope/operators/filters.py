@@ -66,16 +66,20 @@ def _date_range(c: Column, lo, hi, derived: bool = False) -> Column:
 
 
 def filter_predicate(df: DataFrame, f: Mapping, today: _dt.date, strict: bool = False,
-                     regex_contains: bool = False,
-                     notes: list[str] | None = None) -> Column | None:
-    """One filter to a predicate; ``None`` means "skip" (lenient, F13)."""
+                     regex_contains: bool = False, notes: list[str] | None = None,
+                     ref=col_ref) -> Column | None:
+    """One filter to a predicate; ``None`` means "skip" (lenient, F13).
+
+    ``df`` supplies names, types and the derived flag; ``ref`` maps a name to
+    the column the predicate reads (by default the column of that name).
+    """
     if not isinstance(f, Mapping):
         return _skip(f"filter {f!r} is not an object", strict, notes)
     name, op, val = f.get("column"), f.get("operator"), f.get("value")
     if not name or name not in df.columns:
         return _skip(f"filter column {name!r} not in the table", strict, notes)
     dt = df.schema[name].dataType
-    c = col_ref(name)
+    c = ref(name)
     derived = is_derived(df, name)
     if name in DATE_COLUMNS and not _is_datelike(dt):   # F14
         c, dt, derived = force_date(c, dt), T.DateType(), True
@@ -137,13 +141,13 @@ def _skip(msg: str, strict: bool, notes: list[str] | None):
 
 def combined_predicate(df: DataFrame, filters: Sequence[Mapping] | None, today=None,
                        tz: str = "Africa/Lagos", strict: bool = False,
-                       regex_contains: bool = False,
-                       notes: list[str] | None = None) -> Column | None:
+                       regex_contains: bool = False, notes: list[str] | None = None,
+                       ref=col_ref) -> Column | None:
     """AND of all filters in list order; ``None`` when nothing applies."""
     if not filters:
         return None
     day = resolve_today(today, tz)
-    preds = [p for p in (filter_predicate(df, f, day, strict, regex_contains, notes)
+    preds = [p for p in (filter_predicate(df, f, day, strict, regex_contains, notes, ref)
                          for f in filters) if p is not None]
     return reduce(lambda a, b: a & b, preds) if preds else None
 

@@ -121,9 +121,11 @@ def is_derived(df: DataFrame, name: str) -> bool:
 
 
 def canonical_columns(df: DataFrame, resolved: Mapping[str, str | None],
-                      include_naics: bool = False) -> list[tuple[str, Column]]:
+                      include_naics: bool = False, set_aside_col: str = SET_ASIDE_OUT,
+                      type_col: str = TYPE_OUT) -> list[tuple[str, Column]]:
     """P5: ``(name, expression)`` pairs in canonical order, skipping absent
-    targets.  Parsed dates carry the ``DERIVED`` metadata flag."""
+    targets.  Parsed dates carry the ``DERIVED`` metadata flag.  The bucket
+    columns are read from ``set_aside_col`` / ``type_col``."""
     types = {f.name: f.dataType for f in df.schema.fields}
     cols: list[tuple[str, Column]] = []
 
@@ -140,10 +142,10 @@ def canonical_columns(df: DataFrame, resolved: Mapping[str, str | None],
             if not isinstance(dt, T.DateType):
                 expr = expr.alias(TARGETS[key], metadata={DERIVED: True})
             cols.append((TARGETS[key], expr))
-    if TYPE_OUT in types:
-        cols.append((OPPORTUNITY_TYPE, col_ref(TYPE_OUT)))
-    if SET_ASIDE_OUT in types:
-        cols.append((SET_ASIDE, col_ref(SET_ASIDE_OUT)))
+    if type_col in types:
+        cols.append((OPPORTUNITY_TYPE, col_ref(type_col)))
+    if set_aside_col in types:
+        cols.append((SET_ASIDE, col_ref(set_aside_col)))
     if src("uilink"):
         cols.append((UILINK, col_ref(src("uilink"))))
     if include_naics and src("naics"):

@@ -13,13 +13,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.classify import (DEFAULT_SET_ASIDE_COLUMN, DEFAULT_TYPE_COLUMN, SET_ASIDE_OUT,
-                                  TYPE_OUT, normalize_opportunity_type, normalize_set_aside)
+from ..functions.classify import (DEFAULT_SET_ASIDE_COLUMN, DEFAULT_TYPE_COLUMN, NO_SET_ASIDE,
+                                  SET_ASIDE_OUT, TYPE_OUT, normalize_opportunity_type,
+                                  normalize_set_aside, set_aside_expr, type_expr)
+from ..functions.text import col_ref
 from ..functions.dates import DEFAULT_TZ, resolve_today
 from ..operators.filters import apply_filters, combined_predicate
 from ..operators.order import ROW_ID, canonical_sort, canonical_sort_keys, global_sort
-from ..operators.project import (CANONICAL_ORDER, NAICS, project_canonical, resolve_columns,
-                                 select_output_columns)
+from ..operators.project import (CANONICAL_ORDER, NAICS, SET_ASIDE, canonical_columns,
+                                 project_canonical, resolve_columns, select_output_columns)
 from .plan import Plan, validate
 
 PLAN_ID = "plan_id"
@@ -103,12 +105,15 @@ def run_saved_plans(df: DataFrame, plans: Mapping[str, object], today=None,
                     tz: str = DEFAULT_TZ, strict: bool = False, match: str = "first",
                     parity: bool = False, tie_break: Sequence[str] | None = None,
                     sort: bool = False, notes: list[str] | None = None) -> DataFrame:
-    """L4: many plans over one table, one output with a ``plan_id`` column.
-
-    Plans that classify and project the same way share one scan: each row
-    gets the array of plan ids whose predicates it meets, then ``explode``
-    (a narrow operator, no shuffle).  Groups with other classification
-    settings are separate scans joined by ``unionByName``.
+    """L4: many plans over one table in ONE scan, one output with a
+    ``plan_id`` column.
+
+    Plans are grouped by how they classify and project (columns, patterns,
+    drop rule).  One projection of the input computes every group's buckets
+    and canonical columns (``g<i>|<name>``); each plan then contributes a
+    ``struct`` of its group's columns when its predicate holds, and
+    ``explode`` of the non-null structs emits the rows -- a narrow plan, no
+    shuffle, and the table is read once however many plans and groups.
     """
     day = resolve_today(today, tz)
     groups: dict[str, list[tuple[str, Plan]]] = {}
@@ -117,19 +122,62 @@ def run_saved_plans(df: DataFrame, plans: Mapping[str, object], today=None,
         groups.setdefault(_signature(plan, parity), []).append((str(pid), plan))
     hidden = [ROW_ID] if ROW_ID in df.columns else []
     ties = list(tie_break) if tie_break is not None else hidden
-    carry = [c for c in ties if c not in CANONICAL_ORDER]
-    parts = []
-    for members in groups.values():
-        staged = stage(df, members[0][1], match, parity, carry, notes)
-        tags = []
-        for pid, plan in members:
-            pred = combined_predicate(staged, plan.filters, day, tz, strict, False, notes)
-            tags.append(F.lit(pid) if pred is None else F.when(pred, F.lit(pid)))
-        ids = F.filter(F.array(*tags), lambda x: x.isNotNull())
-        parts.append(staged.select(F.explode(ids).alias(PLAN_ID), *staged.columns))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+    carry = [c for c in ties if c in df.columns and c not in CANONICAL_ORDER]
+    members = list(groups.values())
+
+    # Level 1: every group's buckets next to the raw columns.
+    buckets = []
+    for g, group in enumerate(members):
+        plan = group[0][1]
+        buckets += [
+            set_aside_expr(df.columns, plan.columns.get("set_aside_column") or DEFAULT_SET_ASIDE_COLUMN,
+                           plan.set_aside_patterns, match, notes).alias(f"__sa{g}"),
+            type_expr(df.columns, plan.columns.get("opportunity_type_column") or DEFAULT_TYPE_COLUMN,
+                      plan.opportunity_type_patterns, match, notes).alias(f"__ty{g}")]
+    level1 = df.select("*", *buckets)
+
+    # Level 2: every group's canonical columns under a group prefix.
+    layout = []  # (group index, members, drop rule, canonical names)
+    projected = [col_ref(c) for c in carry]
+    for g, group in enumerate(members):
+        plan = group[0][1]
+        resolved = resolve_columns(df.columns, plan.columns, notes)
+        pairs = canonical_columns(level1, resolved, plan.mentions(NAICS),
+                                  set_aside_col=f"__sa{g}", type_col=f"__ty{g}")
+        projected += [expr.alias(f"g{g}|{name}") for name, expr in pairs]
+        layout.append((g, group, parity or not plan.asks_for_no_set_aside(), [n for n, _ in pairs]))
+    level2 = level1.select(*projected)
+    types = {f.name: f.dataType for f in level2.schema.fields}
+
+    names: list[str] = []
+    for _, _, _, group_names in layout:
+        names += [n for n in group_names if n not in names]
+    names = [n for n in (*CANONICAL_ORDER, NAICS) if n in names] + carry
+    name_type = {}
+    for g, _, _, group_names in layout:
+        for n in group_names:
+            name_type.setdefault(n, types[f"g{g}|{n}"])
+
+    tags = []
+    for g, group, drop, group_names in layout:
+        def ref(name, g=g):
+            return col_ref(name if name in carry else f"g{g}|{name}")
+        view = level2.select(*[col_ref(f"g{g}|{n}").alias(n) for n in group_names],
+                             *[col_ref(c) for c in carry])
+        keep = None
+        if drop and SET_ASIDE in group_names:  # F0 for this group
+            keep = F.coalesce(ref(SET_ASIDE), F.lit(NO_SET_ASIDE)) != F.lit(NO_SET_ASIDE)
+        fields = [(ref(n) if (n in group_names or n in carry)
+                   else F.lit(None).cast(name_type[n])).alias(n) for n in names]
+        for pid, plan in group:
+            pred = combined_predicate(view, plan.filters, day, tz, strict, False, notes, ref)
+            cond = keep if pred is None else (pred if keep is None else keep & pred)
+            row = F.struct(F.lit(pid).alias(PLAN_ID), *fields)
+            tags.append(row if cond is None else F.when(cond, row))
+    hits = F.filter(F.array(*tags), lambda x: x.isNotNull())
+    out = level2.select(F.explode(hits).alias("_hit")).select(
+        F.col("_hit." + PLAN_ID).alias(PLAN_ID),
+        *[F.col("_hit").getField(n).alias(n) for n in names])
     if sort:
         out = global_sort(out, [F.col(PLAN_ID), *canonical_sort_keys(out, ties)])
     return out.drop(*carry) if carry else out

@@ -70,3 +70,21 @@ def test_saved_plans_equal_single_runs(spark):
         got = sorted(tuple(r)[1:] for r in combined.where(f"plan_id = '{pid}'").collect())
         want = sorted(tuple(r) for r in run_plan(n, plan, today="1998-02-04", sort=False).collect())
         assert got == want, pid
+
+
+def test_saved_plans_read_the_table_once(spark, tmp_path):
+    from bidscope.plans.run import run_saved_plans
+    path = str(tmp_path / "sheet")
+    notices(spark, SF001).write.parquet(path)
+    plans = {"a": FLAGSHIP,
+             "b": {"set_aside_patterns": {"8(A)": ["8(a)"]},
+                   "filters": [{"column": "Normalized Set Aside", "operator": "in", "value": ["8(A)"]}]},
+             "c": {"columns": {"title": "UiLink"},
+                   "filters": [{"column": "Title", "operator": "contains", "value": "opp/1"}]}}
+    out = run_saved_plans(spark.read.parquet(path), plans, today="1998-02-04")
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan parquet") == 1 and "Exchange" not in text
+    got = {pid: n for pid, n in out.groupBy("plan_id").count().collect()}
+    for pid, plan in plans.items():
+        assert got.get(pid, 0) == run_plan(spark.read.parquet(path), plan,
+                                           today="1998-02-04").count(), pid
