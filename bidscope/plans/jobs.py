@@ -34,7 +34,11 @@ def run_and_export(df: DataFrame, plan, out_path: str, fmt: str = "csv",
     frames = {names[FILTERED_SHEET]: result}
     if plan.summary_by:
         unsorted = run_plan(df, plan, today=day, tz=tz, sort=False, **kw)
-        frames[names[SUMMARY_SHEET]] = grouped_summary(unsorted, plan.summary_by, today=day)
+        keys = [k for k in plan.summary_by if k in unsorted.columns]
+        notes += [f"summary column {k!r} not in the result: skipped"
+                  for k in plan.summary_by if k not in keys]
+        if keys:
+            frames[names[SUMMARY_SHEET]] = grouped_summary(unsorted, keys, today=day)
     counts = write_sheets(frames, out_path, fmt=fmt)
     rows = counts[names[FILTERED_SHEET]]
     status = "ok" if rows else "empty"
