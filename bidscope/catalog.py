@@ -29,6 +29,7 @@ from .operators.summary import grouped_summary
 from .plans.run import run_plan, run_saved_plans, stage
 from .plans.plan import Plan
 from .session import scratch_path
+from .sources.readers import PANDAS_NA_TOKENS
 
 TODAY = "1998-02-04"
 TIE = ["Solicitation Number"]
@@ -448,8 +449,7 @@ def _sql_saved_plans() -> str:
     return " UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts)
 
 
-_NA = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
-       "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+_NA = PANDAS_NA_TOKENS
 
 
 def _sql_csv_round_trip() -> str:
