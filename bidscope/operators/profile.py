@@ -61,27 +61,38 @@ def _value_text(c: Column, dt: T.DataType) -> Column:
     return c.cast("string")
 
 
-def _prune_partition(n: int, ncols: int, key_type: pa.DataType):
+def _prune_partition(n: int, ncols: int, key_type: pa.DataType, scan_order: bool):
     """Per-partition candidates.  Rows arrive in ascending key order, so a
     value's first occurrence carries its smallest key in this partition and
     the first ``n`` distinct values of a column are its local top ``n``; a
-    column is done (and never converted again) once it has ``n`` values."""
+    column is done (and never converted again) once it has ``n`` values.
+
+    In scan order the key is the row's position, rebuilt here as
+    ``partition << 33 | row`` (the layout of ``monotonically_increasing_id``)
+    instead of being shipped with every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
         import pandas as pd
+        from pyspark import TaskContext
+        base = TaskContext.get().partitionId() << 33
+        first_col = 0 if scan_order else 1
         found: list[dict] = [dict() for _ in range(ncols)]  # value -> first key
         open_cols = set(range(ncols))
+        offset = 0
         for batch in batches:
+            start, offset = offset, offset + batch.num_rows
             if not open_cols:
                 continue
             keys = None
             for i in sorted(open_cols):
-                vals = batch.column(i + 1).to_pandas()
+                vals = batch.column(i + first_col).to_pandas()
                 mask = vals.notna().to_numpy()
                 if not mask.any():
                     continue
                 if keys is None:
-                    keys = batch.column(0).to_pandas()
+                    keys = (pd.Series(base + start + np.arange(batch.num_rows, dtype=np.int64))
+                            if scan_order else batch.column(0).to_pandas())
                 firsts = pd.Series(keys.to_numpy()[mask], index=vals.to_numpy()[mask])
                 firsts = firsts[~firsts.index.duplicated(keep="first")]
                 seen = found[i]
@@ -118,22 +129,20 @@ def first_distinct_values(df: DataFrame, n: int = EXAMPLES_PER_COLUMN,
     """
     from pyspark.sql.pandas.types import to_arrow_type
     fields = df.schema.fields
+    values = [_value_text(col_ref(f.name), f.dataType).alias(f"c{i}")
+              for i, f in enumerate(fields)]
     if order_by:
-        key = col_ref(order_by)
         key_type = df.schema[order_by].dataType
+        texts = (df.select(col_ref(order_by).alias("_k"), *values)
+                   .where(F.col("_k").isNotNull()).sortWithinPartitions("_k"))
     else:
-        key = F.monotonically_increasing_id()
         key_type = T.LongType()
-    texts = df.select(key.alias("_k"),
-                      *[_value_text(col_ref(f.name), f.dataType).alias(f"c{i}")
-                        for i, f in enumerate(fields)])
-    if order_by:
-        texts = texts.where(F.col("_k").isNotNull()).sortWithinPartitions("_k")
+        texts = df.select(*values)
     out_schema = T.StructType([T.StructField("col", T.IntegerType()),
                                T.StructField("value", T.StringType()),
                                T.StructField("_k", key_type)])
-    pruned = texts.mapInArrow(_prune_partition(n, len(fields), to_arrow_type(key_type)),
-                              out_schema)
+    pruned = texts.mapInArrow(_prune_partition(n, len(fields), to_arrow_type(key_type),
+                                               scan_order=order_by is None), out_schema)
     firsts = pruned.groupBy("col", "value").agg(F.min("_k").alias("_k"))
     w = Window.partitionBy("col").orderBy(F.col("_k").asc(), F.col("value").asc())
     names = F.array(*[F.lit(f.name) for f in fields])

@@ -79,3 +79,13 @@ def test_best_candidates(spark):
                                 ("bad", "z", "2024-02-01")], "a string, b string, c string")
     ranked = best_candidates(candidate_columns(df)).where("role = 'date'").orderBy("rank").collect()
     assert [r["name"] for r in ranked] == ["c", "a"]  # 2/2 beats 2/3
+
+
+def test_scan_order_key_matches_row_ids(spark, tmp_path):
+    rows = [(f"v{(i * 37) % 23}", i % 5 if i % 4 else None) for i in range(300)]
+    spark.createDataFrame(rows, "a string, b long").repartition(3).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    implicit = sorted(map(tuple, first_distinct_values(df).collect()))
+    explicit = first_distinct_values(df.withColumn("_row", F.monotonically_increasing_id()),
+                                     order_by="_row").where("name != '_row'")
+    assert implicit == sorted(map(tuple, explicit.collect()))
