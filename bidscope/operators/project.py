@@ -102,6 +102,39 @@ def resolve_columns(columns: Sequence[str], column_map: Mapping[str, str] | None
     return out
 
 
+def disambiguate(df: DataFrame) -> DataFrame:
+    """Make names that differ only in case (``UiLink`` / ``UIlink``) usable
+    in a case-insensitive session.
+
+    Renaming is positional (``toDF``), so no name is resolved on the way.
+    In each colliding group the name the candidate lists prefer keeps its
+    spelling and the others get a ``#k`` suffix; a case-sensitive session is
+    left alone.
+    """
+    if str(df.sparkSession.conf.get("spark.sql.caseSensitive", "false")).lower() == "true":
+        return df
+    groups: dict[str, list[str]] = {}
+    for c in df.columns:
+        groups.setdefault(c.lower(), []).append(c)
+    if all(len(g) == 1 for g in groups.values()):
+        return df
+    priority = [n for cands in CANDIDATES.values() for n in cands] + list(NAICS_CANDIDATES)
+    rank = {n: i for i, n in enumerate(priority)}
+    keep = {k: min(g, key=lambda n: (rank.get(n, len(rank)), g.index(n))) for k, g in groups.items()}
+    counts: dict[str, int] = {}
+    kept: set[str] = set()
+    names = []
+    for c in df.columns:
+        k = c.lower()
+        if c == keep[k] and k not in kept:
+            kept.add(k)
+            names.append(c)
+        else:
+            counts[k] = counts.get(k, 0) + 1
+            names.append(f"{c}#{counts[k]}")
+    return df.toDF(*names)
+
+
 def drop_no_set_aside(df: DataFrame, col: str = SET_ASIDE_OUT) -> DataFrame:
     """keep rows whose bucket is set and is not ``NO SET-ASIDE``."""
     if col not in df.columns:

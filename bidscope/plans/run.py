@@ -21,7 +21,8 @@ from ..functions.dates import DEFAULT_TZ, resolve_today
 from ..operators.filters import apply_filters, combined_predicate
 from ..operators.order import ROW_ID, canonical_sort, canonical_sort_keys, global_sort
 from ..operators.project import (CANONICAL_ORDER, NAICS, SET_ASIDE, canonical_columns,
-                                 project_canonical, resolve_columns, select_output_columns)
+                                 disambiguate, project_canonical, resolve_columns,
+                                 select_output_columns)
 from .plan import Plan, validate
 
 PLAN_ID = "plan_id"
@@ -74,6 +75,7 @@ def run_plan(df: DataFrame, plan, today=None, tz: str = DEFAULT_TZ, strict: bool
     """
     plan = _as_plan(plan)
     day = resolve_today(today, tz)
+    df = disambiguate(df)
     if notes is not None:
         notes.extend("plan: " + p for p in validate(plan))
     hidden = [ROW_ID] if ROW_ID in df.columns else []
@@ -116,6 +118,7 @@ def run_saved_plans(df: DataFrame, plans: Mapping[str, object], today=None,
     shuffle, and the table is read once however many plans and groups.
     """
     day = resolve_today(today, tz)
+    df = disambiguate(df)
     groups: dict[str, list[tuple[str, Plan]]] = {}
     for pid, p in plans.items():
         plan = _as_plan(p)

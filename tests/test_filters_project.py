@@ -136,3 +136,15 @@ def test_output_columns(spark):
     assert out.columns == ["Solicitation Number", "Title", "Opportunity Type",
                            "Solicitation Date", "Extra"]
     assert out.first()["Extra"] == "x"
+
+
+def test_case_colliding_names_in_case_insensitive_session(spark):
+    spark.conf.set("spark.sql.caseSensitive", "false")
+    try:
+        df = spark.createDataFrame([("a", "l2", "l1", "SDVOSB")],
+                                   "NoticeId string, UIlink string, UiLink string, "
+                                   "TypeOfSetAsideDescription string")
+        out = run_plan(df, {}, today=TODAY).collect()
+        assert out[0]["UiLink"] == "l1"  # the candidate list prefers UiLink
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", "true")
