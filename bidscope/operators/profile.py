@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from ..functions.classify import OPPORTUNITY_BUCKETS, SET_ASIDE_BUCKETS
 from ..functions.dates import force_date
 from ..functions.text import any_substring, col_ref, py_strip
+from .project import disambiguate
 
 EXAMPLES_PER_COLUMN = 10  # fixed value: example values per column
 
@@ -39,6 +40,7 @@ def count_rows(df: DataFrame) -> DataFrame:
 def profile_counts(df: DataFrame) -> DataFrame:
     """``name, position, dtype, non_null_count, row_count,
     column_count``, one row per column, from a single aggregate pass."""
+    df = disambiguate(df)
     fields = df.schema.fields
     aggs = [F.count(F.lit(1)).alias("_rows")]
     aggs += [F.count(F.when(_non_null(col_ref(f.name), f.dataType), F.lit(1))).alias(f"_c{i}")
@@ -128,6 +130,7 @@ def first_distinct_values(df: DataFrame, n: int = EXAMPLES_PER_COLUMN,
     exceeds its global rank, so the global top ``n`` survive.
     """
     from pyspark.sql.pandas.types import to_arrow_type
+    df = disambiguate(df)
     fields = df.schema.fields
     values = [_value_text(col_ref(f.name), f.dataType).alias(f"c{i}")
               for i, f in enumerate(fields)]
@@ -190,6 +193,7 @@ def candidate_columns(df: DataFrame) -> DataFrame:
     earlier role on ties)."""
     sa_pats = [p for _, pats in SET_ASIDE_BUCKETS for p in pats]
     ty_pats = [p for _, pats in OPPORTUNITY_BUCKETS for p in pats]
+    df = disambiguate(df)
     fields = df.schema.fields
     flags, aggs = [], []
     for i, f in enumerate(fields):

@@ -20,7 +20,7 @@ from ..functions.classify import (DEFAULT_SET_ASIDE_COLUMN, DEFAULT_TYPE_COLUMN,
                                   TYPE_OUT)
 from ..functions.dates import DEFAULT_TZ, force_date, last_week, resolve_today, this_week
 from ..functions.text import col_ref
-from ..operators.project import SOLICITATION_DATE, resolve_columns
+from ..operators.project import SOLICITATION_DATE, disambiguate, resolve_columns
 from ..sinks.exports import write_parquet
 from .plan import Plan
 from .run import _as_plan, normalize, run_plan
@@ -38,6 +38,7 @@ def ingest(df: DataFrame, path: str, column_map: Mapping[str, str] | None = None
     of the rows and merges small ones, so neither a hot month nor many
     months per task produce one huge or many tiny files.
     """
+    df = disambiguate(df)
     resolved = resolve_columns(df.columns, column_map)
     types = {f.name: f.dataType for f in df.schema.fields}
     out = normalize(df, Plan(columns=dict(column_map or {})))
