@@ -315,6 +315,7 @@ def st_stream_plan(spark, sf_dir):
     schema = read_table(spark, sf_dir, "orders").select(*ORDER_COLUMNS).schema
     stream = (spark.readStream.schema(read_table(spark, sf_dir, "orders").schema)
               .option("pathGlobFilter", "orders.parquet")
+              .option("maxFilesPerTrigger", 64)  # bounded micro-batches over a backlog
               .parquet(sf_dir.rstrip("/")).select(*schema.names))
     src = notices_from_orders(spark, sf_dir, stream)
     sink = scratch_path(spark, "stream-out")
