@@ -12,7 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import any_substring, col_ref, has_edge_space, py_strip
+from .text import (PY_WHITESPACE_CLASS, any_substring, col_ref, has_edge_space,
+                   java_regex_literal, py_strip)
 
 # ---------------------------------------------------------------------------
 # They must equal the reference's defaults for equal results.
@@ -102,6 +103,12 @@ def classify_column(value: Column, buckets: Sequence[tuple[str, Sequence[str]]],
     low = F.lower(value.cast("string"))
     v = py_strip(low)
     lowered = [(b, [p.lower() for p in pats if p != ""]) for b, pats in buckets]
+    # "stripped text is one of null_text" as one regex on the unstripped text
+    # (whitespace allowed around the token): no strip per row.
+    is_null_text = (low.rlike("^" + PY_WHITESPACE_CLASS + "*(?:"
+                              + "|".join(java_regex_literal(t) for t in null_text if t)
+                              + ")?" + PY_WHITESPACE_CLASS + "*$")
+                    if null_text else None)
 
     def hits(pats):
         # Stripping only matters to a pattern that itself starts or ends with
@@ -116,7 +123,7 @@ def classify_column(value: Column, buckets: Sequence[tuple[str, Sequence[str]]],
         return cond
 
     if match == "first":
-        expr = F.when(v.isin(list(null_text)), F.lit(None).cast("string")) if null_text else None
+        expr = F.when(is_null_text, F.lit(None).cast("string")) if null_text else None
         for bucket, pats in lowered:
             if not pats:
                 continue
@@ -135,7 +142,7 @@ def classify_column(value: Column, buckets: Sequence[tuple[str, Sequence[str]]],
         best = F.array_max(F.array(*found))["b"] if found else F.lit(None).cast("string")
         expr = F.coalesce(best, F.lit(default))
         if null_text:
-            expr = F.when(v.isin(list(null_text)), F.lit(None).cast("string")).otherwise(expr)
+            expr = F.when(is_null_text, F.lit(None).cast("string")).otherwise(expr)
         return expr
     raise ValueError(f"unknown match mode {match!r}")
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.classify import OPPORTUNITY_BUCKETS, SET_ASIDE_BUCKETS
 from ..functions.dates import force_date
-from ..functions.text import any_substring, col_ref, py_strip
+from ..functions.text import PY_WHITESPACE_CLASS, any_substring, col_ref, py_strip
 from .project import disambiguate
 
 EXAMPLES_PER_COLUMN = 10  # fixed value: example values per column
@@ -204,7 +204,8 @@ def candidate_columns(df: DataFrame) -> DataFrame:
             "date": force_date(c, f.dataType).isNotNull(),
             "set_aside": any_substring(low, sa_pats),
             "type": any_substring(low, ty_pats),
-            "naics": py_strip(c.cast("string")).rlike(r"^[0-9]{6}$"),
+            "naics": c.cast("string").rlike(f"^{PY_WHITESPACE_CLASS}*[0-9]{{6}}"
+                                            f"{PY_WHITESPACE_CLASS}*$"),
         }
         # Flags first (one projection, shared subexpressions), counts after.
         flags.append(present.alias(f"p{i}"))
