@@ -16,8 +16,22 @@ from pyspark.sql import functions as F
 PY_WHITESPACE = "".join(ch for ch in map(chr, range(sys.maxunicode + 1)) if ch.isspace())
 
 
-# The same set as a Java regex character class (every member as \uXXXX).
-PY_WHITESPACE_CLASS = "[" + "".join(f"\\u{ord(ch):04X}" for ch in PY_WHITESPACE) + "]"
+def _char_class(chars: str) -> str:
+    """A Java regex character class for ``chars``, consecutive code points
+    merged into ranges (fewer class members, faster matching)."""
+    points = sorted({ord(c) for c in chars})
+    parts, start = [], None
+    for i, p in enumerate(points):
+        if start is None:
+            start = p
+        if i + 1 == len(points) or points[i + 1] != p + 1:
+            parts.append(f"\\u{start:04X}" if start == p else f"\\u{start:04X}-\\u{p:04X}")
+            start = None
+    return "[" + "".join(parts) + "]"
+
+
+# The same set as a Java regex character class.
+PY_WHITESPACE_CLASS = _char_class(PY_WHITESPACE)
 
 
 def has_edge_space(text: str) -> bool:
