@@ -4,7 +4,8 @@ Spark has no workbook source, so files arrive through the ``binaryFile``
 source (one workbook per record, spread over tasks) and are parsed with the
 standard library (``zipfile`` + ``ElementTree``) inside ``mapInPandas``.  A
 first light pass reads only the header rows to fix the schema (the union of
-column names, in first-seen order); the second emits the cells as text, and
+column names, in first-seen order); the second emits the cells as text into a
+parquet table under ``spark.checkpoint.dir`` (so the XML is parsed once), and
 the usual one-pass inference narrows numeric columns.
 """
 
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.sizing import materialize
 from .readers import PANDAS_NA_TOKENS, infer_types, null_tokens
 
 _M = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -160,4 +162,8 @@ def read_workbooks(spark: SparkSession, path: str, na_tokens=PANDAS_NA_TOKENS,
     df = files.mapInPandas(cells, schema)
     if na_tokens is not None:
         df = null_tokens(df, na_tokens)
+    # Parse the workbooks once: the cells land as parquet on shared storage,
+    # and type inference and every later action read that instead of
+    # re-running the XML parsing.
+    df = materialize(df, "xlsx-cells")
     return infer_types(df, skip=("_file",)) if infer else df
