@@ -132,6 +132,20 @@ def p5_final_table(spark, sf_dir):
     return dates_as_text(final(spark, sf_dir))
 
 
+COLUMN_MAP_PLAN = {
+    "columns": {"title": "Agency", "agency": "Title", "uilink": "NaicsCode",
+                "solicitation_date": "PostedDate", "due_date": "",
+                "set_aside_column": "TypeOfSetAsideDescription", "opportunity_type_column": "Type"},
+    "filters": [{"column": "Normalized Set Aside", "operator": "in", "value": ["SDVOSB"]}]}
+
+
+def p2_column_map(spark, sf_dir):
+    """The plan's column choices win over the candidate lists (an
+    empty choice falls back to them)."""
+    return dates_as_text(run_plan(notices(spark, sf_dir), COLUMN_MAP_PLAN, today=TODAY,
+                                  tie_break=TIE))
+
+
 P6_COLUMNS = ["SolicitationNumber", "Title", "Type", "PostedDate"]
 
 
@@ -346,6 +360,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "n5_extra_patterns": n5_extra_patterns,
     "f0_drop": f0_drop,
     "p5_final_table": p5_final_table,
+    "p2_column_map": p2_column_map,
     "p6_columns": p6_columns,
     "o1_sorted_positions": o1_sorted_positions,
     "k4_top50": k4_top50,
@@ -519,6 +534,12 @@ def oracle_sql() -> dict[str, str]:
                                    "Normalized_Set_Aside IS NOT NULL AND "
                                    "Normalized_Set_Aside <> 'NO SET-ASIDE'"),
         "p5_final_table": _final_sql(),
+        "p2_column_map": O.final_cte() + (
+            "SELECT \"Solicitation Number\", \"Agency\" AS \"Title\", \"Title\" AS \"Agency\", "
+            "CAST(\"Solicitation Date\" AS VARCHAR) AS \"Solicitation Date\", "
+            "CAST(\"Due Date\" AS VARCHAR) AS \"Due Date\", \"Opportunity Type\", "
+            "\"Normalized Set Aside\", \"NAICS\" AS \"UiLink\" FROM final WHERE "
+            + FILTER_SQL["f1_in"]),
         "p6_columns": _sql_p6(),
         "o1_sorted_positions": _sql_o1_positions(),
         "k4_top50": _sql_top50(),
