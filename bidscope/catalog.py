@@ -22,8 +22,9 @@ from .functions.classify import (OPPORTUNITY_BUCKETS, SET_ASIDE_BUCKETS, SET_ASI
 from .functions.dates import force_date
 from .functions.text import col_ref
 from .operators.order import canonical_sort_keys, preview, top_n, with_positions
-from .operators.profile import (candidate_columns, count_rows, first_distinct_values,
-                                profile_counts, profile_document, sample_rows)
+from .operators.profile import (best_candidates, candidate_columns, count_rows,
+                                first_distinct_values, profile_counts, profile_document,
+                                sample_rows)
 from .operators.project import drop_no_set_aside
 from .operators.summary import grouped_summary
 from .plans.run import run_plan, run_saved_plans, stage
@@ -77,6 +78,11 @@ def e4_candidates(spark, sf_dir):
     return candidate_columns(notices(spark, sf_dir))
 
 
+def e4_best_candidates(spark, sf_dir):
+    """E4 ranking: per role, columns by hit share (ties: schema position)."""
+    return best_candidates(candidate_columns(notices(spark, sf_dir)))
+
+
 def e5_sample(spark, sf_dir):
     return sample_rows(notices(spark, sf_dir), n=25, seed=7)
 
@@ -351,6 +357,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "e2_examples": e2_examples,
     "e3_profile_document": e3_profile_document,
     "e4_candidates": e4_candidates,
+    "e4_best_candidates": e4_best_candidates,
     "e5_sample": e5_sample,
     "d1_force_date": d1_force_date,
     "n1_set_aside": n1_set_aside,
@@ -402,7 +409,8 @@ def _sql_examples() -> str:
         f"FROM r WHERE rn <= 10")
 
 
-def _sql_candidates() -> str:
+def _sql_candidate_ctes() -> str:
+    """CTEs ``notices``, ``c`` (per-column hit counts) and ``cc`` (+ role)."""
     sa = [p for _, ps in SET_ASIDE_BUCKETS for p in ps]
     ty = [p for _, ps in OPPORTUNITY_BUCKETS for p in ps]
     parts = []
@@ -419,8 +427,22 @@ def _sql_candidates() -> str:
     best = "greatest(date_hits, set_aside_hits, type_hits, naics_hits)"
     role = " ".join(f"WHEN {r}_hits = {best} AND {best} > 0 AND {best} * 2 >= non_null_count "
                     f"THEN '{r}'" for r in ("date", "set_aside", "type", "naics"))
-    return O.with_notices(f", c AS ({' UNION ALL '.join(parts)}) SELECT *, CASE {role} END "
-                          f"AS candidate_role FROM c")
+    return O.with_notices(f", c AS ({' UNION ALL '.join(parts)}), cc AS (SELECT *, CASE {role} "
+                          f"END AS candidate_role FROM c)")
+
+
+def _sql_candidates() -> str:
+    return _sql_candidate_ctes() + " SELECT * FROM cc"
+
+
+def _sql_best_candidates() -> str:
+    roles = " UNION ALL ".join(
+        f"SELECT '{r}' AS role, name, position, non_null_count, {r}_hits AS hits FROM cc"
+        for r in ("date", "set_aside", "type", "naics"))
+    return _sql_candidate_ctes() + (
+        f", roles AS ({roles}) SELECT role, CAST(row_number() OVER (PARTITION BY role ORDER BY "
+        "CAST(hits AS DOUBLE) / non_null_count DESC, position) AS INTEGER) AS rank, name, hits, "
+        "non_null_count FROM roles WHERE hits > 0")
 
 
 def _sql_normalized(cols: str, sa: str, ty: str, where: str = "TRUE") -> str:
@@ -510,6 +532,7 @@ def oracle_sql() -> dict[str, str]:
         "e1_profile_counts": _sql_profile_counts(),
         "e2_examples": _sql_examples(),
         "e4_candidates": _sql_candidates(),
+        "e4_best_candidates": _sql_best_candidates(),
         "d1_force_date": O.with_notices(
             f"SELECT SolicitationNumber, PostedDate, CAST({O.force_date('PostedDate')} AS VARCHAR) "
             f"AS posted_date, CAST({O.force_date('ResponseDeadLine')} AS VARCHAR) AS due_date "
