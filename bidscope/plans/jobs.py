@@ -13,7 +13,8 @@ from ..functions.dates import DEFAULT_TZ, resolve_today
 from ..operators.audit import log_event
 from ..operators.summary import grouped_summary
 from ..sinks.exports import write_sheets
-from .run import _as_plan, run_plan
+from ..operators.sizing import materialize
+from .run import _as_plan, finish_rows, plan_rows
 
 FILTERED_SHEET = "Filtered"
 SUMMARY_SHEET = "Summary"
@@ -28,17 +29,20 @@ def run_and_export(df: DataFrame, plan, out_path: str, fmt: str = "csv",
     plan = _as_plan(plan)
     day = resolve_today(today, tz)
     notes: list[str] = []
-    result = run_plan(df, plan, today=day, tz=tz, notes=notes, **kw)
+    pr = plan_rows(df, plan, today=day, tz=tz, notes=notes, **kw)
     names = {FILTERED_SHEET: FILTERED_SHEET, SUMMARY_SHEET: SUMMARY_SHEET}
     names.update({k: str(v) for k, v in (plan.sheets or {}).items() if k in names and v})
-    frames = {names[FILTERED_SHEET]: result}
-    if plan.summary_by:
-        unsorted = run_plan(df, plan, today=day, tz=tz, sort=False, **kw)
-        keys = [k for k in plan.summary_by if k in unsorted.columns]
-        notes += [f"summary column {k!r} not in the result: skipped"
-                  for k in plan.summary_by if k not in keys]
-        if keys:
-            frames[names[SUMMARY_SHEET]] = grouped_summary(unsorted, keys, today=day)
+    keys = [k for k in (plan.summary_by or []) if k in pr.rows.columns]
+    notes += [f"summary column {k!r} not in the result: skipped"
+              for k in (plan.summary_by or []) if k not in keys]
+    if keys:
+        # Two outputs from one pass over the input: the filtered rows (usually
+        # a small share) are written once to shared storage, then sorted for
+        # the Filtered sheet and aggregated for the Summary sheet.
+        pr = pr.with_rows(materialize(pr.rows, "plan-rows"))
+    frames = {names[FILTERED_SHEET]: finish_rows(pr, notes=notes)}
+    if keys:
+        frames[names[SUMMARY_SHEET]] = grouped_summary(pr.rows, keys, today=day)
     counts = write_sheets(frames, out_path, fmt=fmt)
     rows = counts[names[FILTERED_SHEET]]
     status = "ok" if rows else "empty"

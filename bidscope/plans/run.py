@@ -64,15 +64,23 @@ def stage(df: DataFrame, plan: Plan, match: str = "first", parity: bool = False,
                              include_naics=plan.mentions(NAICS), carry=carry, notes=notes)
 
 
-def run_plan(df: DataFrame, plan, today=None, tz: str = DEFAULT_TZ, strict: bool = False,
-             match: str = "first", parity: bool = False, tie_break: Sequence[str] | None = None,
-             sort: bool = True, regex_contains: bool = False,
-             notes: list[str] | None = None, reuse_buckets: bool = False) -> DataFrame:
-    """L3: the reference's request pipeline as one lazy DataFrame.
+class PlanRows:
+    """A plan's filtered canonical rows before the sort, with what is needed
+    to finish them: hidden sort keys and carried raw columns."""
 
-    ``today`` (a date or ISO text) fixes the calendar for repeatable runs;
-    by default it is read once, in ``tz``, for the whole plan.
-    """
+    def __init__(self, rows: DataFrame, plan: Plan, ties: list[str], carry: list[str],
+                 resolved: dict):
+        self.rows, self.plan, self.ties, self.carry, self.resolved = rows, plan, ties, carry, resolved
+
+    def with_rows(self, rows: DataFrame) -> "PlanRows":
+        return PlanRows(rows, self.plan, self.ties, self.carry, self.resolved)
+
+
+def plan_rows(df: DataFrame, plan, today=None, tz: str = DEFAULT_TZ, strict: bool = False,
+              match: str = "first", parity: bool = False,
+              tie_break: Sequence[str] | None = None, regex_contains: bool = False,
+              notes: list[str] | None = None, reuse_buckets: bool = False) -> PlanRows:
+    """Classify, drop, project and filter (no sort, hidden columns kept)."""
     plan = _as_plan(plan)
     day = resolve_today(today, tz)
     df = disambiguate(df)
@@ -90,13 +98,32 @@ def run_plan(df: DataFrame, plan, today=None, tz: str = DEFAULT_TZ, strict: bool
     carry = [c for c in [*ties, *raw_wanted] if c not in CANONICAL_ORDER]
     staged = stage(df, plan, match, parity, carry, notes, reuse_buckets)
     filtered = apply_filters(staged, plan.filters, day, tz, strict, regex_contains, notes)
-    ordered = canonical_sort(filtered, ties) if sort else filtered
-    if plan.output_columns:
-        return select_output_columns(ordered, plan.output_columns, resolved, notes)
-    drop = [c for c in carry if c in ordered.columns]
+    return PlanRows(filtered, plan, ties, carry, resolved)
+
+
+def finish_rows(pr: PlanRows, sort: bool = True, notes: list[str] | None = None) -> DataFrame:
+    """O1 sort (optional), then the output columns (P6) or the canonical ones."""
+    ordered = canonical_sort(pr.rows, pr.ties) if sort else pr.rows
+    if pr.plan.output_columns:
+        return select_output_columns(ordered, pr.plan.output_columns, pr.resolved, notes)
+    drop = [c for c in pr.carry if c in ordered.columns]
     return ordered.drop(*drop) if drop else ordered
 
 
+def run_plan(df: DataFrame, plan, today=None, tz: str = DEFAULT_TZ, strict: bool = False,
+             match: str = "first", parity: bool = False, tie_break: Sequence[str] | None = None,
+             sort: bool = True, regex_contains: bool = False,
+             notes: list[str] | None = None, reuse_buckets: bool = False) -> DataFrame:
+    """L3: the reference's request pipeline as one lazy DataFrame.
+
+    ``today`` (a date or ISO text) fixes the calendar for repeatable runs;
+    by default it is read once, in ``tz``, for the whole plan.
+    """
+    pr = plan_rows(df, plan, today, tz, strict, match, parity, tie_break, regex_contains,
+                   notes, reuse_buckets)
+    return finish_rows(pr, sort, notes)
+
+
 def _signature(plan: Plan, parity: bool) -> str:
     return json.dumps([plan.columns, plan.set_aside_patterns, plan.opportunity_type_patterns,
                        parity or not plan.asks_for_no_set_aside(), plan.mentions(NAICS)],
