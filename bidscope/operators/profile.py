@@ -69,6 +69,9 @@ def _prune_partition(n: int, ncols: int, key_type: pa.DataType, scan_order: bool
     the first ``n`` distinct values of a column are its local top ``n``; a
     column is done (and never converted again) once it has ``n`` values.
 
+    The same pass counts non-null values per column (Arrow keeps null counts
+    per batch, so this costs nothing) and rows: E1 rides along with E2.
+
     In scan order the key is the row's position, rebuilt here as
     ``partition << 33 | row`` (the layout of ``monotonically_increasing_id``)
     instead of being shipped with every row."""
@@ -80,21 +83,24 @@ def _prune_partition(n: int, ncols: int, key_type: pa.DataType, scan_order: bool
         base = TaskContext.get().partitionId() << 33
         first_col = 0 if scan_order else 1
         found: list[dict] = [dict() for _ in range(ncols)]  # value -> first key
+        present = [0] * ncols
         open_cols = set(range(ncols))
         offset = 0
         for batch in batches:
             start, offset = offset, offset + batch.num_rows
+            for i in range(ncols):
+                present[i] += batch.num_rows - batch.column(i + first_col).null_count
             if not open_cols:
                 continue
             keys = None
             for i in sorted(open_cols):
                 vals = batch.column(i + first_col).to_pandas()
-                mask = vals.notna().to_numpy()
-                if not mask.any():
-                    continue
                 if keys is None:
                     keys = (pd.Series(base + start + np.arange(batch.num_rows, dtype=np.int64))
                             if scan_order else batch.column(0).to_pandas())
+                mask = (vals.notna() & keys.notna()).to_numpy()  # keyless rows give no example
+                if not mask.any():
+                    continue
                 firsts = pd.Series(keys.to_numpy()[mask], index=vals.to_numpy()[mask])
                 firsts = firsts[~firsts.index.duplicated(keep="first")]
                 seen = found[i]
@@ -105,67 +111,114 @@ def _prune_partition(n: int, ncols: int, key_type: pa.DataType, scan_order: bool
                             break
                 if len(seen) >= n:
                     open_cols.discard(i)
-        names, values, keys_out = [], [], []
+        cols, values, keys_out, counts = [], [], [], []
         for i, seen in enumerate(found):
             for v, k in seen.items():
-                names.append(i)
+                cols.append(i)
                 values.append(v)
                 keys_out.append(k)
-        yield pa.RecordBatch.from_pydict({"col": pa.array(names, pa.int32()),
+                counts.append(None)
+        for i in range(ncols):            # count rows: value NULL
+            cols.append(i)
+            values.append(None)
+            keys_out.append(None)
+            counts.append(present[i])
+        cols.append(-1)                    # the partition's row count
+        values.append(None)
+        keys_out.append(None)
+        counts.append(offset)
+        yield pa.RecordBatch.from_pydict({"col": pa.array(cols, pa.int32()),
                                           "value": pa.array(values, pa.string()),
-                                          "_k": pa.array(keys_out, key_type)})
+                                          "_k": pa.array(keys_out, key_type),
+                                          "n": pa.array(counts, pa.int64())})
 
     return run
 
 
-def first_distinct_values(df: DataFrame, n: int = EXAMPLES_PER_COLUMN,
-                          order_by: str | None = None) -> DataFrame:
-    """``name, example_rank, example_value`` -- the first ``n``
-    distinct non-null values of each column, in order of first appearance.
-
-    Order of appearance is the caller's ``order_by`` key (a unique row
-    order; each partition is sorted by it in the JVM first), else the scan
-    order (``monotonically_increasing_id``, already ascending).
-    Losslessness of the prune: a value's rank inside one partition never
-    exceeds its global rank, so the global top ``n`` survive.
-    """
+def _pruned(df: DataFrame, n: int, order_by: str | None):
+    """One pass over ``df``: per partition, the E2 candidates and E1 counts,
+    merged per ``(col, value)``.  Returns the merged frame and the fields."""
     from pyspark.sql.pandas.types import to_arrow_type
-    df = disambiguate(df)
     fields = df.schema.fields
     values = [_value_text(col_ref(f.name), f.dataType).alias(f"c{i}")
               for i, f in enumerate(fields)]
     if order_by:
         key_type = df.schema[order_by].dataType
         texts = (df.select(col_ref(order_by).alias("_k"), *values)
-                   .where(F.col("_k").isNotNull()).sortWithinPartitions("_k"))
+                   .sortWithinPartitions(F.col("_k").asc_nulls_last()))
     else:
         key_type = T.LongType()
         texts = df.select(*values)
     out_schema = T.StructType([T.StructField("col", T.IntegerType()),
                                T.StructField("value", T.StringType()),
-                               T.StructField("_k", key_type)])
+                               T.StructField("_k", key_type),
+                               T.StructField("n", T.LongType())])
     pruned = texts.mapInArrow(_prune_partition(n, len(fields), to_arrow_type(key_type),
                                                scan_order=order_by is None), out_schema)
-    firsts = pruned.groupBy("col", "value").agg(F.min("_k").alias("_k"))
+    merged = pruned.groupBy("col", "value").agg(F.min("_k").alias("_k"), F.sum("n").alias("n"))
+    return merged, fields
+
+
+def _ranked_examples(merged: DataFrame, fields, n: int) -> DataFrame:
+    firsts = merged.where(F.col("value").isNotNull() & F.col("_k").isNotNull())
     w = Window.partitionBy("col").orderBy(F.col("_k").asc(), F.col("value").asc())
     names = F.array(*[F.lit(f.name) for f in fields])
     return (firsts.withColumn("example_rank", F.row_number().over(w))
                   .where(F.col("example_rank") <= n)
-                  .select(F.element_at(names, F.col("col") + 1).alias("name"),
+                  .select(F.get(names, F.col("col")).alias("name"),
                           "example_rank", F.col("value").alias("example_value")))
 
 
+def first_distinct_values(df: DataFrame, n: int = EXAMPLES_PER_COLUMN,
+                          order_by: str | None = None) -> DataFrame:
+    """``name, example_rank, example_value`` -- the first ``n``
+    distinct non-null values of each column, in order of first appearance.
+
+    Order of appearance is the caller's ``order_by`` key (a unique row
+    order; each partition is sorted by it in the JVM first), else the scan
+    order (``monotonically_increasing_id``, already ascending).
+    Losslessness of the prune: a value's rank inside one partition never
+    exceeds its global rank, so the global top ``n`` survive.
+    """
+    df = disambiguate(df)
+    merged, fields = _pruned(df, n, order_by)
+    return _ranked_examples(merged, fields, n)
+
+
 def profile(df: DataFrame, n: int = EXAMPLES_PER_COLUMN, order_by: str | None = None) -> DataFrame:
-    """E1 + E2: one row per column with ``example_values ARRAY<STRING>``."""
-    ex = (first_distinct_values(df, n, order_by)
-          .groupBy("name")
-          .agg(F.sort_array(F.collect_list(F.struct("example_rank", "example_value")))
-               .alias("_ex"))
-          .select("name", F.col("_ex.example_value").alias("example_values")))
-    return (profile_counts(df).join(ex, "name", "left")
-            .select("name", "position", "dtype", "non_null_count",
-                    F.coalesce("example_values", F.array().cast("array<string>"))
-                    .alias("example_values"), "row_count", "column_count"))
+    """E1 + E2 from ONE pass: one row per column with ``non_null_count`` and
+    ``example_values ARRAY<STRING>``, plus ``row_count`` and ``column_count``.
+
+    A single chain, so the table is read once: the Arrow pass emits
+    candidates and counts; one window per column puts the count row first
+    and the candidates after it, keeping ``n + 1`` rows (a window group
+    limit, applied before the shuffle); then one small row per column.
+    """
+    df = disambiguate(df)
+    merged, fields = _pruned(df, n, order_by)
+    w = Window.partitionBy("col").orderBy(F.col("value").isNull().desc(),
+                                          F.col("_k").asc(), F.col("value").asc())
+    ranked = (merged.where(F.col("value").isNull() | F.col("_k").isNotNull())
+                    .withColumn("_r", F.row_number().over(w))
+                    .where(F.col("_r") <= n + 1))
+    per_col = ranked.groupBy("col").agg(
+        F.max(F.when(F.col("value").isNull(), F.col("n"))).alias("count"),
+        F.sort_array(F.collect_list(F.when(F.col("value").isNotNull(),
+                                           F.struct(F.col("_r"), F.col("value")))))
+        .getField("value").alias("examples"))
+    table = per_col.groupBy().agg(F.map_from_entries(F.collect_list(
+        F.struct("col", F.struct("count", "examples")))).alias("m"))
+    meta = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("name"),
+                              F.lit(f.dataType.simpleString()).alias("dtype"))
+                     for i, f in enumerate(fields)])
+    entry = F.col("m")[F.col("c.position")]
+    return table.select(F.explode(meta).alias("c"), "m").select(
+        "c.name", "c.position", "c.dtype",
+        F.coalesce(entry.getField("count"), F.lit(0)).alias("non_null_count"),
+        F.coalesce(entry.getField("examples"), F.array().cast("array<string>"))
+        .alias("example_values"),
+        F.coalesce(F.col("m")[F.lit(-1)].getField("count"), F.lit(0)).alias("row_count"),
+        F.lit(len(fields)).alias("column_count"))
 
 
 def profile_document(df: DataFrame, n: int = EXAMPLES_PER_COLUMN,
