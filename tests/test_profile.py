@@ -89,3 +89,24 @@ def test_scan_order_key_matches_row_ids(spark, tmp_path):
     explicit = first_distinct_values(df.withColumn("_row", F.monotonically_increasing_id()),
                                      order_by="_row").where("name != '_row'")
     assert implicit == sorted(map(tuple, explicit.collect()))
+
+
+def test_profile_reads_once_and_agrees(spark, tmp_path):
+    from bidscope.operators.profile import profile
+    rows = [(i, f"t{i % 13}" if i % 5 else None, float(i % 4) if i % 6 else float("nan"))
+            for i in range(400)]
+    spark.createDataFrame(rows, "k long, t string, x double").repartition(4) \
+        .write.parquet(str(tmp_path / "p"))
+    df = spark.read.parquet(str(tmp_path / "p"))
+    got = {r["name"]: r for r in profile(df, order_by="k").collect()}
+    counts = {r["name"]: r["non_null_count"] for r in profile_counts(df).collect()}
+    ex = {}
+    for r in first_distinct_values(df, order_by="k").collect():
+        ex.setdefault(r["name"], []).append((r["example_rank"], r["example_value"]))
+    for name, r in got.items():
+        assert r["non_null_count"] == counts[name] and r["row_count"] == 400
+        assert r["example_values"] == [v for _, v in sorted(ex[name])]
+    plan = profile(df, order_by="k")
+    plan.collect()
+    final = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1
