@@ -88,3 +88,23 @@ def test_saved_plans_read_the_table_once(spark, tmp_path):
     for pid, plan in plans.items():
         assert got.get(pid, 0) == run_plan(spark.read.parquet(path), plan,
                                            today="1998-02-04").count(), pid
+
+
+def test_ties_keep_scan_order_with_row_ids(spark, tmp_path):
+    from bidscope.sources.readers import read_csv
+    lines = ["NoticeId,Type,PostedDate,TypeOfSetAsideDescription"]
+    lines += [f"N{i:03d},Solicitation,1998-02-01,SDVOSB" for i in range(40, 0, -1)]
+    (tmp_path / "s.csv").write_text("\n".join(lines) + "\n")
+    df = read_csv(spark, str(tmp_path / "s.csv"), with_row_id=True, latin1_fallback=False)
+    got = [r["Solicitation Number"] for r in run_plan(df, {}, today="1998-02-04").collect()]
+    assert got == [f"N{i:03d}" for i in range(40, 0, -1)]  # all tie: file order kept
+    assert "_row" not in run_plan(df, {}, today="1998-02-04").columns
+
+
+def test_saved_plans_sorted(spark):
+    from bidscope.plans.run import run_saved_plans
+    plans = {"b": FLAGSHIP, "a": {"filters": [{"column": "Due Date", "operator": "this_week"}]}}
+    rows = run_saved_plans(notices(spark, SF001), plans, today="1998-02-04",
+                           tie_break=["Solicitation Number"], sort=True).collect()
+    ids = [r["plan_id"] for r in rows]
+    assert ids == sorted(ids) and set(ids) == {"a", "b"}
