@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import PY_WHITESPACE_CLASS, py_strip
+from .text import PY_WHITESPACE, PY_WHITESPACE_CLASS, py_strip
 
 DEFAULT_TZ = "Africa/Lagos"
 
@@ -31,21 +31,32 @@ def _padded(rx: str) -> str:
     return f"^{PY_WHITESPACE_CLASS}*(?:{rx[1:-1]}){PY_WHITESPACE_CLASS}*$"
 
 
+_WS_CODES = sorted({ord(c) for c in PY_WHITESPACE})
+
+
 def text_to_date(text: Column) -> Column:
     """Lenient, never-raising parse of date text; unparsable gives NULL.
 
     The layout guards run on the raw text (whitespace allowed around it) and
     only the chosen branch strips it, so the parse stays cheap when Catalyst
-    copies it into a filter.
+    copies it into a filter.  Each guard sits behind facts it implies and
+    that cost no regex -- the first character is a digit (or a letter for
+    month names) or whitespace, a US date has a ``/``, a named one a ``,``
+    -- so most non-date text never reaches a regex.
     """
     raw = text.cast("string")
     t = py_strip(raw)
+    first = F.ascii(raw)
+    space = first.isin(_WS_CODES)
+    digit = first.between(48, 57) | space
+    letter = first.between(65, 90) | first.between(97, 122) | space
     return (
-        F.when(raw.rlike(_padded(ISO_RE)), t.try_cast("date"))
-        .when(raw.rlike(_padded(COMPACT_RE)), F.try_to_date(t, "yyyyMMdd"))
-        .when(raw.rlike(_padded(US_RE)),
+        F.when(digit & raw.rlike(_padded(ISO_RE)), t.try_cast("date"))
+        .when(digit & (F.length(raw) >= 8) & raw.rlike(_padded(COMPACT_RE)),
+              F.try_to_date(t, "yyyyMMdd"))
+        .when(digit & (F.instr(raw, "/") > 0) & raw.rlike(_padded(US_RE)),
               F.try_to_date(F.regexp_extract(t, US_DATE_PART, 1), "M/d/yyyy"))
-        .when(raw.rlike(_padded(NAMED_RE)),
+        .when(letter & (F.instr(raw, ",") > 0) & raw.rlike(_padded(NAMED_RE)),
               F.coalesce(F.try_to_date(t, "MMM d, yyyy"),
                          F.try_to_date(t, "MMMM d, yyyy")))
     )
