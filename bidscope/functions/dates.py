@@ -31,38 +31,51 @@ def _padded(rx: str) -> str:
     return f"^{PY_WHITESPACE_CLASS}*(?:{rx[1:-1]}){PY_WHITESPACE_CLASS}*$"
 
 
-_WS_CODES = sorted({ord(c) for c in PY_WHITESPACE})
+# Every Python whitespace code point is <= 32 or >= 128; the checks below
+# may admit more than the guard does (the guard still decides), never less.
+assert all(ord(c) <= 32 or ord(c) >= 128 for c in PY_WHITESPACE)
 
 
-def text_to_date(text: Column) -> Column:
+def text_to_date(text: Column, mostly_not_dates: bool = False) -> Column:
     """Lenient, never-raising parse of date text; unparsable gives NULL.
 
     The layout guards run on the raw text (whitespace allowed around it) and
     only the chosen branch strips it, so the parse stays cheap when Catalyst
-    copies it into a filter.  Each guard sits behind facts it implies and
-    that cost no regex -- the first character is a digit (or a letter for
-    month names) or whitespace, a US date has a ``/``, a named one a ``,``
-    -- so most non-date text never reaches a regex.
+    copies it into a filter.
+
+    ``mostly_not_dates`` (role detection over arbitrary columns) puts each
+    guard behind facts it implies and that cost no regex -- the first
+    character is a digit (a letter for month names) or possibly whitespace,
+    a US date has a ``/``, a named one a ``,`` -- so ordinary text never
+    reaches a regex.  On real date columns the plain form is cheaper.
     """
     raw = text.cast("string")
     t = py_strip(raw)
-    first = F.ascii(raw)
-    space = first.isin(_WS_CODES)
-    digit = first.between(48, 57) | space
-    letter = first.between(65, 90) | first.between(97, 122) | space
+    if mostly_not_dates:
+        first = F.ascii(raw)
+        space = (first <= 32) | (first >= 128)  # cheap superset of leading whitespace
+        digit = first.between(48, 57) | space
+        letter = first.between(65, 90) | first.between(97, 122) | space
+        iso = digit & raw.rlike(_padded(ISO_RE))
+        compact = digit & (F.length(raw) >= 8) & raw.rlike(_padded(COMPACT_RE))
+        us = digit & (F.instr(raw, "/") > 0) & raw.rlike(_padded(US_RE))
+        named = letter & (F.instr(raw, ",") > 0) & raw.rlike(_padded(NAMED_RE))
+    else:
+        iso = raw.rlike(_padded(ISO_RE))
+        compact = raw.rlike(_padded(COMPACT_RE))
+        us = raw.rlike(_padded(US_RE))
+        named = raw.rlike(_padded(NAMED_RE))
     return (
-        F.when(digit & raw.rlike(_padded(ISO_RE)), t.try_cast("date"))
-        .when(digit & (F.length(raw) >= 8) & raw.rlike(_padded(COMPACT_RE)),
-              F.try_to_date(t, "yyyyMMdd"))
-        .when(digit & (F.instr(raw, "/") > 0) & raw.rlike(_padded(US_RE)),
-              F.try_to_date(F.regexp_extract(t, US_DATE_PART, 1), "M/d/yyyy"))
-        .when(letter & (F.instr(raw, ",") > 0) & raw.rlike(_padded(NAMED_RE)),
-              F.coalesce(F.try_to_date(t, "MMM d, yyyy"),
-                         F.try_to_date(t, "MMMM d, yyyy")))
+        F.when(iso, t.try_cast("date"))
+        .when(compact, F.try_to_date(t, "yyyyMMdd"))
+        .when(us, F.try_to_date(F.regexp_extract(t, US_DATE_PART, 1), "M/d/yyyy"))
+        .when(named, F.coalesce(F.try_to_date(t, "MMM d, yyyy"),
+                                F.try_to_date(t, "MMMM d, yyyy")))
     )
 
 
-def force_date(c: Column, dtype: T.DataType | None = None) -> Column:
+def force_date(c: Column, dtype: T.DataType | None = None,
+               mostly_not_dates: bool = False) -> Column:
     """Any column to DATE.  Typed columns take the cheap path."""
     if isinstance(dtype, T.DateType):
         return c
@@ -71,7 +84,7 @@ def force_date(c: Column, dtype: T.DataType | None = None) -> Column:
     if isinstance(dtype, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
         s = c.cast("string")
         return F.when(s.rlike(COMPACT_RE), F.try_to_date(s, "yyyyMMdd"))
-    return text_to_date(c)
+    return text_to_date(c, mostly_not_dates)
 
 
 def today_in(tz: str = DEFAULT_TZ, now: _dt.datetime | None = None) -> _dt.date:

@@ -254,7 +254,7 @@ def candidate_columns(df: DataFrame) -> DataFrame:
         present = _non_null(c, f.dataType)
         low = py_strip(F.lower(c.cast("string")))
         tests = {
-            "date": force_date(c, f.dataType).isNotNull(),
+            "date": force_date(c, f.dataType, mostly_not_dates=True).isNotNull(),
             "set_aside": any_substring(low, sa_pats),
             "type": any_substring(low, ty_pats),
             "naics": c.cast("string").rlike(f"^{PY_WHITESPACE_CLASS}*[0-9]{{6}}"
