@@ -55,3 +55,18 @@ def test_today_in_zone():
     now = dt.datetime(2024, 3, 1, 23, 30, tzinfo=dt.timezone.utc)
     assert today_in("Africa/Lagos", now) == dt.date(2024, 3, 2)
     assert today_in("UTC", now) == dt.date(2024, 3, 1)
+
+
+from hypothesis import HealthCheck, given, settings, strategies as st  # noqa: E402
+
+PIECES = ["2024", "-", "02", "-01", "T10:00", " ", "　", "/", "05", "/2024", "Feb", " 7,", " 2024",
+          "x", "20240201", "\t", "é", ",", "13", "1998-02-04"]
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=5).map("".join), min_size=1, max_size=40))
+def test_prechecked_parse_equals_plain(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    plain = df.select(force_date(F.col("v"), T.StringType()).alias("d")).collect()
+    fast = df.select(force_date(F.col("v"), T.StringType(), mostly_not_dates=True).alias("d")).collect()
+    assert plain == fast
