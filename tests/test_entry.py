@@ -3,6 +3,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from bidscope import catalog
 from tools.oracle_check import canon
 
 from conftest import SF001
@@ -24,12 +25,13 @@ def duck():
 
 
 def test_every_query_has_sql_or_is_rows_only():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    missing = set(catalog.QUERIES) - set(catalog.oracle_sql())
     assert missing == {"e3_profile_document", "e5_sample"}
     assert set(E.oracle_sql()) <= set(E.queries())
+    assert set(catalog.QUERIES) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF001)
     rows = [tuple(r) for r in df.collect()]
