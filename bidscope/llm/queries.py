@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import packing, quality, token_store
 
 QUERIES = {
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op10_token_store": token_store.op10_token_store,
 }
 
 ORACLE_SQL = {
