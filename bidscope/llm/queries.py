@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, sharding, token_store
+from . import chat, mixing, packing, quality, sharding, token_store
 
 QUERIES = {
     "op3_sampled_splitters": sharding.op3_sampled_splitters,
     "op5_pfair_mixing": mixing.op5_pfair_mixing,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_budgeted_windows": chat.op7_budgeted_windows,
     "op8_quality_rules": quality.op8_quality_rules,
     "op10_token_store": token_store.op10_token_store,
 }
 
 ORACLE_SQL = {
     "op5_pfair_mixing": mixing.ORACLE,
+    "op7_budgeted_windows": chat.ORACLE,
     "op8_quality_rules": quality.ORACLE,
 }
