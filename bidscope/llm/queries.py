@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, quality, sharding, token_store
+from . import ann, chat, mixing, packing, quality, sharding, token_store
 
 QUERIES = {
+    "op2_hash_prefix_forest": ann.op2_hash_prefix_forest,
     "op3_sampled_splitters": sharding.op3_sampled_splitters,
     "op5_pfair_mixing": mixing.op5_pfair_mixing,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
