@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, chat, mixing, packing, quality, sharding, token_store
+from . import ann, chat, mixing, packing, quality, sharding, token_store, toxicity
 
 QUERIES = {
     "op2_hash_prefix_forest": ann.op2_hash_prefix_forest,
     "op3_sampled_splitters": sharding.op3_sampled_splitters,
+    "op4_ngram_toxicity": toxicity.op4_ngram_toxicity,
     "op5_pfair_mixing": mixing.op5_pfair_mixing,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_budgeted_windows": chat.op7_budgeted_windows,
