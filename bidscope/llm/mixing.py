@@ -145,13 +145,18 @@ def interleave(docs: DataFrame, target: dict[str, float] | None = None, period:
 
 def with_position(placed: DataFrame) -> DataFrame:
     """Add ``position``: gapless from 0 in the order of slots and places.
-    Ranked period by period; the running sum is over one row per period."""
-    cycled = placed.withColumn("cycle", F.expr("slot div period"))
-    earlier = cycled.groupBy("cycle").agg(F.count("*").alias("c")).select(
-        "cycle", F.coalesce(F.sum("c").over(Window.orderBy("cycle").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
-    return cycled.join(earlier, "cycle").withColumn("position", F.col("earlier") + F.row_number()
-        .over(Window.partitionBy("cycle").orderBy("slot", "place")) - 1).drop("cycle", "earlier")
+    Counts by slot are summed over a period's slots and over periods, so no
+    task ranks documents."""
+    slots = placed.groupBy("slot", "period").agg(F.count("*").alias("c")).withColumn(
+        "cycle", F.expr("slot div period"))
+    periods = slots.groupBy("cycle").agg(F.sum("c").alias("c"))
+    before = periods.select("cycle", F.coalesce(F.sum("c").over(Window.orderBy("cycle").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("cycle").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = slots.withColumn("inside", F.coalesce(F.sum("c").over(inside), F.lit(0))).join(
+        before, "cycle").select("slot", (F.col("before") + F.col("inside")).alias("earlier"))
+    return placed.join(earlier, "slot").withColumn(
+        "position", F.col("earlier") + F.col("place")).drop("earlier")
 
 
 def mixed_order(docs: DataFrame, target: dict[str, float] | None = None,
