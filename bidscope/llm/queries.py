@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, chat, mixing, packing, quality, sharding, token_store, toxicity
+from . import ann, chat, mixing, ngram_join, packing, pii, quality, sharding, token_store, toxicity
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op2_hash_prefix_forest": ann.op2_hash_prefix_forest,
     "op3_sampled_splitters": sharding.op3_sampled_splitters,
     "op4_ngram_toxicity": toxicity.op4_ngram_toxicity,
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_budgeted_windows": chat.op7_budgeted_windows,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_bootstrapped_contexts": pii.op9_bootstrapped_contexts,
     "op10_token_store": token_store.op10_token_store,
 }
 
