@@ -10,6 +10,7 @@ repeatable.  Date columns are rendered as ``yyyy-MM-dd`` text on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from .functions.classify import (OPPORTUNITY_BUCKETS, SET_ASIDE_BUCKETS, SET_ASI
                                  normalize_opportunity_type, normalize_set_aside)
 from .functions.dates import force_date
 from .functions.text import col_ref
+from .operators.filters import apply_filters
 from .operators.order import canonical_sort_keys, preview, top_n, with_positions
 from .operators.profile import (best_candidates, candidate_columns, count_rows,
                                 first_distinct_values, profile_counts, profile_document,
@@ -94,6 +96,41 @@ def d1_force_date(spark, sf_dir):
                     force_date(F.col("ResponseDeadLine"), T.StringType()).cast("string").alias("due_date"))
 
 
+# Renderings of one date, as Spark date patterns with fixed text around them.
+DATE_LAYOUTS = (
+    "yyyy-MM-dd", "MM/dd/yyyy", "yyyyMMdd", "MMM d, yyyy", "dd-MMM-yyyy", "d MMM yyyy",
+    "MMM dd, yyyy '05:00 PM'", "MMM d, yyyy '5:00 pm EST'", "yyyy/MM/dd", "yyyy.MM.dd",
+    "MM-dd-yyyy", "M/d/yy", "EEEE, MMMM d, yyyy", "MMMM d yyyy", "yyyyMMdd '12:00'",
+    "yyyyMMdd'T120000'", "MM/dd/yyyy '17:00:00.000'", "MM/dd/yyyy'T17:00'", "yyyy-MMM-dd",
+    "EEE d MMM yyyy '08:15'", "MM.dd.yyyy", "d MMMM, yyyy", "yyyy-MM-dd'T23:30:00-05:00'",
+    "yyyy-MM-dd '08:00:00.123456+02:00'", "MMM. d, yyyy", "dd/MMM/yy", "M-d-yyyy '9:05AM'",
+    "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+
+
+def d1_layouts(spark, sf_dir):
+    """D1 over every order's date, rendered in one of the layouts above."""
+    day = F.col("o_orderdate").cast("date").cast("timestamp_ntz")
+    k = F.col("o_orderkey") % len(DATE_LAYOUTS)
+    text = F.coalesce(*[F.when(k == i, F.date_format(day, x)) for i, x in enumerate(DATE_LAYOUTS)])
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", text.alias("t"))
+    return orders.select("o_orderkey", force_date(F.col("t"), T.StringType()).cast("string")
+                         .alias("day"))
+
+
+def f2_equals_number(spark, sf_dir):
+    """F1, F2 with literals that are no value of the column's type."""
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    found = [apply_filters(orders, [f]).select(F.lit(i).alias("test"), "o_orderkey")
+             for i, f in enumerate(NUMBER_FILTERS)]
+    return reduce(DataFrame.unionByName, found)
+
+
+NUMBER_FILTERS = (
+    {"column": "o_custkey", "operator": "equals", "value": 7},
+    {"column": "o_custkey", "operator": "equals", "value": 7.5},
+    {"column": "o_custkey", "operator": "in", "value": [6.9, "8", "x", 11.0]})
+
+
 def _normalized(spark, sf_dir, match="first", sa_extra=None, ty_extra=None):
     n = notices(spark, sf_dir)
     n = normalize_set_aside(n, extra_patterns=sa_extra, match=match)
@@ -278,6 +315,34 @@ def i1_ingested_plan(spark, sf_dir):
                                            tie_break=TIE))
 
 
+OTHER_DATE_PLAN = {
+    "columns": {"solicitation_date": "NoticeDate"},
+    "filters": [{"column": "Solicitation Date", "operator": "between",
+                 "value": ["1998-02-01", "1998-02-15"]}]}
+OTHER_SET_ASIDE = {"set_aside_column": "Alt"}
+
+
+def i2_ingested_other_date(spark, sf_dir):
+    """A plan whose date is not the one the months were made of."""
+    from .plans.ingest import ingest, run_plan_ingested
+    path = scratch_path(spark, "ingest")
+    sheet = notices(spark, sf_dir)
+    ingest(sheet.withColumn("NoticeDate", F.col("ResponseDeadLine")), path)
+    return dates_as_text(run_plan_ingested(spark, path, OTHER_DATE_PLAN, today=TODAY,
+                                           tie_break=TIE))
+
+
+def i3_ingested_custom_set_aside(spark, sf_dir):
+    """Buckets stored of one column, a default plan over another."""
+    from .plans.ingest import ingest, run_plan_ingested
+    path = scratch_path(spark, "ingest")
+    sheet = notices(spark, sf_dir)
+    ingest(sheet.withColumn("Alt", F.lit("Women-Owned Small Business")), path,
+           column_map=OTHER_SET_ASIDE)
+    return dates_as_text(run_plan_ingested(spark, path, {"columns": {}, "filters": []},
+                                           today=TODAY, tie_break=TIE))
+
+
 def g1_audit_run(spark, sf_dir):
     """G1 + G2 with K1/K5: the flagship plan exported by ``run_and_export``,
     which appends one audit event; the formatted audit view read back (the
@@ -360,6 +425,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "e4_best_candidates": e4_best_candidates,
     "e5_sample": e5_sample,
     "d1_force_date": d1_force_date,
+    "d1_layouts": d1_layouts,
+    "f2_equals_number": f2_equals_number,
     "n1_set_aside": n1_set_aside,
     "n1_set_aside_longest": n1_set_aside_longest,
     "n3_opp_type": n3_opp_type,
@@ -377,6 +444,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "l3_run_plan": l3_run_plan,
     "l4_saved_plans": l4_saved_plans,
     "i1_ingested_plan": i1_ingested_plan,
+    "i2_ingested_other_date": i2_ingested_other_date,
+    "i3_ingested_custom_set_aside": i3_ingested_custom_set_aside,
     "g1_audit_run": g1_audit_run,
     "k1_csv_round_trip": k1_csv_round_trip,
     "s2_latin1_round_trip": s2_latin1_round_trip,
@@ -533,6 +602,10 @@ def oracle_sql() -> dict[str, str]:
         "e2_examples": _sql_examples(),
         "e4_candidates": _sql_candidates(),
         "e4_best_candidates": _sql_best_candidates(),
+        "d1_layouts": "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders",
+        "f2_equals_number": (
+            "SELECT CASE WHEN o_custkey = 7 THEN 0 ELSE 2 END AS test, o_orderkey FROM orders "
+            "WHERE o_custkey IN (7, 8, 11)"),
         "d1_force_date": O.with_notices(
             f"SELECT SolicitationNumber, PostedDate, CAST({O.force_date('PostedDate')} AS VARCHAR) "
             f"AS posted_date, CAST({O.force_date('ResponseDeadLine')} AS VARCHAR) AS due_date "
@@ -574,6 +647,11 @@ def oracle_sql() -> dict[str, str]:
         "i1_ingested_plan": _final_sql(
             "\"Normalized Set Aside\" IN ('SDVOSB', 'WOSB') AND \"Solicitation Date\" BETWEEN "
             "DATE '1998-01-15' AND DATE '1998-03-10' AND " + FILTER_SQL["f11_last_7_days"]),
+        # The plan's date column holds the response deadline.
+        "i2_ingested_other_date": (
+            _final_sql("\"Due Date\" BETWEEN DATE '1998-02-01' AND DATE '1998-02-15'")
+            .replace("CAST(\"Solicitation Date\" AS VARCHAR)", "CAST(\"Due Date\" AS VARCHAR)")),
+        "i3_ingested_custom_set_aside": _final_sql("true"),
         "k1_csv_round_trip": _sql_csv_round_trip(),
         "g1_audit_run": O.final_cte() + (
             "SELECT 'run_plan' AS action, CASE WHEN n > 0 THEN 'ok' ELSE 'empty' END AS status, "

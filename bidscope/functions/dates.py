@@ -25,6 +25,27 @@ US_RE = r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}( [0-9]{1,2}:[0-9]{2}(:[0-9]{2})?( ?[Aa
 US_DATE_PART = r"^([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})"
 NAMED_RE = r"^[A-Za-z]{3,9} [0-9]{1,2}, [0-9]{4}$"
 
+# Further layouts, by shape: a date in one of these orders, with one of the
+# separators, an optional weekday in front and an optional time and zone
+# behind (the local date is kept, whatever the zone).
+_DAY_NAME = r"(?:(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+)?"
+_MONTH_NAME = (r"((?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)(?i:uary|ruary|ch|il|e|y|ust|"
+               r"t|tember|ober|ember)?)\.?")
+_TIME = (r"(?:(?:\s+|\s*,\s*|[Tt])[0-9]{1,2}(?::?[0-9]{2}){0,2}(?:[.,][0-9]{1,9})?\s*(?:[AaPp]\.?[Mm]\.?)?"
+         r"\s*(?:[Zz]|\(?[A-Za-z]{2,5}\)?|(?:UTC|GMT)?\s*[+-][0-9]{1,2}(?::?[0-9]{2})?)?)?")
+_YEAR = r"([0-9]{4}|'?[0-9]{2})"
+_NTH = r"(?:st|nd|rd|th)?"
+YEAR_FIRST = rf"^{_DAY_NAME}([0-9]{{4}})[-/. ]([0-9]{{1,2}})[-/. ]([0-9]{{1,2}}){_TIME}$"
+YEAR_NAME = rf"^{_DAY_NAME}([0-9]{{4}})[-/. ]\s*{_MONTH_NAME}[-/. ]\s*([0-9]{{1,2}}){_TIME}$"
+YEAR_LAST = rf"^{_DAY_NAME}([0-9]{{1,2}})[-/. ]([0-9]{{1,2}})[-/. ]{_YEAR}{_TIME}$"
+DAY_NAME = rf"^{_DAY_NAME}([0-9]{{1,2}}){_NTH}[-/., ]*{_MONTH_NAME}[-/., ]+{_YEAR}{_TIME}$"
+NAME_DAY = rf"^{_DAY_NAME}{_MONTH_NAME}[-/. ]*([0-9]{{1,2}}){_NTH}(?:\s*,\s*|[-/. ]+){_YEAR}{_TIME}$"
+COMPACT_TIME = (r"^([0-9]{4})([0-9]{2})([0-9]{2})(?:[ Tt][0-9]{2}:?[0-9]{2}(?::?[0-9]{2})?|[0-9]{6}|"
+                r"[0-9]{4})(?:\s*(?:[Zz]|[A-Za-z]{2,5}|[+-][0-9]{2}:?[0-9]{2}))?$")
+# Years of two digits from here on are of the last century.
+CENTURY_FROM = 69
+LONGEST = 64
+
 
 def _padded(rx: str) -> str:
     """``rx`` (anchored) allowing Python whitespace around the value."""
@@ -36,6 +57,45 @@ def _padded(rx: str) -> str:
 assert all(ord(c) <= 32 or ord(c) >= 128 for c in PY_WHITESPACE)
 
 
+def _year(two_or_four: Column) -> Column:
+    digits = F.regexp_replace(two_or_four, "'", "")
+    short = digits.try_cast("int")
+    return F.when(F.length(digits) > 2, digits).otherwise(
+        (short + F.when(short >= CENTURY_FROM, 1900).otherwise(2000)).cast("string"))
+
+
+def _month(name: Column) -> Column:
+    """The number of a month's name, by its first three letters."""
+    place = F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.substring(name, 1, 3)))
+    return ((place + 2) / 3).cast("int").cast("string")
+
+
+def _shaped(t: Column) -> Column:
+    """The further layouts as a date: month first unless only the second
+    number can be a month."""
+    def part(shape: str, k: int) -> Column:
+        return F.regexp_extract(t, shape, k)
+
+    def date(y: Column, m: Column, d: Column) -> Column:
+        return F.concat_ws("-", y, m, d).try_cast("date")
+
+    a, b = part(YEAR_LAST, 1), part(YEAR_LAST, 2)
+    day_first = a.try_cast("int") > 12
+    return (
+        F.when(t.rlike(YEAR_FIRST), date(part(YEAR_FIRST, 1), part(YEAR_FIRST, 2),
+                                         part(YEAR_FIRST, 3)))
+        .when(t.rlike(YEAR_LAST), date(_year(part(YEAR_LAST, 3)), F.when(day_first, b).otherwise(a),
+                                       F.when(day_first, a).otherwise(b)))
+        .when(t.rlike(DAY_NAME), date(_year(part(DAY_NAME, 3)), _month(part(DAY_NAME, 2)),
+                                      part(DAY_NAME, 1)))
+        .when(t.rlike(NAME_DAY), date(_year(part(NAME_DAY, 3)), _month(part(NAME_DAY, 1)),
+                                      part(NAME_DAY, 2)))
+        .when(t.rlike(YEAR_NAME), date(part(YEAR_NAME, 1), _month(part(YEAR_NAME, 2)),
+                                       part(YEAR_NAME, 3)))
+        .when(t.rlike(COMPACT_TIME), date(part(COMPACT_TIME, 1), part(COMPACT_TIME, 2),
+                                          part(COMPACT_TIME, 3))))
+
+
 def text_to_date(text: Column, mostly_not_dates: bool = False) -> Column:
     """Lenient, never-raising parse of date text; unparsable gives NULL.
 
@@ -65,13 +125,19 @@ def text_to_date(text: Column, mostly_not_dates: bool = False) -> Column:
         compact = raw.rlike(_padded(COMPACT_RE))
         us = raw.rlike(_padded(US_RE))
         named = raw.rlike(_padded(NAMED_RE))
-    return (
+    # A date has a digit or two, is short, and starts with a digit or a
+    # letter of a month's or a weekday's name; other text ends here.
+    other = (F.length(raw) <= LONGEST) & raw.rlike(
+        rf"^{PY_WHITESPACE_CLASS}*(?:[0-9]{{1,4}}[-/., A-Za-z]|[0-9]{{8}}[ Tt0-9]|"
+        r"(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|mon|tue|wed|thu|fri|sat|sun)).*[0-9]")
+    common = (
         F.when(iso, t.try_cast("date"))
         .when(compact, F.try_to_date(t, "yyyyMMdd"))
         .when(us, F.try_to_date(F.regexp_extract(t, US_DATE_PART, 1), "M/d/yyyy"))
         .when(named, F.coalesce(F.try_to_date(t, "MMM d, yyyy"),
                                 F.try_to_date(t, "MMMM d, yyyy")))
     )
+    return F.coalesce(common, F.when(other, _shaped(t)))
 
 
 def force_date(c: Column, dtype: T.DataType | None = None,
@@ -103,19 +169,17 @@ def resolve_today(today: _dt.date | str | None, tz: str = DEFAULT_TZ) -> _dt.dat
     return _dt.date.fromisoformat(str(today))
 
 
-def this_week(today: _dt.date) -> tuple[_dt.date, _dt.date]:
-    """D3: Monday..Sunday containing ``today``."""
-    monday = today - _dt.timedelta(days=today.weekday())
-    return monday, monday + _dt.timedelta(days=6)
+def week_of(today: _dt.date, offset: int = 0) -> tuple[_dt.date, _dt.date]:
+    """First and last day of the ISO week ``offset`` weeks from ``today``'s."""
+    year, week, _ = (today + _dt.timedelta(weeks=offset)).isocalendar()
+    return tuple(_dt.date.fromisocalendar(year, week, day) for day in (1, 7))
 
 
-def last_week(today: _dt.date) -> tuple[_dt.date, _dt.date]:
-    """The Monday..Sunday before the current one."""
-    monday, _ = this_week(today)
-    start = monday - _dt.timedelta(days=7)
-    return start, start + _dt.timedelta(days=6)
+def this_week(today: _dt.date) -> tuple[_dt.date, _dt.date]:
+    """D3."""
+    return week_of(today)
 
 
-def today_column(tz: str = DEFAULT_TZ) -> Column:
-    """D2 as an expression, for streaming micro-batches that fold it per batch."""
-    return F.to_date(F.convert_timezone(F.lit(tz), F.localtimestamp()))
+def last_week(today: _dt.date) -> tuple[_dt.date, _dt.date]:
+    """D4."""
+    return week_of(today, -1)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as _dt
 import re
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -46,6 +47,13 @@ def _typed_literal(value, dt: T.DataType) -> Column:
         return force_date(F.lit(None if value is None else str(value)))
     if isinstance(value, bool):
         value = str(value).lower()
+    if isinstance(dt, T.IntegralType):
+        # A cast would cut a fraction off; such a literal equals no integer.
+        try:
+            number = Decimal(str(value))
+            value = int(number) if number == number.to_integral_value() else None
+        except ArithmeticError:
+            pass
     return F.lit(value).try_cast(dt)
 
 

@@ -26,7 +26,16 @@ from .plan import Plan
 from .run import _as_plan, normalize, run_plan
 
 MONTH = "posted_month"
-DEFAULT_BUCKETS = "bidscope.default_buckets"
+BUCKETS_OF = "bidscope.buckets_of"
+MONTHS_OF = "bidscope.months_of"
+
+
+def _set_aside_source(columns: Mapping[str, str] | None) -> str:
+    return (columns or {}).get("set_aside_column") or DEFAULT_SET_ASIDE_COLUMN
+
+
+def _type_source(columns: Mapping[str, str] | None) -> str:
+    return (columns or {}).get("opportunity_type_column") or DEFAULT_TYPE_COLUMN
 
 
 def ingest(df: DataFrame, path: str, column_map: Mapping[str, str] | None = None,
@@ -42,13 +51,16 @@ def ingest(df: DataFrame, path: str, column_map: Mapping[str, str] | None = None
     resolved = resolve_columns(df.columns, column_map)
     types = {f.name: f.dataType for f in df.schema.fields}
     out = normalize(df, Plan(columns=dict(column_map or {})))
-    tag = {DEFAULT_BUCKETS: True}
-    out = (out.withColumn(SET_ASIDE_OUT, col_ref(SET_ASIDE_OUT).alias(SET_ASIDE_OUT, metadata=tag))
-              .withColumn(TYPE_OUT, col_ref(TYPE_OUT).alias(TYPE_OUT, metadata=tag)))
+    # Which raw columns the buckets and the months come from, for the reader.
+    for name, value in ((SET_ASIDE_OUT, _set_aside_source(column_map)),
+                        (TYPE_OUT, _type_source(column_map))):
+        out = out.withColumn(name, col_ref(name).alias(name, metadata={BUCKETS_OF: value}))
     for key in ("solicitation_date", "due_date"):
         src = resolved.get(key)
         if src:
-            out = out.withColumn(src, force_date(col_ref(src), types[src]))
+            meta = {MONTHS_OF: True} if key == "solicitation_date" else {}
+            out = out.withColumn(src, force_date(col_ref(src), types[src]).alias(
+                src, metadata=meta))
     posted = resolved.get("solicitation_date")
     month = F.date_format(col_ref(posted), "yyyy-MM") if posted else F.lit(None).cast("string")
     out = out.withColumn(MONTH, month)
@@ -102,19 +114,24 @@ def read_ingested(spark: SparkSession, path: str) -> DataFrame:
 
 def run_plan_ingested(spark: SparkSession, path: str, plan, today=None, tz: str = DEFAULT_TZ,
                       **kw) -> DataFrame:
-    """``run_plan`` over an ingested table, with month pruning and stored
-    buckets reused when the plan keeps the default classification."""
+    """``run_plan`` over an ingested table.  Months are pruned when the plan
+    takes its solicitation date from the column the months were made of, and
+    stored buckets are read when it classifies the same columns in the
+    default way; otherwise the plan runs on the raw columns."""
     plan = _as_plan(plan)
     day = resolve_today(today, tz)
     df = read_ingested(spark, path)
+    meta = {f.name: f.metadata for f in df.schema.fields}
+    posted = resolve_columns([c for c in df.columns if c != MONTH], plan.columns)[
+        "solicitation_date"]
     months = solicitation_months(plan, day)
-    if months is not None:
+    if months is not None and meta.get(posted, {}).get(MONTHS_OF):
         df = df.where(F.col(MONTH).between(F.lit(months[0]), F.lit(months[1])))
     df = df.drop(MONTH)
-    default_classes = (not plan.set_aside_patterns and not plan.opportunity_type_patterns
-                       and plan.columns.get("set_aside_column") in (None, "", DEFAULT_SET_ASIDE_COLUMN)
-                       and plan.columns.get("opportunity_type_column") in (None, "", DEFAULT_TYPE_COLUMN)
-                       and kw.get("match", "first") == "first")
-    if default_classes:
+    stored = (not plan.set_aside_patterns and not plan.opportunity_type_patterns
+              and meta.get(SET_ASIDE_OUT, {}).get(BUCKETS_OF) == _set_aside_source(plan.columns)
+              and meta.get(TYPE_OUT, {}).get(BUCKETS_OF) == _type_source(plan.columns)
+              and kw.get("match", "first") == "first")
+    if stored:
         return run_plan(df, plan, today=day, tz=tz, reuse_buckets=True, **kw)
     return run_plan(df.drop(SET_ASIDE_OUT, TYPE_OUT), plan, today=day, tz=tz, **kw)

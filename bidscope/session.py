@@ -9,7 +9,9 @@ when it is unset (tests, a laptop) do we pick one of our own.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import zipfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -61,6 +63,28 @@ def apply_engine_conf(spark: SparkSession) -> None:
             spark.conf.set(k, v)
         except Exception:  # static conf on a shared session: leave it
             pass
+    ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once per application, so
+    tasks import them wherever the driver was started."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: artifacts are the caller's
+        return
+    if getattr(sc, "_bidscope_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="bidscope-code-"), "bidscope.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(top):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    sc.addPyFile(path)
+    sc._bidscope_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,6 +99,9 @@ def shared_dir(spark: SparkSession) -> str:
         sc = None
     if not d and sc is not None:
         d = sc.getCheckpointDir()
+    one_machine = sc is not None and re.match(r"local(\[|$)", sc.master)
+    if not d and not one_machine:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="bidscope-ckpt-")
         if sc is not None:
