@@ -1,11 +1,11 @@
 """Token-id output (operator 10): Arrow files of equal-length sequences.
 
 Documents are range-partitioned by id, encoded in order, and each partition
-writes one Arrow file: record batches with a fixed-size list of ``SEQUENCE``
-ids and one of masks per row.  A reader maps the file and finds sequence
-``k`` of it in batch ``k // BATCH_ROWS``, row ``k % BATCH_ROWS``, without
-copying.  The mask of an id is 0 for padding (only at a file's end), 1 for
-an id, 3 for a document's first id, so documents are found again from the
+writes one Arrow file: record batches whose rows are fixed-size lists of
+``SEQUENCE`` ids, of as many bits ``mask`` (an id, or padding at a file's
+end) and of bits ``first`` (a document starts).  A reader maps the file and
+finds sequence ``k`` of it in batch ``k // BATCH_ROWS``, row
+``k % BATCH_ROWS``, without copying.  Documents are found again from the
 file itself; their doc_ids stand in a second Arrow file beside it.
 
 Files go to ``out_dir`` through Arrow's own file systems (``file:``, ``s3:``,
@@ -46,7 +46,8 @@ DOCUMENTS = "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32
 # The vocabulary has fewer than 2 ** 16 ids.
 ID_TYPE = pa.uint16()
 SCHEMA = pa.schema([pa.field("ids", pa.list_(ID_TYPE, SEQUENCE)),
-                    pa.field("mask", pa.list_(pa.uint8(), SEQUENCE))])
+                    pa.field("mask", pa.list_(pa.bool_(), SEQUENCE)),
+                    pa.field("first", pa.list_(pa.bool_(), SEQUENCE))])
 INDEX = pa.schema([pa.field("doc_id", pa.int64())])
 
 
@@ -55,6 +56,9 @@ def _file_system(path: str) -> tuple[fs.FileSystem, str]:
         fs.LocalFileSystem(), path)
 
 
+FIRST = 2
+
+
 class SequenceWriter:
     """Cuts a stream of ids into full record batches of one Arrow file."""
 
@@ -64,6 +68,7 @@ class SequenceWriter:
         self.held = self.written = self.sequences = 0
 
     def add(self, ids: np.ndarray, mask: np.ndarray) -> None:
+        """``mask``: FIRST for a document's first id, 1 for the others."""
         self.ids.append(ids.astype(np.uint16))
         self.mask.append(mask)
         self.held += len(ids)
@@ -77,8 +82,9 @@ class SequenceWriter:
             last = min(n, first + SEQUENCE * BATCH_ROWS)
             self.file.write_batch(pa.record_batch([
                 pa.FixedSizeListArray.from_arrays(pa.array(ids[first:last], ID_TYPE), SEQUENCE),
-                pa.FixedSizeListArray.from_arrays(pa.array(mask[first:last], pa.uint8()),
-                                                  SEQUENCE)], schema=SCHEMA))
+                *[pa.FixedSizeListArray.from_arrays(pa.array(bits), SEQUENCE)
+                  for bits in (mask[first:last] > 0, mask[first:last] == FIRST)]],
+                schema=SCHEMA))
             self.sequences += (last - first) // SEQUENCE
         self.ids, self.mask = [ids[n:]], [mask[n:]]
         self.held -= n
@@ -115,7 +121,7 @@ def write_tokens(docs: DataFrame, out_dir: str, vocabulary: str | None = None,
                     n_docs = 0
                 ids, offsets = with_end(*encode(texts), end_id)
                 mask = np.ones(len(ids), np.uint8)
-                mask[offsets[:-1]] = 3
+                mask[offsets[:-1]] = FIRST
                 out.add(ids, mask)
                 index.write_batch(pa.record_batch([rows.column("doc_id")], schema=INDEX))
                 n_docs += len(texts)
@@ -151,11 +157,12 @@ def open_file(path: str):
     return ipc.open_file(source), ids
 
 
-def sequence(reader, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of one sequence, without a copy."""
+def sequence(reader, k: int) -> tuple[np.ndarray, pa.Array]:
+    """Ids and mask of one sequence: views of the file."""
     batch = reader.get_batch(k // BATCH_ROWS)
     row = k % BATCH_ROWS * SEQUENCE
-    return tuple(batch.column(c).values.to_numpy()[row:row + SEQUENCE] for c in (0, 1))
+    return (batch.column(0).values.to_numpy()[row:row + SEQUENCE],
+            batch.column(1).values.slice(row, SEQUENCE))
 
 
 def documents_in(path: str):
@@ -167,10 +174,10 @@ def documents_in(path: str):
     doc = -1
     for b in range(reader.num_record_batches):
         batch = reader.get_batch(b)
-        ids, mask = (batch.column(c).flatten().to_numpy() for c in (0, 1))
+        ids = batch.column(0).flatten().to_numpy()
+        mask, begins = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (1, 2))
         real = int(np.count_nonzero(mask))
-        ids, mask = ids[:real], mask[:real]
-        starts = np.flatnonzero(mask == 3)
+        ids, starts = ids[:real], np.flatnonzero(begins)
         data, bounds = memoryview(ids.astype("<u4")).cast("B"), [*starts.tolist(), real]
         crc = zlib.crc32(data[:4 * bounds[0]], crc)
         count += bounds[0]
