@@ -32,7 +32,7 @@ from .operators.summary import grouped_summary
 from .plans.run import run_plan, run_saved_plans, stage
 from .plans.plan import Plan
 from .session import scratch_path
-from .sources.readers import PANDAS_NA_TOKENS
+from .sources.readers import PANDAS_NA_TOKENS, load_dataset
 
 TODAY = "1998-02-04"
 TIE = ["Solicitation Number"]
@@ -343,6 +343,21 @@ def i3_ingested_custom_set_aside(spark, sf_dir):
                                            today=TODAY, tie_break=TIE))
 
 
+def s4_folder_dispatch(spark, sf_dir):
+    """A folder of CSV parts, nested and with columns in different
+    orders, read by header names with inferred types."""
+    path = scratch_path(spark, "folder")
+    sheet = notices(spark, sf_dir)
+    odd = F.col("NaicsCode").cast("int") % 2 == 1
+    for folder, rows, names in ((path, odd, sheet.columns),
+                                (f"{path}/more/late", ~odd, sheet.columns[::-1])):
+        sheet.where(rows).select(*names).write.mode("append").option("header", True).option(
+            "escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+            "ignoreTrailingWhiteSpace", False).csv(folder)
+    return load_dataset(spark, path).select(
+        *[F.col(c).cast("string").alias(c) for c in sheet.columns])
+
+
 def g1_audit_run(spark, sf_dir):
     """G1 + G2 with K1/K5: the flagship plan exported by ``run_and_export``,
     which appends one audit event; the formatted audit view read back (the
@@ -446,6 +461,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "i1_ingested_plan": i1_ingested_plan,
     "i2_ingested_other_date": i2_ingested_other_date,
     "i3_ingested_custom_set_aside": i3_ingested_custom_set_aside,
+    "s4_folder_dispatch": s4_folder_dispatch,
     "g1_audit_run": g1_audit_run,
     "k1_csv_round_trip": k1_csv_round_trip,
     "s2_latin1_round_trip": s2_latin1_round_trip,
@@ -652,6 +668,9 @@ def oracle_sql() -> dict[str, str]:
             _final_sql("\"Due Date\" BETWEEN DATE '1998-02-01' AND DATE '1998-02-15'")
             .replace("CAST(\"Solicitation Date\" AS VARCHAR)", "CAST(\"Due Date\" AS VARCHAR)")),
         "i3_ingested_custom_set_aside": _final_sql("true"),
+        "s4_folder_dispatch": O.with_notices("SELECT " + ", ".join(
+            f"CASE WHEN {c} NOT IN ({', '.join(O.q(t) for t in _NA)}) THEN CAST({c} AS VARCHAR) "
+            f"END AS {c}" for c in NOTICE_COLS) + " FROM notices"),
         "k1_csv_round_trip": _sql_csv_round_trip(),
         "g1_audit_run": O.final_cte() + (
             "SELECT 'run_plan' AS action, CASE WHEN n > 0 THEN 'ok' ELSE 'empty' END AS status, "

@@ -8,14 +8,16 @@ skipped.
 
 from __future__ import annotations
 
-import os
+import csv
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import col_ref
+from ..operators.project import disambiguate
 
 # The missing-value spellings pandas' CSV reader turns into NA
 # by default (pandas 2.x); a lone blank " " is not among them.
@@ -25,6 +27,11 @@ PANDAS_NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN"
 
 ROW_ID = "_row"
 
+WHOLE = r"^\s*[+-]?[0-9]+\s*$"
+NUMBER = (r"^\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$")
+# Spellings that a CSV reader takes for truth values.
+TRUTHS = ("True", "TRUE", "true", "False", "FALSE", "false")
+
 
 class UnsupportedFormat(ValueError):
     pass
@@ -55,17 +62,22 @@ def infer_types(df: DataFrame, skip: Sequence[str] = (ROW_ID,)) -> DataFrame:
     aggs = []
     for i, name in enumerate(text_cols):
         c = col_ref(name)
+        # Values that are no whole number, no whole number of 64 bits, no
+        # number, no truth value (Spark's casts take more, such as ``12D``).
         aggs += [F.count(c).alias(f"n{i}"),
+                 F.count(F.when(~c.rlike(WHOLE), 1)).alias(f"w{i}"),
                  F.count(F.when(c.try_cast("bigint").isNull() & c.isNotNull(), 1)).alias(f"l{i}"),
-                 F.count(F.when(c.try_cast("double").isNull() & c.isNotNull(), 1)).alias(f"d{i}"),
-                 F.count(F.when(~c.isin("True", "False") & c.isNotNull(), 1)).alias(f"b{i}")]
+                 F.count(F.when(~c.rlike(NUMBER), 1)).alias(f"d{i}"),
+                 F.count(F.when(~c.isin(*TRUTHS), 1)).alias(f"b{i}")]
     r = df.agg(*aggs).first()
     target = {}
     for i, name in enumerate(text_cols):
         if r[f"n{i}"] == 0:
             continue
-        if r[f"l{i}"] == 0:
-            target[name] = "bigint"
+        if r[f"w{i}"] == 0:
+            # Digits beyond 64 bits are identifiers: they stay text.
+            if r[f"l{i}"] == 0:
+                target[name] = "bigint"
         elif r[f"d{i}"] == 0:
             target[name] = "double"
         elif r[f"b{i}"] == 0:
@@ -84,55 +96,96 @@ def _csv_reader(spark: SparkSession, multi_line: bool, encoding: str, schema=Non
     return r.schema(schema) if schema is not None else r
 
 
-def file_encodings(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """S2 detection: ``path, utf8`` -- whether every line of a file is valid
-    UTF-8.  Distributed: one aggregate over the raw lines, grouped by file."""
-    lines = spark.read.text(paths)
-    return (lines.select(F.col("_metadata.file_path").alias("path"),
-                         F.is_valid_utf8("value").alias("ok"))
-                 .groupBy("path").agg(F.bool_and("ok").alias("utf8")))
+def file_facts(spark: SparkSession, paths: str | Sequence[str],
+               recursive: bool = False) -> DataFrame:
+    """``path, utf8, header``: whether every line of a file is valid UTF-8 (S2
+    detection) and its first line.  One aggregate over the raw lines."""
+    lines = spark.read.option("recursiveFileLookup", recursive).text(paths)
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return (lines.select(F.col("_metadata.file_path").alias("path"), "value",
+                         F.is_valid_utf8("value").alias("ok"), place.alias("at"))
+                 .groupBy("path").agg(F.bool_and("ok").alias("utf8"),
+                                      F.min_by("value", "at").alias("header")))
+
+
+def header_names(line: str) -> list[str]:
+    """The column names of one header line, as a CSV reader names them: empty
+    ones by place, and repeated ones numbered after the first."""
+    line = line.lstrip("\ufeff").rstrip("\r")
+    names = next(csv.reader([line])) if line else []
+    out: list[str] = []
+    for i, name in enumerate(names):
+        name = name or f"Unnamed: {i}"
+        base, k = name, 0
+        while name in out:
+            k += 1
+            name = f"{base}.{k}"
+        out.append(name)
+    return out
 
 
 def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str | None = None,
              multi_line: bool = True, na_tokens: Sequence[str] | None = PANDAS_NA_TOKENS,
              infer: bool = True, latin1_fallback: bool = True,
-             with_row_id: bool = False) -> DataFrame:
+             with_row_id: bool = False, recursive: bool = False) -> DataFrame:
     """S1 (+S2, S5): header row, UTF-8, files that are not valid UTF-8 decoded
-    as Latin-1.  Without a schema, text is read first so NA tokens are nulled
-    before types are inferred.
+    as Latin-1.  Without a schema, columns go by the names in each file's own
+    header (a column that a file lacks is NULL there), and text is read first
+    so NA tokens are nulled before types are inferred.
+
+    Files are read in one group per (header, encoding); only where there is
+    more than one group do file paths reach the driver, one per file, as they
+    do in Spark's own listing.
 
     ``multi_line`` keeps quoted newlines intact but stops a file being split;
     turn it off for large files known to have none.
     """
-    text_schema = None
-    if schema is None:
-        # Header-only read to learn the column names, then everything as text.
-        names = _csv_reader(spark, multi_line, "UTF-8").csv(paths).columns
-        text_schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    use_schema = schema if schema is not None else text_schema
-    if latin1_fallback:
-        enc = file_encodings(spark, paths)
-        bad = [r["path"] for r in enc.where(~F.col("utf8")).select("path").collect()]
-    else:
-        bad = []
-    if bad:
-        # Only the (usually few) non-UTF-8 paths reach the driver; the UTF-8
-        # read skips them by file path, which Spark uses to prune files.
-        utf8 = (_csv_reader(spark, multi_line, "UTF-8", use_schema).csv(paths)
-                .where(~F.col("_metadata.file_path").isin(bad)))
-        latin1 = _csv_reader(spark, multi_line, "ISO-8859-1", use_schema).csv(bad)
-        df = utf8.unionByName(latin1)
+    if schema is not None and not latin1_fallback:
+        groups = [(None, True, paths)]
     else:
-        df = _csv_reader(spark, multi_line, "UTF-8", use_schema).csv(paths)
+        facts = file_facts(spark, paths, recursive)
+        if schema is not None:
+            facts = facts.withColumn("header", F.lit(None).cast("string"))
+        kinds = facts.groupBy("header", "utf8").count().collect()
+        if len(kinds) == 1:
+            groups = [(kinds[0].header, kinds[0].utf8, paths)]
+        else:
+            by: dict = {}
+            for r in facts.select("header", "utf8", "path").orderBy("path").collect():
+                by.setdefault((r.header, r.utf8 or not latin1_fallback), []).append(r.path)
+            groups = [(h, u, p) for (h, u), p in by.items()]
+    df = None
+    for header, utf8, files in groups:
+        encoding = "UTF-8" if utf8 or not latin1_fallback else "ISO-8859-1"
+        use, names = schema, None
+        if schema is None:
+            if not utf8 and header is not None:
+                header = _as_latin1(spark, files, recursive)
+            names = header_names(header or "")
+            use = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+        part = _csv_reader(spark, multi_line, encoding, use).option(
+            "recursiveFileLookup", recursive).option("enforceSchema", True).csv(files)
+        if names is not None:
+            # By place, so names that differ only in case do not meet.
+            part = disambiguate(part.toDF(*names))
+        df = part if df is None else df.unionByName(part, allowMissingColumns=True)
+    if df is None:  # no file has a line
+        df = spark.createDataFrame([], schema if schema is not None else T.StructType([]))
     if with_row_id:
         df = df.withColumn(ROW_ID, F.monotonically_increasing_id())
-    if na_tokens is not None:
+    if na_tokens is not None and df.columns:
         df = null_tokens(df, na_tokens)
     if schema is None and infer:
         df = infer_types(df)
     return df
 
 
+def _as_latin1(spark: SparkSession, files, recursive: bool) -> str:
+    """The header line of Latin-1 files that share it, decoded as such."""
+    raw = spark.read.option("recursiveFileLookup", recursive).text(files)
+    return raw.select(F.decode(F.col("value").cast("binary"), "ISO-8859-1")).first()[0]
+
+
 _SUFFIXES = (".csv", ".xlsx", ".xls", ".parquet", ".orc", ".json")
 
 
@@ -141,17 +194,21 @@ def _suffix(spark: SparkSession, path: str) -> str:
     for s in _SUFFIXES:
         if p.endswith(s):
             return s
-    # A folder: the suffix its data files share.  Listed through the
-    # binaryFile source with only ``path`` selected, so no content is read
-    # and any Hadoop filesystem works.
+    # A folder: the suffix all its data files share, from their paths alone.
     try:
-        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-                 .select("path").limit(1000).collect())
-    except Exception:  # not a folder Spark can list
-        return ""
-    kinds = {os.path.splitext(r["path"])[1].lower() for r in files
-             if not os.path.basename(r["path"]).startswith((".", "_"))}
-    kinds &= set(_SUFFIXES)
+        paths = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
+            path).select("path")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        if "." in p.rsplit("/", 1)[-1]:
+            return ""  # named like a file of another kind
+        raise FileNotFoundError(path) from e
+    name = F.element_at(F.split("path", "/"), -1)
+    kinds = {r.kind for r in paths.select(
+        name.alias("name"), F.lower(F.regexp_extract(name, r"(\.[A-Za-z]+)$", 1)).alias("kind"))
+        .where(~F.col("name").rlike(r"^[._]") & F.col("kind").isin(*_SUFFIXES))
+        .select("kind").distinct().collect()}  # at most len(_SUFFIXES) rows
     return kinds.pop() if len(kinds) == 1 else ""
 
 
@@ -160,7 +217,7 @@ def load_dataset(spark: SparkSession, path: str, fmt: str | None = None, **kw) -
     suffix its files share.  ``.xls`` is refused (binary legacy format)."""
     kind = ("." + fmt.lower().lstrip(".")) if fmt else _suffix(spark, path)
     if kind == ".csv":
-        return read_csv(spark, path, **kw)
+        return read_csv(spark, path, recursive=not path.lower().endswith(".csv"), **kw)
     if kind == ".xlsx":
         from .workbooks import read_workbooks
         return read_workbooks(spark, path, **kw)

@@ -76,3 +76,39 @@ def test_tasks_import_the_package_from_another_folder(tmp_path):
     out = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], cwd=tmp_path, env=env,
                          capture_output=True, text=True, timeout=300)
     assert "FROM " in out.stdout, out.stderr[-2000:]
+
+
+def put(folder, **files):
+    for name, text in files.items():
+        path = folder / name.replace("__", "/").replace("_csv", ".csv")
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(text if isinstance(text, bytes) else text.encode())
+
+
+def test_folder_columns_go_by_name(spark, tmp_path):
+    from bidscope.sources.readers import load_dataset
+    put(tmp_path, a_csv="Title,Agency\nt1,a1\n", b_csv="Agency,Title,Type\na2,t2,x\n",
+        sub__c_csv="Title\nt3\n", l_csv="Title,Agency\nt4,Köln\n".encode("latin-1"))
+    got = {(r.Title, r.Agency, r.Type) for r in load_dataset(spark, str(tmp_path)).collect()}
+    assert got == {("t1", "a1", None), ("t2", "a2", "x"), ("t3", None, None), ("t4", "Köln", None)}
+
+
+def test_mixed_folder_is_refused(spark, tmp_path):
+    from bidscope.sources.readers import UnsupportedFormat, load_dataset
+    put(tmp_path, a_csv="x\n1\n")
+    (tmp_path / "b.json").write_text('{"x": 1}\n')
+    with pytest.raises(UnsupportedFormat):
+        load_dataset(spark, str(tmp_path))
+    with pytest.raises(FileNotFoundError):
+        load_dataset(spark, str(tmp_path / "nothing"))
+
+
+def test_inference_keeps_identifiers(spark, tmp_path):
+    from bidscope.sources.readers import read_csv
+    put(tmp_path, a_csv="id,long,flag,f,Title,Title\n12D,12345678901234567890123,true,1e3,a,b\n"
+                        "70F,1,FALSE,.5,c,d\n")
+    df = read_csv(spark, str(tmp_path))
+    assert dict(df.dtypes) == {"id": "string", "long": "string", "flag": "boolean", "f": "double",
+                               "Title": "string", "Title.1": "string"}
+    assert sorted((r.id, r.long, r.flag, r.f) for r in df.collect()) == [
+        ("12D", "12345678901234567890123", True, 1000.0), ("70F", "1", False, 0.5)]
