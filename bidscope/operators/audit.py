@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +33,10 @@ def log_event(spark: SparkSession, path: str, action: str, status: str, message:
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.schema(AUDIT_SCHEMA).parquet(path)
-    except Exception:  # no log yet
-        return spark.createDataFrame([], AUDIT_SCHEMA)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], AUDIT_SCHEMA)  # no log yet
 
 
 def audit_view(spark: SparkSession, path: str) -> DataFrame:

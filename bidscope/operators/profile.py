@@ -305,4 +305,4 @@ def sample_rows(df: DataFrame, n: int | None = None, fraction: float | None = No
     if fraction is not None:
         return df.sample(withReplacement=False, fraction=fraction, seed=seed)
     h = F.xxhash64(F.lit(seed), *[col_ref(c) for c in df.columns])
-    return df.orderBy(h, *[col_ref(c) for c in df.columns]).limit(n or 5)
+    return df.orderBy(h, *[col_ref(c) for c in df.columns]).limit(5 if n is None else n)

@@ -69,15 +69,6 @@ class ColumnMapError(ValueError):
     """A plan maps a canonical date to a forbidden raw column."""
 
 
-def pick_first_existing(columns: Sequence[str], *names: str | None, default: str | None = None):
-    """First name present in ``columns`` (exact case), else ``default``."""
-    present = set(columns)
-    for name in names:
-        if name and name in present:
-            return name
-    return default
-
-
 def resolve_columns(columns: Sequence[str], column_map: Mapping[str, str] | None = None,
                     notes: list[str] | None = None) -> dict[str, str | None]:
     """P2 + P4: raw source name for each canonical target (``None`` = absent).
@@ -88,16 +79,21 @@ def resolve_columns(columns: Sequence[str], column_map: Mapping[str, str] | None
     """
     cmap = dict(column_map or {})
     out: dict[str, str | None] = {}
+
+    def source(key: str, candidates: Sequence[str]) -> str | None:
+        """The plan's entry, else the first candidate the sheet has."""
+        return cmap.get(key) or next(filter(columns.__contains__, candidates), None)
+
     for key, cands in CANDIDATES.items():
-        chosen = cmap.get(key) or pick_first_existing(columns, *cands)
+        chosen = source(key, cands)
         if key in ALLOWED_DATE_SOURCES and chosen not in (None, "", *ALLOWED_DATE_SOURCES[key]):
-            raise ColumnMapError(f"Invalid {key} column chosen: {chosen}")
+            raise ColumnMapError(f"the plan takes {key} from {chosen!r}, which holds no {key}")
         if chosen and chosen not in columns:
             if notes is not None:
                 notes.append(f"column {chosen!r} for {key} not in the sheet: target dropped")
             chosen = None
         out[key] = chosen or None
-    naics = cmap.get("naics") or pick_first_existing(columns, *NAICS_CANDIDATES)
+    naics = source("naics", NAICS_CANDIDATES)
     out["naics"] = naics if naics in columns else None
     return out
 

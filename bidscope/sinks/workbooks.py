@@ -46,7 +46,9 @@ def _cell(ref: str, v) -> str:
         return f'<c r="{ref}" s="2"><v>{serial!r}</v></c>'
     if isinstance(v, _dt.date):
         return f'<c r="{ref}" s="1"><v>{(v - EXCEL_EPOCH).days}</v></c>'
-    text = _BAD_XML.sub("", str(v))
+    text = str(v)
+    if _BAD_XML.search(text):
+        raise ValueError(f"cell {ref}: a workbook cannot hold control characters; export CSV")
     return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
 
 
