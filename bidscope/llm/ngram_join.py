@@ -47,10 +47,10 @@ TREES = 16
 # Prefix lengths, longest first.
 LENGTHS = (6, 5, 4, 3)
 RECALL = 0.999
-# Members per block of a node; a task holds two blocks.
-BLOCK = 256
+# Members, and bytes of their texts, per block of a node; a task holds two.
+BLOCK, BLOCK_BYTES = 768, 16 << 20
 # Shingles per product of incidence matrices.
-COLUMNS = 8192
+COLUMNS = 4096
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -111,8 +111,8 @@ def _key(text: Column) -> Column:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, paths): the text's hash and, per prefix length, the
-    nodes of its prefixes (null for texts without words)."""
+    """(doc_id, key, bytes, paths): the text's hash and size and, per prefix
+    length, the nodes of its prefixes (null for texts without words)."""
     paths = pa.list_(pa.list_(pa.int64()))
 
     def sign(batches):
@@ -129,12 +129,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                         rows[i] = [level[j] for level in levels]
                 found += rows
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "key": batch.column("key"),
-                                   "paths": pa.array(found, paths)})
+                                   "bytes": batch.column("bytes"), "paths": pa.array(found, paths)})
 
     text = text_of()
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(text).alias("key"),
+                       F.octet_length(text).cast("long").alias("bytes"),
                        text.alias("text")).mapInArrow(
-        sign, "doc_id long, key binary, paths array<array<long>>")
+        sign, "doc_id long, key binary, bytes long, paths array<array<long>>")
 
 
 def _chance(length: int, similarity: float) -> float:
@@ -220,8 +221,10 @@ LINKS = "key binary, other binary, texts long, documents long"
 
 
 def _checked(level: int, members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links of one prefix length.  ``members``: node, n and key."""
-    blocks = members.withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn(
+    """Links of one prefix length.  ``members``: node, n, bytes and key."""
+    blocks = members.withColumn("nb", F.greatest(
+        F.ceil(F.col("n") / BLOCK), F.least(F.ceil(F.col("bytes") / BLOCK_BYTES), "n"))
+        .cast("int")).withColumn(
         "b", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
     dealt = blocks.select("node", "key", "b", F.explode(
         F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).select(
@@ -256,17 +259,28 @@ def _checked(level: int, members: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(check, LINKS)
 
 
+def _spread(level: int, reps: DataFrame) -> DataFrame:
+    return reps.where(F.col("paths").isNotNull()).select(
+        "key", "bytes", F.posexplode(F.col("paths")[level]).alias("tree", "node"))
+
+
+def _meeting(level: int, reps: DataFrame) -> DataFrame:
+    """Keys in nodes of two members or more."""
+    spread = _spread(level, reps).select("key", "node")
+    shared = spread.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    return spread.join(shared, "node").select("key").distinct()
+
+
 def _members(level: int, reps: DataFrame) -> DataFrame:
-    """(node, n, key) of the nodes with two members or more; of nodes with
-    the same members only the one in the first tree."""
-    spread = reps.where(F.col("paths").isNotNull()).select(
-        "key", F.posexplode(F.col("paths")[level]).alias("tree", "node"))
+    """(node, n, bytes, key) of the nodes with two members or more; of nodes
+    with the same members only the one in the first tree."""
+    spread = _spread(level, reps)
     nodes = spread.groupBy("node").agg(
-        F.count("*").alias("n"), F.min("tree").alias("tree"),
+        F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("tree").alias("tree"),
         F.bit_xor(F.xxhash64("key")).alias("x"),
-        F.sum(F.xxhash64("key", F.lit(1)).cast("decimal(20,0)")).alias("y")).where("n > 1")
-    kept = nodes.groupBy("n", "x", "y").agg(F.min(F.struct("tree", "node")).alias("m")).select(
-        "n", "m.node")
+        F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).where("n > 1")
+    kept = nodes.groupBy("n", "bytes", "x", "y").agg(F.min(F.struct("tree", "node")).alias(
+        "m")).select("n", "bytes", "m.node")
     return spread.select("node", "key").join(kept, "node")
 
 
@@ -293,27 +307,28 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id and key; classes: key, low, low_rows, copies,
-    class_key, class_id, texts, documents), both stored."""
+    """(documents: doc_id and key; classes: key, low, copies, class_key,
+    class_id, texts, documents), both stored."""
     rows = materialize(signatures(docs), "join-signatures")
-    ids = rows.groupBy("key", "doc_id").agg(F.count("*").alias("c"), F.max("paths").alias("paths"))
-    reps = materialize(ids.groupBy("key").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "c")).alias("m"),
-        F.sum("c").alias("copies"), F.max("paths").alias("paths")).select(
-        "key", F.col("m.doc_id").alias("low"), F.col("m.c").alias("low_rows"), "copies", "paths"),
-        "join-classes")
-    # Whole texts of the representatives that meet another at all.
-    last = _members(len(LENGTHS) - 1, reps).select("key").distinct()
+    reps = materialize(rows.groupBy("key").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("m"),
+        F.count("*").alias("copies"), F.max("bytes").alias("bytes"),
+        F.max("paths").alias("paths")).select(
+        "key", F.col("m.doc_id").alias("low"), "copies", "bytes", "paths"), "join-classes")
+    # Whole texts of the representatives that meet another at all; prefixes
+    # longer than the shortest are only shared by these.
+    wanted = reps.join(_meeting(len(LENGTHS) - 1, reps), "key")
     text = text_of()
-    wanted = reps.join(last, "key").select("key", "low", "copies", "paths")
     texts = docs.select(F.col("doc_id").cast("long").alias("low_id"), _key(text).alias("key"),
                         text.alias("text")).join(wanted, "key").where(
         F.col("low_id").eqNullSafe(F.col("low")))
     texts = materialize(texts.groupBy("key").agg(F.max(F.struct(
-        "text", "copies", "paths")).alias("x")).select("key", "x.*"), "join-texts")
+        "text", "copies", "bytes", "paths")).alias("x")).select("key", "x.*"), "join-texts")
+    members = texts.select("key", "bytes", "paths")
+    texts = texts.drop("bytes")
     found = None
     for level, length in enumerate(LENGTHS):
-        links = materialize(_checked(level, _members(level, reps), texts), "join-links")
+        links = materialize(_checked(level, _members(level, members), texts), "join-links")
         found = links if found is None else found.unionByName(links)
         if level:
             # Counted by texts: the links of one large group are many.
@@ -324,8 +339,8 @@ def join(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFrame]
     label = components(found.where("key <> other").select("key", "other"))
     counts = found.groupBy("key").agg(F.sum("texts").alias("texts"),
                                       F.sum("documents").alias("documents"))
-    classes = reps.drop("paths").join(label, "key", "left").join(counts, "key", "left").select(
-        "key", "low", "low_rows", "copies", F.coalesce("label", "key").alias("label"),
+    classes = reps.drop("paths", "bytes").join(label, "key", "left").join(counts, "key", "left").select(
+        "key", "low", "copies", F.coalesce("label", "key").alias("label"),
         F.coalesce("texts", F.lit(0)).alias("texts"),
         F.coalesce("documents", F.lit(0)).alias("documents"))
     groups = classes.groupBy("label").agg(F.min(F.struct(
@@ -347,16 +362,19 @@ def linked_documents(docs: DataFrame) -> DataFrame:
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with their columns: of each group the document
     with the least doc_id stays, once."""
-    _, classes = join(docs)
-    stay = classes.where("key = class_key").select(
-        F.col("key").alias("k"), F.col("low").alias("l"), "low_rows")
+    rows, classes = join(docs)
+    stay = classes.where("key = class_key").select("key", "low")
+    # How often the row that stays is repeated, with id and text.
+    times = rows.join(stay, "key").where(F.col("doc_id").eqNullSafe(F.col("low"))).groupBy(
+        "key", "low").agg(F.count("*").alias("times")).select(
+        F.col("key").alias("k"), F.col("low").alias("l"), "times")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     kept = docs.select(whole.alias("carry"), F.col("doc_id").cast("long").alias("i"),
-                       _key(text_of()).alias("k")).join(stay, "k").where(
+                       _key(text_of()).alias("k")).join(times, "k").where(
         F.col("i").eqNullSafe(F.col("l")))
     # Only rows that repeat id and text need a choice.
-    once = kept.where("low_rows = 1").select("carry.*")
-    again = kept.where("low_rows > 1").dropDuplicates(["k"]).select("carry.*")
+    once = kept.where("times = 1").select("carry.*")
+    again = kept.where("times > 1").dropDuplicates(["k"]).select("carry.*")
     return once.unionByName(again)
 
 
