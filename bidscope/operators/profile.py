@@ -64,10 +64,14 @@ def _value_text(c: Column, dt: T.DataType) -> Column:
 
 
 def _prune_partition(n: int, ncols: int, key_type: pa.DataType, scan_order: bool):
-    """Per-partition candidates.  Rows arrive in ascending key order, so a
-    value's first occurrence carries its smallest key in this partition and
-    the first ``n`` distinct values of a column are its local top ``n``; a
-    column is done (and never converted again) once it has ``n`` values.
+    """Per-partition candidates: for each column the ``n`` distinct values
+    with the smallest first keys, in whatever order rows arrive.
+
+    Losslessness: once ``n`` values are held, a row whose key is beyond their
+    largest cannot matter, and that bound only falls; a value that has been
+    pushed out comes back with a smaller key or is not among the first ``n``.
+    So a batch is cut to the rows within the bounds before it is sorted, and
+    only a batch's distinct values (Arrow's dictionary) become Python objects.
 
     The same pass counts non-null values per column (Arrow keeps null counts
     per batch, so this costs nothing) and rows: E1 rides along with E2.
@@ -78,39 +82,51 @@ def _prune_partition(n: int, ncols: int, key_type: pa.DataType, scan_order: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
-        import pandas as pd
+        import pyarrow.compute as pc
         from pyspark import TaskContext
         base = TaskContext.get().partitionId() << 33
         first_col = 0 if scan_order else 1
         found: list[dict] = [dict() for _ in range(ncols)]  # value -> first key
         present = [0] * ncols
-        open_cols = set(range(ncols))
         offset = 0
         for batch in batches:
             start, offset = offset, offset + batch.num_rows
             for i in range(ncols):
                 present[i] += batch.num_rows - batch.column(i + first_col).null_count
-            if not open_cols:
-                continue
-            keys = None
-            for i in sorted(open_cols):
-                vals = batch.column(i + first_col).to_pandas()
-                if keys is None:
-                    keys = (pd.Series(base + start + np.arange(batch.num_rows, dtype=np.int64))
-                            if scan_order else batch.column(0).to_pandas())
-                mask = (vals.notna() & keys.notna()).to_numpy()  # keyless rows give no example
-                if not mask.any():
+            full = all(len(seen) >= n for seen in found)
+            if full and scan_order:
+                continue  # later rows have larger keys
+            if scan_order:
+                keys = pa.array(base + start + np.arange(batch.num_rows, dtype=np.int64))
+            else:
+                keys = batch.column(0)
+                keep = pc.is_valid(keys)  # rows without a key give no example
+                if full:
+                    bound = max(max(seen.values()) for seen in found)
+                    keep = pc.and_kleene(keep, pc.less_equal(keys, pa.scalar(bound, keys.type)))
+                batch = batch.filter(keep)
+                batch = batch.take(pc.sort_indices(batch.column(0)))
+                keys = batch.column(0)
+            for i, seen in enumerate(found):
+                if scan_order and len(seen) >= n:
+                    continue
+                vals = batch.column(i + first_col)
+                coded = vals.dictionary_encode()
+                codes = coded.indices.drop_null().to_numpy(zero_copy_only=False)
+                if not len(codes):
                     continue
-                firsts = pd.Series(keys.to_numpy()[mask], index=vals.to_numpy()[mask])
-                firsts = firsts[~firsts.index.duplicated(keep="first")]
-                seen = found[i]
-                for v, k in firsts.items():
-                    if v not in seen:
+                rows = np.flatnonzero(pc.is_valid(vals).to_numpy(zero_copy_only=False))
+                which, first = np.unique(codes, return_index=True)
+                order = np.argsort(first, kind="stable")
+                for code, row in zip(which[order].tolist(), rows[first[order]].tolist()):
+                    k = keys[row].as_py()
+                    if len(seen) >= n and k > max(seen.values()):
+                        break
+                    v = coded.dictionary[code].as_py()
+                    if v not in seen or k < seen[v]:
                         seen[v] = k
-                        if len(seen) >= n:
-                            break
-                if len(seen) >= n:
-                    open_cols.discard(i)
+                    if len(seen) > n:
+                        del seen[max(seen, key=lambda x: (seen[x], x))]
         cols, values, keys_out, counts = [], [], [], []
         for i, seen in enumerate(found):
             for v, k in seen.items():
@@ -144,8 +160,7 @@ def _pruned(df: DataFrame, n: int, order_by: str | None):
               for i, f in enumerate(fields)]
     if order_by:
         key_type = df.schema[order_by].dataType
-        texts = (df.select(col_ref(order_by).alias("_k"), *values)
-                   .sortWithinPartitions(F.col("_k").asc_nulls_last()))
+        texts = df.select(col_ref(order_by).alias("_k"), *values)
     else:
         key_type = T.LongType()
         texts = df.select(*values)
@@ -175,8 +190,8 @@ def first_distinct_values(df: DataFrame, n: int = EXAMPLES_PER_COLUMN,
     distinct non-null values of each column, in order of first appearance.
 
     Order of appearance is the caller's ``order_by`` key (a unique row
-    order; each partition is sorted by it in the JVM first), else the scan
-    order (``monotonically_increasing_id``, already ascending).
+    order; rows may arrive in any), else the scan order
+    (``monotonically_increasing_id``, already ascending).
     Losslessness of the prune: a value's rank inside one partition never
     exceeds its global rank, so the global top ``n`` survive.
     """

@@ -112,3 +112,26 @@ def test_inference_keeps_identifiers(spark, tmp_path):
                                "Title": "string", "Title.1": "string"}
     assert sorted((r.id, r.long, r.flag, r.f) for r in df.collect()) == [
         ("12D", "12345678901234567890123", True, 1000.0), ("70F", "1", False, 0.5)]
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 8])
+def test_examples_of_unsorted_rows(spark, partitions):
+    import random
+
+    from bidscope.operators.profile import first_distinct_values
+    rng = random.Random(partitions)
+    rows = [(k, rng.choice("abc"), f"v{rng.randrange(40)}", None if k % 3 else f"w{k % 50}")
+            for k in rng.sample(range(100_000), 4000)]
+    df = spark.createDataFrame(rows, "k long, few string, some string, gaps string").repartition(
+        partitions)
+    assert "Sort " not in first_distinct_values(df, 10, "k")._jdf.queryExecution().optimizedPlan() \
+        .toString().split("MapInArrow")[-1]
+    got = {}
+    for r in first_distinct_values(df, 10, "k").collect():
+        got.setdefault(r["name"], {})[r["example_rank"]] = r["example_value"]
+    for i, name in enumerate(df.columns):
+        seen = []
+        for row in sorted(rows):
+            if row[i] is not None and str(row[i]) not in seen and len(seen) < 10:
+                seen.append(str(row[i]))
+        assert [got[name][j + 1] for j in range(len(seen))] == seen
