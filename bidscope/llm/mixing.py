@@ -45,6 +45,11 @@ def source_key(source: str = "source") -> Column:
     return F.when(name.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), name))
 
 
+def text_hash(text: str = "text") -> Column:
+    """Orders the documents of a source that have the same id."""
+    return F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
+
+
 def shares(docs: DataFrame, target: dict[str, float] | None = None,
            period: int = PERIOD) -> DataFrame:
     """One row per source: key, n (rows), share, period.
@@ -106,16 +111,18 @@ def schedule(shared: DataFrame) -> DataFrame:
 
 
 def interleave(docs: DataFrame, target: dict[str, float] | None = None, period: int = PERIOD,
-               block_rows: int = BLOCK_ROWS, carry: Column | None = None) -> DataFrame:
+               block_rows: int = BLOCK_ROWS, carry: Column | None = None,
+               text_md5: Column | None = None) -> DataFrame:
     """Every document with its source's block, the block's slot, release and
-    deadline, and its place in the block."""
+    deadline, and its place in the block.  ``text_md5`` stands for the hash of
+    a text that ``docs`` no longer hold."""
     kept = [] if carry is None else [carry.alias("carry")]
     # Order of a source's documents: a hash of the id, then one of the text.
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), *kept,
         source_key().alias("key"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"),
-        F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("th"))
+        (text_hash() if text_md5 is None else text_md5).alias("th"))
     digits = max(1, math.ceil(math.log(max(1, docs.count() / BUCKET_ROWS), 16)))
     rows = rows.withColumn("bucket", F.substring("h", 1, digits))
     narrow = docs.select(source_key().alias("key"), F.substring(
@@ -143,11 +150,13 @@ def interleave(docs: DataFrame, target: dict[str, float] | None = None, period:
         "share", "period")
 
 
-def with_position(placed: DataFrame) -> DataFrame:
+def with_position(placed: DataFrame, size: Column | None = None) -> DataFrame:
     """Add ``position``: gapless from 0 in the order of slots and places.
     Counts by slot are summed over a period's slots and over periods, so no
-    task ranks documents."""
-    slots = placed.groupBy("slot", "period").agg(F.count("*").alias("c")).withColumn(
+    task ranks documents.  With a ``size`` (1 or more) of each document,
+    position is the sum of the sizes before it."""
+    one = F.lit(1) if size is None else size
+    slots = placed.groupBy("slot", "period").agg(F.sum(one).alias("c")).withColumn(
         "cycle", F.expr("slot div period"))
     periods = slots.groupBy("cycle").agg(F.sum("c").alias("c"))
     before = periods.select("cycle", F.coalesce(F.sum("c").over(Window.orderBy("cycle").rowsBetween(
@@ -155,8 +164,11 @@ def with_position(placed: DataFrame) -> DataFrame:
     inside = Window.partitionBy("cycle").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     earlier = slots.withColumn("inside", F.coalesce(F.sum("c").over(inside), F.lit(0))).join(
         before, "cycle").select("slot", (F.col("before") + F.col("inside")).alias("earlier"))
+    in_slot = F.col("place") if size is None else F.coalesce(F.sum(size).over(
+        Window.partitionBy("slot").orderBy("place").rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0))
     return placed.join(earlier, "slot").withColumn(
-        "position", F.col("earlier") + F.col("place")).drop("earlier")
+        "position", F.col("earlier") + in_slot).drop("earlier")
 
 
 def mixed_order(docs: DataFrame, target: dict[str, float] | None = None,

@@ -10,6 +10,12 @@ fills grows with each step, until the bin is empty or no step is left.  Work
 is spread by groups; each group can waste part of one bin, which is a share
 of 1 / (bins of a group) of the whole.
 
+``pack_mixed`` keeps the order of mixing: pieces are numbered by their
+documents' slots and places, a group is a run of consecutive numbers, and
+sequences are numbered by group and in a group by the mean number of what they
+hold.  Sequences read in order of their ids therefore hold, up to the end of
+each group, exactly the documents that the schedule puts there.
+
 Defined results: null text counts as empty (one end id, a piece of length
 1); rows with a null or repeated doc_id are packed as rows of their own; an
 empty table gives no rows; other columns are not read.
@@ -26,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mixing
 from .common import materialize, read, text_of
 from .tokens import encoder, slices_of, with_end
 
@@ -40,8 +47,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None,
-               end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """The pieces of every document, with their ids when asked for."""
+               end_id: int = END_ID, with_ids: bool = False, carry: dict | None = None) -> DataFrame:
+    """The pieces of every document, with their ids when asked for, and the
+    columns of ``carry`` (names to expressions) of the documents."""
+    carried = docs.select(*[c.alias(name) for name, c in (carry or {}).items()]).schema.fields
 
     def cut(batches):
         encode = encoder(vocabulary).encode
@@ -66,10 +75,15 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None
                     out["ids"] = pa.ListArray.from_arrays(
                         pa.array(np.append(first, offsets[-1]).astype(np.int32)),
                         pa.array(ids.astype(np.int32)))
+                for field in carried:
+                    out[field.name] = rows.column(field.name).take(pa.array(doc))
                 yield pa.record_batch(out)
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(
-        cut, PIECES + (", ids array<int>" if with_ids else ""))
+    return docs.select(
+        F.col("doc_id").cast("long"), text_of().alias("text"),
+        *[c.alias(name) for name, c in (carry or {}).items()]).mapInArrow(
+        cut, ", ".join([PIECES, *(["ids array<int>"] if with_ids else []),
+                        *[f"{f.name} {f.dataType.simpleString()}" for f in carried]]))
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -202,16 +216,24 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     return np.unique(bin_of, return_inverse=True)[1]
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY,
-         group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES,
+         number: str | None = None) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to stored ``pieces`` (read from a
-    table, so that a retried task sees the same rows in the same order)."""
-    groups = max(1, -(-pieces.count() // group_pieces))
-    names = pieces.columns
+    table, so that a retried task sees the same rows in the same order).  With
+    a column ``number`` (gapless from 0), groups and sequences follow it."""
+    count = pieces.count()
+    groups = max(1, -(-count // group_pieces))
+    names = [c for c in pieces.columns if c != number]
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
+        if number:
+            group = group.sort_values(number, ignore_index=True)
         lengths = group["length"].to_numpy(np.int64)
         bin_of = pack_lengths(lengths, capacity)
+        if number:
+            at = group[number].to_numpy(np.int64)
+            mean = np.bincount(bin_of, (at - at[0]) * lengths) / np.bincount(bin_of, lengths)
+            bin_of = np.argsort(np.argsort(mean, kind="stable"), kind="stable")[bin_of]
         order = np.argsort(bin_of, kind="stable")
         ends = np.cumsum(lengths[order])
         first = np.searchsorted(bin_of[order], bin_of[order])
@@ -222,9 +244,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY,
         out["offset"] = offset
         return out
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields
+                       if f.name != number)
     dealt = pieces.withColumn(
-        "deal", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+        "deal", F.expr(f"({number} * {groups}L) div {max(1, count)}L") if number else
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("deal").applyInPandas(
         place, f"{fields}, sequence_id long, offset long")
 
@@ -236,6 +260,26 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str |
                 capacity)
 
 
+def pack_mixed(docs: DataFrame, target: dict[str, float] | None = None,
+               capacity: int = CAPACITY, vocabulary: str | None = None,
+               with_ids: bool = False, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """Pieces of ``docs`` packed in the order that mixing gives the documents.
+    The order comes from ids, sources and hashes of texts, so ``docs`` may
+    stand in any order; of the texts, only their pieces are moved."""
+    names = [x.split()[0] for x in PIECES.split(", ")] + (["ids"] if with_ids else [])
+    cut = materialize(cut_pieces(docs, capacity, vocabulary, with_ids=with_ids, carry={
+        "source": F.col("source").cast("string"), "text_md5": mixing.text_hash(),
+        "row": F.monotonically_increasing_id()}), "pieces")
+    sizes = cut.groupBy("row").agg(F.count("*").alias("n"))
+    rows = cut.where("piece = 0").select("doc_id", "source", "text_md5", "row").join(sizes, "row")
+    placed = mixing.interleave(rows, target, carry=F.struct("row", "n"),
+                               text_md5=F.col("text_md5"))
+    first = mixing.with_position(placed, F.col("carry.n")).select("carry.row", "position")
+    numbered = cut.join(first, "row").select(
+        *names, (F.col("position") + F.col("piece")).alias("number"))
+    return pack(materialize(numbered, "numbered-pieces"), capacity, group_pieces, "number")
+
+
 def sequences(packed: DataFrame) -> DataFrame:
     """The packed sequences themselves (``packed`` with ids): one row each,
     ids in order of their offsets, at most a sequence's length."""
