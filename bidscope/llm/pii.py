@@ -9,10 +9,10 @@ corpus, an identifier's score the chance that one of its contexts is right
 (runs of letters and digits with three digits or more) that follow a context
 of at least ``ACCEPT`` become spans of kind ``context``; base spans stay.
 
-A context counts if ``MIN_SEEDS`` different seeds and ``MIN_SHARE`` of all
-seed occurrences stand behind it, so there are at most ``1 / MIN_SHARE`` of
-them: they, and no others, are broadcast to the scan that counts their
-occurrences and to the one that finds spans.
+A context counts if ``MIN_SEEDS`` different seeds stand behind it, however
+large the table.  Up to ``BROADCAST_CONTEXTS`` (counted) contexts are
+broadcast to the scan that counts their occurrences and to the one that finds
+spans; above that both join on the context's hash, with equal results.
 
 Defined results: null text counts as empty; rows are treated one by one, so
 repeated rows give repeated results; an empty table gives no rows; other
@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sizing import broadcast_if_bounded, row_count_at_most
 from .common import byte_slices, materialize, read, split_words, string_array, text_of
 
 # The base patterns.
@@ -49,7 +50,11 @@ IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z_-]*[0-9][A-Za-z0-9_-]*")
 MIN_DIGITS, MIN_LENGTH = 3, 6
 
 MIN_SEEDS = 5
-MIN_SHARE = 1e-6
+# Contexts that a scan holds in memory (8 bytes each, and a set); more of them
+# are joined instead.
+BROADCAST_CONTEXTS = 1_000_000
+# Distinct word pairs that a counting task holds before it hands them on.
+COUNTED = 1 << 20
 ACCEPT = 0.5
 ROUNDS = 3
 # Counts added to a context's occurrences, against rare ones.
@@ -192,35 +197,53 @@ def find_entities(docs: DataFrame) -> DataFrame:
         scan, "context long, item binary, seed boolean")
 
 
-def count_contexts(docs: DataFrame, contexts: np.ndarray) -> DataFrame:
+def _context_values(texts: pa.Array):
+    """The context of every word, as unsigned arrays of bounded size."""
+    step = np.uint64(_STEP)
+    for first, last in byte_slices(texts):
+        words, index, offsets = split_words(texts.slice(first, last - first))
+        if not len(index):
+            continue
+        names = words.to_pylist()
+        h = np.fromiter(map(_word_hash, names), np.uint64, len(names))
+        lead = np.zeros(len(names), np.uint64)
+        for i in np.flatnonzero(pc.match_substring_regex(
+                words, r"""[:="'(<\[]""").to_numpy(zero_copy_only=False)).tolist():
+            found = _lead(names[i])
+            lead[i] = _word_hash(found) if found else 0
+        h, lead = h[index], lead[index]
+        place = np.arange(len(h)) - np.repeat(offsets[:-1], np.diff(offsets))
+        one = np.where(place >= 1, np.roll(h, 1), np.uint64(0))
+        two = np.where(place >= 2, np.roll(h, 2), np.uint64(0))
+        value = (two * step + one) * step + lead
+        value ^= value >> np.uint64(32)
+        yield value
+
+
+def _held(contexts: np.ndarray | DataFrame, limit: int) -> np.ndarray | None:
+    """The contexts, sorted, if there are at most ``limit``."""
+    if isinstance(contexts, DataFrame):
+        if not row_count_at_most(contexts, limit):
+            return None
+        contexts = contexts.select("context").toArrow().column(0).to_numpy()
+    return np.sort(np.asarray(contexts, np.int64))
+
+
+def count_contexts(docs: DataFrame, contexts: np.ndarray | DataFrame,
+                   limit: int = BROADCAST_CONTEXTS) -> DataFrame:
     """(context, n): occurrences of the listed contexts in all texts,
-    whatever word follows."""
-    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(contexts))
+    whatever word follows.  More than ``limit`` contexts are joined with the
+    counts of all word pairs, which tasks add up before the shuffle."""
+    held = _held(contexts, limit)
+    wanted = None if held is None else docs.sparkSession.sparkContext.broadcast(held)
 
     def scan(batches):
-        known = wanted.value.view(np.uint64) if len(wanted.value) else wanted.value
-        known = np.sort(known)
+        known = np.sort(wanted.value.view(np.uint64))
         total = np.zeros(len(known), np.int64)
-        step = np.uint64(_STEP)
         for batch in batches:
-            texts = string_array(batch.column("text"))
-            for first, last in byte_slices(texts):
-                words, index, offsets = split_words(texts.slice(first, last - first))
-                if not len(index):
+            for value in _context_values(string_array(batch.column("text"))):
+                if not len(known):
                     continue
-                names = words.to_pylist()
-                h = np.fromiter(map(_word_hash, names), np.uint64, len(names))
-                lead = np.zeros(len(names), np.uint64)
-                for i in np.flatnonzero(pc.match_substring_regex(
-                        words, r"""[:="'(<\[]""").to_numpy(zero_copy_only=False)).tolist():
-                    found = _lead(names[i])
-                    lead[i] = _word_hash(found) if found else 0
-                h, lead = h[index], lead[index]
-                place = np.arange(len(h)) - np.repeat(offsets[:-1], np.diff(offsets))
-                one = np.where(place >= 1, np.roll(h, 1), np.uint64(0))
-                two = np.where(place >= 2, np.roll(h, 2), np.uint64(0))
-                value = (two * step + one) * step + lead
-                value ^= value >> np.uint64(32)
                 at = np.searchsorted(known, value)
                 at[at == len(known)] = 0
                 total += np.bincount(at[known[at] == value], minlength=len(known))
@@ -228,25 +251,39 @@ def count_contexts(docs: DataFrame, contexts: np.ndarray) -> DataFrame:
         yield pa.record_batch({"context": pa.array(known[seen].view(np.int64)),
                                "n": pa.array(total[seen])})
 
-    return docs.select(text_of().alias("text")).mapInArrow(scan, "context long, n long").groupBy(
+    def count_all(batches):
+        seen, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            for value in _context_values(string_array(batch.column("text"))):
+                new, c = np.unique(value, return_counts=True)
+                seen, at = np.unique(np.concatenate([seen, new]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([n, c])).astype(np.int64)
+                if len(seen) > COUNTED:
+                    yield pa.record_batch({"context": pa.array(seen.view(np.int64)),
+                                           "n": pa.array(n)})
+                    seen, n = seen[:0], n[:0]
+        yield pa.record_batch({"context": pa.array(seen.view(np.int64)), "n": pa.array(n)})
+
+    counted = docs.select(text_of().alias("text")).mapInArrow(
+        count_all if held is None else scan, "context long, n long").groupBy(
         "context").agg(F.sum("n").alias("n"))
+    return counted if held is not None else counted.join(
+        contexts.select("context"), "context", "left_semi")
 
 
 def learn_contexts(docs: DataFrame, min_seeds: int = MIN_SEEDS, accept: float = ACCEPT,
-                   rounds: int = ROUNDS) -> np.ndarray:
-    """The accepted contexts, sorted: at most ``1 / MIN_SHARE`` of them."""
+                   rounds: int = ROUNDS, limit: int = BROADCAST_CONTEXTS) -> DataFrame:
+    """The accepted contexts, as a stored table with a column ``context``."""
     edges = materialize(find_entities(docs).groupBy("context", "item").agg(
         F.count("*").alias("c"), F.max("seed").alias("seed")), "pii-edges")
     seeds = edges.where("seed")
-    total = seeds.agg(F.sum("c")).first()[0] or 0
-    backed = seeds.groupBy("context").agg(
-        F.count("*").alias("items"), F.sum("c").alias("c")).where(
-        (F.col("items") >= min_seeds) & (F.col("c") >= MIN_SHARE * total))
-    candidates = np.array(sorted(r.context for r in backed.select("context").collect()), np.int64)
-    if not len(candidates):
-        return candidates
-    occurrences = materialize(count_contexts(docs, candidates), "pii-contexts")
-    graph = materialize(edges.join(F.broadcast(occurrences), "context"), "pii-graph")
+    backed = materialize(seeds.groupBy("context").agg(F.count("*").alias("items")).where(
+        F.col("items") >= min_seeds).select("context"), "pii-candidates")
+    if backed.isEmpty():
+        return backed
+    occurrences = materialize(count_contexts(docs, backed, limit), "pii-contexts")
+    graph = materialize(edges.join(broadcast_if_bounded(occurrences, limit), "context"),
+                        "pii-graph")
     # An identifier that is a seed anywhere is one everywhere.
     items = materialize(graph.groupBy("item").agg(
         F.max(F.col("seed").cast("double")).alias("score")), "pii-items")
@@ -260,8 +297,58 @@ def learn_contexts(docs: DataFrame, min_seeds: int = MIN_SEEDS, accept: float =
             F.max(F.col("seed").cast("double")).alias("sure"),
             F.sum(F.log1p(-F.col("s"))).alias("miss")).select("item", F.greatest(
                 "sure", 1 - F.exp("miss")).alias("score")), "pii-items")
-    return np.array(sorted(r.context for r in scored.where(F.col("s") >= accept).select(
-        "context").collect()), np.int64)
+    return materialize(scored.where(F.col("s") >= accept).select("context"), "pii-accepted")
+
+
+def _unused(columns: list[str], name: str) -> str:
+    while name in columns:
+        name += "_"
+    return name
+
+
+def _with_contexts(rows: DataFrame, contexts: np.ndarray | DataFrame,
+                   limit: int) -> tuple[DataFrame, str, object]:
+    """What a scan of ``rows`` (with a column ``text``) needs to know the
+    accepted contexts: the rows, the name of a further column, and a function
+    (batch) -> set of contexts for each row.
+
+    Up to ``limit`` contexts are broadcast.  More are joined with the contexts
+    that stand in a text, so that each row brings its own; a text is known by
+    its hash there, as equal texts have equal contexts."""
+    name = _unused(rows.columns, "found")
+    held = _held(contexts, limit)
+    if held is not None:
+        accepted = rows.sparkSession.sparkContext.broadcast(held)
+        known: list[set[int]] = []
+
+        def same(batch):
+            if not known:
+                known.append(set(accepted.value.tolist()))
+            return known * batch.num_rows
+
+        return rows, name, same
+
+    def scan(batches):
+        for batch in batches:
+            texts = string_array(batch.column("text"))
+            hits = np.flatnonzero(_interesting(texts))
+            keys, found = [], []
+            for i, text in zip(hits.tolist(), texts.take(pa.array(hits)).to_pylist()):
+                some = {context_of(text, s) for s, _ in identifiers(text, base_spans(text))}
+                some.discard(None)
+                keys += [i] * len(some)
+                found += some
+            yield pa.record_batch({"key": batch.column("key").take(pa.array(keys, pa.int64())),
+                                   "context": pa.array(found, pa.int64())})
+
+    key = _unused([*rows.columns, name], "key")
+    hashed = F.md5(text_of().cast("binary"))
+    per_text = rows.select(hashed.alias("key"), text_of().alias("text")).mapInArrow(
+        scan, "key string, context long").distinct().join(
+        contexts.select("context"), "context").groupBy("key").agg(
+        F.collect_list("context").alias(name)).withColumnRenamed("key", key)
+    joined = rows.withColumn(key, hashed).join(per_text, key, "left").drop(key)
+    return joined, name, lambda batch: [set(x or ()) for x in batch.column(name).to_pylist()]
 
 
 def all_spans(text: str, contexts: set[int]) -> tuple[list, list]:
@@ -286,20 +373,22 @@ SPANS = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def find_spans(docs: DataFrame, contexts: np.ndarray) -> DataFrame:
+def find_spans(docs: DataFrame, contexts: np.ndarray | DataFrame,
+               limit: int = BROADCAST_CONTEXTS) -> DataFrame:
     """Counts, digest and spans of every document."""
-    accepted = docs.sparkSession.sparkContext.broadcast(contexts)
+    rows, _, known_of = _with_contexts(docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), contexts, limit)
 
     def scan(batches):
-        known = set(accepted.value.tolist())
         for batch in batches:
+            known = known_of(batch)
             texts = string_array(batch.column("text"))
             n = len(texts)
             counts = np.zeros((len(KINDS), n), np.int64)
             digest, spans = [_EMPTY] * n, [""] * n
             hits = np.flatnonzero(_interesting(texts))
             for i, text in zip(hits.tolist(), texts.take(pa.array(hits)).to_pylist()):
-                base, added = all_spans(text, known)
+                base, added = all_spans(text, known[i])
                 for kind, _, _ in base:
                     counts[kind, i] += 1
                 if base:
@@ -311,8 +400,7 @@ def find_spans(docs: DataFrame, contexts: np.ndarray) -> DataFrame:
                 "base_sha256": pa.array(digest, pa.string()),
                 "spans": pa.array(spans, pa.string())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       text_of().alias("text")).mapInArrow(scan, SPANS)
+    return rows.mapInArrow(scan, SPANS)
 
 
 def masked(text: str, contexts: set[int]) -> str:
@@ -327,26 +415,29 @@ def masked(text: str, contexts: set[int]) -> str:
     return "".join([*out, text[done:]])
 
 
-def redact(docs: DataFrame, contexts: np.ndarray) -> DataFrame:
+def redact(docs: DataFrame, contexts: np.ndarray | DataFrame,
+           limit: int = BROADCAST_CONTEXTS) -> DataFrame:
     """``docs`` with their columns, texts masked, ``n_chars`` (if there)
     counted anew where the text has changed; null texts stay null."""
-    accepted = docs.sparkSession.sparkContext.broadcast(contexts)
+    columns = docs.columns
+    out = docs.withColumn("text", F.col("text").cast("string"))
+    rows, name, known_of = _with_contexts(out, contexts, limit)
 
     def mask(batches):
-        known = set(accepted.value.tolist())
         for batch in batches:
+            known = known_of(batch)
+            if name in batch.schema.names:
+                batch = batch.drop_columns([name])
             texts = string_array(batch.column("text"))
             hits = np.flatnonzero(_interesting(texts))
             new = [None] * len(texts)
             for i, text in zip(hits.tolist(), texts.take(pa.array(hits)).to_pylist()):
-                clean = masked(text, known)
+                clean = masked(text, known[i])
                 new[i] = clean if clean != text else None
             column = pc.coalesce(pa.array(new, pa.string()), batch.column("text").cast(pa.string()))
             yield batch.set_column(batch.schema.get_field_index("text"), "text", column)
 
-    columns = docs.columns
-    out = docs.withColumn("text", F.col("text").cast("string"))
-    changed = out.mapInArrow(mask, out.schema)
+    changed = rows.mapInArrow(mask, out.schema)
     if "n_chars" in columns:
         length: Column = F.length("text").cast(docs.schema["n_chars"].dataType)
         changed = changed.withColumn("n_chars", F.when(
