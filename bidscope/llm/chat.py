@@ -7,7 +7,11 @@ more than half a stride stands alone.  Each window repeats the conversation's
 system turn and at most ``HISTORY_TURNS`` turns before it within
 ``HISTORY_TOKENS``; what it repeats is masked, so each assistant text counts
 for the loss once.  New turns of a window cost less than 1.5 strides unless
-one alone costs more; no text is ever cut.
+one alone costs more.  Where that and the repeated system turn exceed
+``BUDGET``, the window is cut again by half of the room that the system turn
+leaves; history goes where it does not fit.  So a window exceeds the budget
+only if a single turn and the repeated system turn do by themselves; no text
+is ever cut.
 
 The template is ``<|im_start|>role\\ntext<|im_end|>\\n``.  Control strings
 inside a text get a backslash after their first character (and one more if
@@ -105,17 +109,52 @@ def turns(conversations: DataFrame) -> DataFrame:
                  (2 * bigs - F.col("big")).alias("alone")).alias("win"))
 
 
+def _within_budget(rows: DataFrame) -> DataFrame:
+    """``turns`` with the windows that exceed the budget cut again, and
+    ``room``, what a repeated system turn leaves of the budget."""
+    system = rows.where((F.col("at") == 0) & (F.col("role") == "system")).select(
+        F.col("conv_id").alias("sid"), F.col("cost").alias("system_cost"))
+    whole = rows.groupBy("conv_id", "win").agg(
+        F.min("at").alias("first"), F.min("before").alias("from"), F.sum("cost").alias("new"))
+    whole = whole.join(system, F.col("conv_id").eqNullSafe(F.col("sid")), "left").withColumn(
+        "room", F.lit(BUDGET) - F.coalesce("system_cost", F.lit(0)))
+    # The system turn itself stands in the first window.  If it leaves no room
+    # at all, no cut can help.
+    whole = whole.select(
+        F.col("conv_id").alias("cid"), F.col("win").alias("w"), "from", "room",
+        ((F.col("first") > 0) & (F.col("new") > F.col("room")) & (F.col("room") > 0))
+        .alias("over"))
+    rows = rows.join(whole, F.col("conv_id").eqNullSafe(F.col("cid"))
+                     & (F.col("win") == F.col("w")))
+    half = F.greatest(F.floor(F.col("room") / 2), F.lit(1))
+    rows = rows.withColumn("half", half).withColumn(
+        "big", (F.col("cost") > F.col("room") - F.col("half")).cast("long"))
+    # A window's turns start in one stride: they are less than a stride in number.
+    bigs = F.sum("big").over(Window.partitionBy("conv_id", "win").orderBy("at").rowsBetween(
+        Window.unboundedPreceding, 0))
+    return rows.withColumn("bigs", bigs).select(
+        "conv_id", "turn", "role", "text", "cost", "before", "at", "room",
+        F.struct(
+            "win.stride", "win.alone",
+            F.when(F.col("over"), F.floor((F.col("before") - F.col("from")) / F.col("half")))
+            .otherwise(0).alias("part"),
+            F.when(F.col("over"), 2 * F.col("bigs") - F.col("big")).otherwise(0)
+            .alias("part_alone")).alias("win"))
+
+
 def windows(conversations: DataFrame) -> DataFrame:
     """One row per window: conv_id, window (its order), n_repeated turns at
     its head, first (the number of its first new turn), formatted, and the
     loss mask as spans (start, length) in code points of ``formatted``."""
-    rows = turns(conversations)
+    rows = _within_budget(turns(conversations))
     system = rows.where((F.col("at") == 0) & (F.col("role") == "system")).select(
         F.col("conv_id").alias("cid"), F.struct("at", "role", "text").alias("system"))
     bounds = rows.groupBy("conv_id", "win").agg(
-        F.min("at").alias("first"), F.max("at").alias("last"), F.min("before").alias("from"))
+        F.min("at").alias("first"), F.max("at").alias("last"), F.min("before").alias("from"),
+        (F.min("room") - F.sum("cost")).alias("free"))
     every = Window.partitionBy("conv_id").orderBy("win")
-    bounds = bounds.withColumn("next", F.lead(F.struct("win", "first", "from")).over(every))
+    bounds = bounds.withColumn("next", F.lead(
+        F.struct("win", "first", "from", "free")).over(every))
     # A turn goes into its own window, and as history into the next one.
     turn = F.struct("at", F.lit(False).alias("again"), "role", "text")
     placed = rows.join(bounds.select(
@@ -123,7 +162,8 @@ def windows(conversations: DataFrame) -> DataFrame:
         F.col("conv_id").eqNullSafe(F.col("cid")) & (F.col("win") == F.col("w")))
     history = (F.col("next").isNotNull()
                & (F.col("next.first") - F.col("at") <= HISTORY_TURNS)
-               & (F.col("next.from") - F.col("before") <= HISTORY_TOKENS)
+               & (F.col("next.from") - F.col("before") <= F.least(
+                   F.lit(HISTORY_TOKENS), F.col("next.free")))
                & ~((F.col("at") == 0) & (F.col("role") == "system")))
     placed = placed.select("conv_id", F.explode(F.when(history, F.array(
         F.struct(F.col("win"), turn.alias("t")),
