@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (ann, chat, filter_audit, mixing, ngram_join, packing, pii, quality, sharding,
-               token_store, toxicity)
+from . import (ann, chat, filter_audit, language, mixing, ngram_join, packing, pii, quality,
+               sharding, token_store, toxicity)
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_bootstrapped_contexts": pii.op9_bootstrapped_contexts,
     "op10_token_store": token_store.op10_token_store,
+    "op11_zstd_language": language.op11_zstd_language,
     "op13_filter_orders": filter_audit.op13_filter_orders,
 }
 
