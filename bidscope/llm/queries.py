@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (ann, chat, filter_audit, language, mixing, ngram_join, packing, pii, quality,
-               sharding, token_store, toxicity)
+from . import (ann, chat, filter_audit, language, mixing, ngram_join, packing, phrases, pii,
+               quality, sharding, token_store, toxicity)
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_bootstrapped_contexts": pii.op9_bootstrapped_contexts,
     "op10_token_store": token_store.op10_token_store,
     "op11_zstd_language": language.op11_zstd_language,
+    "op12_quotient_phrases": phrases.op12_quotient_phrases,
     "op13_filter_orders": filter_audit.op13_filter_orders,
 }
 
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "op5_pfair_mixing": mixing.ORACLE,
     "op7_budgeted_windows": chat.ORACLE,
     "op8_quality_rules": quality.ORACLE,
+    "op12_quotient_phrases": phrases.ORACLE,
     "op13_filter_orders": filter_audit.ORACLE,
 }
