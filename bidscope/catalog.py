@@ -129,7 +129,11 @@ def f2_equals_number(spark, sf_dir):
 NUMBER_FILTERS = (
     {"column": "o_custkey", "operator": "equals", "value": 7},
     {"column": "o_custkey", "operator": "equals", "value": 7.5},
-    {"column": "o_custkey", "operator": "in", "value": [6.9, "8", "x", 11.0]})
+    {"column": "o_custkey", "operator": "in", "value": [6.9, "8", "x", 11.0]},
+    # Beyond 64 bits, as text and as numbers: equal to no row.
+    {"column": "o_custkey", "operator": "equals", "value": "1e30"},
+    {"column": "o_custkey", "operator": "equals", "value": 10 ** 30},
+    {"column": "o_custkey", "operator": "in", "value": [10 ** 20, 5, "-1e400", "inf"]})
 
 
 def _normalized(spark, sf_dir, match="first", sa_extra=None, ty_extra=None):
@@ -355,10 +359,87 @@ def s4_folder_dispatch(spark, sf_dir):
         sheet.where(rows).select(*names).write.mode("append").option("header", True).option(
             "escape", '"').option("ignoreLeadingWhiteSpace", False).option(
             "ignoreTrailingWhiteSpace", False).csv(folder)
+    # A file of another kind is no part of the sheet.
+    spark.range(1).select(F.lit("hi\nthere").alias("value")).write.mode("append").text(path)
     return load_dataset(spark, path).select(
         *[F.col(c).cast("string").alias(c) for c in sheet.columns])
 
 
+def _csv_lines(df: DataFrame, always_quoted: bool) -> DataFrame:
+    """``line``: one CSV record of text columns per row, null as empty."""
+    fields = []
+    for name in df.columns:
+        c = F.coalesce(col_ref(name).cast("string"), F.lit(""))
+        quoted = F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+        fields.append(quoted if always_quoted else F.when(c.rlike('[",\n\r]'), quoted).otherwise(c))
+    return df.select(F.concat_ws(",", *fields).alias("line"))
+
+
+def _write_csv_text(lines: DataFrame, folder: str, header: str, latin1: bool = False) -> None:
+    """CSV files of ``lines`` as they stand, each behind ``header``."""
+    import pyarrow as pa
+
+    def with_header(batches):
+        first = [header]
+        for batch in batches:
+            lines = batch.column(0).cast(pa.string())
+            yield pa.record_batch({"line": pa.concat_arrays([pa.array(first, pa.string()), lines])})
+            first = []
+
+    out = lines.mapInArrow(with_header, "line string")
+    if latin1:
+        out = out.select(F.encode("line", "ISO-8859-1").cast("string").alias("line"))
+    out.write.mode("append").text(folder)
+
+
+SPLIT_BYTES = "spark.sql.files.maxPartitionBytes"
+
+
+def s1_csv_records(spark, sf_dir):
+    """The notices as CSV files with newlines in fields and in the
+    header, blank lines in front and quotes inside; read in many blocks of
+    each file."""
+    path = scratch_path(spark, "s1-csv")
+    src = notices(spark, sf_dir).select(
+        F.col("SolicitationNumber").alias("Solicitation\n\"Number\""),
+        F.regexp_replace("Title", " ", "\n\n").alias("Title"),
+        F.concat(F.lit('says "'), "Agency", F.lit('",\r\nso')).alias("Agency"),
+        "TypeOfSetAsideDescription")
+    _write_csv_text(_csv_lines(src.repartition(2), True), path,
+                    '\n\n"Solicitation\n""Number""",Title,Agency,TypeOfSetAsideDescription')
+    before = spark.conf.get(SPLIT_BYTES)
+    spark.conf.set(SPLIT_BYTES, "512k")
+    try:  # the files are read here: with inference the result is a table
+        out = load_dataset(spark, path, fmt="csv", pattern=None)
+    finally:
+        spark.conf.set(SPLIT_BYTES, before)
+    return out.toDF("number", *out.columns[1:])
+
+
+def s1_csv_inferred(spark, sf_dir):
+    """Files in two encodings with columns in other orders, NA
+    spellings and typed values; types come from the values of all files."""
+    path = scratch_path(spark, "s1-typed")
+    amount = F.col("o_totalprice").cast("decimal(12,2)").cast("string")
+    src = read_table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("Id"),
+        F.when(F.col("o_orderkey") % 7 == 0, "n/a").otherwise(amount).alias("Größe"),
+        F.when(F.col("o_orderkey") % 2 == 0, "True").otherwise("FALSE").alias("Even"),
+        F.when(F.col("o_orderkey") % 11 == 0, "NULL").otherwise(
+            F.concat(F.lit("Straße\n"), "o_orderpriority")).alias("Étage"),
+        F.lit("NaN").alias("Nothing"))
+    odd = F.col("Id").cast("long") % 4 == 1
+    _write_csv_text(_csv_lines(src.where(~odd), False), f"{path}/u",
+                    "Id,Größe,Even,Étage,Nothing")
+    turned = ["Étage", "Id", "Even", "Größe"]
+    _write_csv_text(_csv_lines(src.where(odd).select(*turned), False), f"{path}/l",
+                    ",".join(turned), latin1=True)
+    out = load_dataset(spark, path, fmt="csv", pattern=None)
+    return out.select(F.col("Id").alias("id"), F.col("Größe").alias("amount"),
+                      F.col("Even").alias("even"), F.col("Étage").alias("floor"),
+                      F.col("Nothing").alias("nothing"))
+
+
 def g1_audit_run(spark, sf_dir):
     """G1 + G2 with K1/K5: the flagship plan exported by ``run_and_export``,
     which appends one audit event; the formatted audit view read back (the
@@ -468,6 +549,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "s4_folder_dispatch": s4_folder_dispatch,
     "g1_audit_run": g1_audit_run,
     "k1_csv_round_trip": k1_csv_round_trip,
+    "s1_csv_records": s1_csv_records,
+    "s1_csv_inferred": s1_csv_inferred,
     "s2_latin1_round_trip": s2_latin1_round_trip,
     "k2_workbook_round_trip": k2_workbook_round_trip,
     "st_stream_plan": st_stream_plan,
@@ -624,8 +707,8 @@ def oracle_sql() -> dict[str, str]:
         "e4_best_candidates": _sql_best_candidates(),
         "d1_layouts": "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders",
         "f2_equals_number": (
-            "SELECT CASE WHEN o_custkey = 7 THEN 0 ELSE 2 END AS test, o_orderkey FROM orders "
-            "WHERE o_custkey IN (7, 8, 11)"),
+            "SELECT CASE o_custkey WHEN 7 THEN 0 WHEN 5 THEN 5 ELSE 2 END AS test, o_orderkey "
+            "FROM orders WHERE o_custkey IN (5, 7, 8, 11)"),
         "d1_force_date": O.with_notices(
             f"SELECT SolicitationNumber, PostedDate, CAST({O.force_date('PostedDate')} AS VARCHAR) "
             f"AS posted_date, CAST({O.force_date('ResponseDeadLine')} AS VARCHAR) AS due_date "
@@ -676,6 +759,16 @@ def oracle_sql() -> dict[str, str]:
             f"CASE WHEN {c} NOT IN ({', '.join(O.q(t) for t in _NA)}) THEN CAST({c} AS VARCHAR) "
             f"END AS {c}" for c in NOTICE_COLS) + " FROM notices"),
         "k1_csv_round_trip": _sql_csv_round_trip(),
+        "s1_csv_records": O.with_notices(
+            "SELECT SolicitationNumber AS number, replace(Title, ' ', chr(10) || chr(10)) AS "
+            "\"Title\", 'says ' || chr(34) || Agency || chr(34) || ',' || chr(13) || chr(10) || 'so' AS \"Agency\", "
+            "CASE WHEN TypeOfSetAsideDescription IN ('', 'None') THEN NULL "
+            "ELSE TypeOfSetAsideDescription END AS \"TypeOfSetAsideDescription\" FROM notices"),
+        "s1_csv_inferred": (
+            "SELECT o_orderkey::BIGINT AS id, CASE WHEN o_orderkey % 7 <> 0 THEN "
+            "o_totalprice::DECIMAL(12,2)::DOUBLE END AS amount, o_orderkey % 2 = 0 AS even, "
+            "CASE WHEN o_orderkey % 11 <> 0 THEN 'Straße' || chr(10) || o_orderpriority END AS "
+            "floor, NULL::VARCHAR AS nothing FROM orders"),
         "g1_audit_run": O.final_cte() + (
             "SELECT 'run_plan' AS action, CASE WHEN n > 0 THEN 'ok' ELSE 'empty' END AS status, "
             "CAST(n AS VARCHAR) || ' rows' AS message, CAST(n AS VARCHAR) AS rows, "

@@ -43,20 +43,41 @@ def _as_date(c: Column, dt: T.DataType) -> Column:
 def _typed_literal(value, dt: T.DataType) -> Column:
     """Cast the *literal* to the column type (never the column), so the
     comparison stays pushable; text that does not fit becomes NULL."""
+    if isinstance(value, (Mapping, list, tuple, set)):
+        raise FilterError(f"a filter value must be a single value, got {value!r}")
     if isinstance(dt, T.DateType):
         return force_date(F.lit(None if value is None else str(value)))
     if isinstance(value, bool):
         value = str(value).lower()
     if isinstance(dt, T.IntegralType):
-        # A cast would cut a fraction off; such a literal equals no integer.
+        # A cast would cut a fraction off; a literal with one, or beyond 64
+        # bits, equals no integer.
         try:
             number = Decimal(str(value))
-            value = int(number) if number == number.to_integral_value() else None
+            whole = (number.is_finite() and number == number.to_integral_value()
+                     and -(1 << 63) <= number < 1 << 63)
+            value = int(number) if whole else None
         except ArithmeticError:
             pass
+    if isinstance(value, int) and not -(1 << 63) <= value < 1 << 63:
+        value = str(value)
     return F.lit(value).try_cast(dt)
 
 
+def _days(val, name: str) -> int:
+    """A number of days: a number loses its fraction, text has to be whole."""
+    try:
+        number = Decimal(str(val))
+        if number.is_finite() and not isinstance(val, bool):
+            # Wider than the calendar is as good as its end.
+            days = max(Decimal(-4_000_000), min(Decimal(4_000_000), number))
+            if not isinstance(val, str) or days == days.to_integral_value():
+                return int(days)
+    except ArithmeticError:
+        pass
+    raise FilterError(f"next_days on {name!r} needs a whole number of days, got {val!r}")
+
+
 def _date_range(c: Column, lo, hi, derived: bool = False) -> Column:
     """Inclusive range; NULL never matches.
 
@@ -120,11 +141,10 @@ def filter_predicate(df: DataFrame, f: Mapping, today: _dt.date, strict: bool =
         hi = _typed_literal(val[1], T.DateType())
         return _date_range(d, lo, hi, derived)
     if op == "next_days":                                # F5
-        try:
-            n = int(val)
-        except (TypeError, ValueError) as e:
-            raise FilterError(f"next_days on {name!r} needs an integer, got {val!r}") from e
-        return _date_range(d, today, today + _dt.timedelta(days=n), derived)
+        # No day lies between today and an earlier one, however much earlier.
+        days = max(-1, min(_days(val, name), (_dt.date.max - today).days))
+        last = today + _dt.timedelta(days=days)
+        return _date_range(d, today, last, derived)
     if op == "today":                                    # F6
         return d == F.lit(today)
     if op == "tomorrow":                                 # F7

@@ -98,7 +98,7 @@ def solicitation_months(plan: Plan, today: _dt.date) -> tuple[str, str] | None:
                 rng = last_week(today)
             elif op == "last_7_days":
                 rng = (today - _dt.timedelta(days=7), today)
-        except (TypeError, ValueError):
+        except (TypeError, ValueError, OverflowError):
             rng = None
         if rng:
             lo = rng[0] if lo is None else max(lo, rng[0])

@@ -14,7 +14,7 @@ import tempfile
 import zipfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the operators want; safe to apply to a caller's session.
 ENGINE_CONF = {
@@ -116,3 +116,10 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, kind: str) -> str:
     """A fresh, never reused folder under the shared scratch area."""
     return f"{shared_dir(spark)}/bidscope/{kind}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, kind: str) -> DataFrame:
+    """Write ``df`` under the shared scratch area and read it back."""
+    path = scratch_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

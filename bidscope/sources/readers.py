@@ -9,15 +9,18 @@ skipped.
 from __future__ import annotations
 
 import csv
+import io
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import col_ref
 from ..operators.project import disambiguate
+from ..session import materialize
+from .csv_records import block_facts, raw_lines, records
 
 # The missing-value spellings pandas' CSV reader turns into NA
 # by default (pandas 2.x); a lone blank " " is not among them.
@@ -49,27 +52,40 @@ def null_tokens(df: DataFrame, tokens: Sequence[str] = PANDAS_NA_TOKENS) -> Data
     return df.select(*cols)
 
 
-def infer_types(df: DataFrame, skip: Sequence[str] = (ROW_ID,)) -> DataFrame:
+def _fit_counts(names: Sequence[str]) -> list:
+    """Per text column: its values, and how many are no whole number, no whole
+    number of 64 bits, no number, no truth value (Spark's casts take more,
+    such as ``12D``)."""
+    aggs = []
+    for i, name in enumerate(names):
+        c = col_ref(name)
+        aggs += [F.count(c).alias(f"n{i}"),
+                 F.count(F.when(~c.rlike(WHOLE), 1)).alias(f"w{i}"),
+                 F.count(F.when(c.try_cast("bigint").isNull() & c.isNotNull(), 1)).alias(f"l{i}"),
+                 F.count(F.when(~c.rlike(NUMBER), 1)).alias(f"d{i}"),
+                 F.count(F.when(~c.isin(*TRUTHS), 1)).alias(f"b{i}")]
+    return aggs
+
+
+def infer_types(df: DataFrame, skip: Sequence[str] = (ROW_ID,), staged: bool = False) -> DataFrame:
     """Narrow text columns to BIGINT / DOUBLE / BOOLEAN when every non-null
     value fits, as a CSV reader's inference would; dates stay text.
 
-    One aggregate job counts, per column, the values that do not fit.
+    One aggregate job counts, per column, the values that do not fit.  With
+    ``staged`` the same job writes the rows to the shared scratch folder, and
+    the result reads them there instead of parsing the files again.
     """
     text_cols = [f.name for f in df.schema.fields
                  if isinstance(f.dataType, T.StringType) and f.name not in skip]
     if not text_cols:
         return df
-    aggs = []
-    for i, name in enumerate(text_cols):
-        c = col_ref(name)
-        # Values that are no whole number, no whole number of 64 bits, no
-        # number, no truth value (Spark's casts take more, such as ``12D``).
-        aggs += [F.count(c).alias(f"n{i}"),
-                 F.count(F.when(~c.rlike(WHOLE), 1)).alias(f"w{i}"),
-                 F.count(F.when(c.try_cast("bigint").isNull() & c.isNotNull(), 1)).alias(f"l{i}"),
-                 F.count(F.when(~c.rlike(NUMBER), 1)).alias(f"d{i}"),
-                 F.count(F.when(~c.isin(*TRUTHS), 1)).alias(f"b{i}")]
-    r = df.agg(*aggs).first()
+    if staged:
+        seen, names = Observation(), df.columns
+        plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+        counted = plain.observe(seen, *_fit_counts([f"c{names.index(n)}" for n in text_cols]))
+        df, r = materialize(counted, "csv-text").toDF(*names), seen.get
+    else:
+        r = df.agg(*_fit_counts(text_cols)).first()
     target = {}
     for i, name in enumerate(text_cols):
         if r[f"n{i}"] == 0:
@@ -88,31 +104,11 @@ def infer_types(df: DataFrame, skip: Sequence[str] = (ROW_ID,)) -> DataFrame:
                         else col_ref(f.name)).alias(f.name) for f in df.schema.fields])
 
 
-def _csv_reader(spark: SparkSession, multi_line: bool, encoding: str, schema=None):
-    r = (spark.read.option("header", True).option("multiLine", multi_line)
-         .option("escape", '"').option("encoding", encoding)
-         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-         .option("mode", "PERMISSIVE"))
-    return r.schema(schema) if schema is not None else r
-
-
-def file_facts(spark: SparkSession, paths: str | Sequence[str],
-               recursive: bool = False) -> DataFrame:
-    """``path, utf8, header``: whether every line of a file is valid UTF-8 (S2
-    detection) and its first line.  One aggregate over the raw lines."""
-    lines = spark.read.option("recursiveFileLookup", recursive).text(paths)
-    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    return (lines.select(F.col("_metadata.file_path").alias("path"), "value",
-                         F.is_valid_utf8("value").alias("ok"), place.alias("at"))
-                 .groupBy("path").agg(F.bool_and("ok").alias("utf8"),
-                                      F.min_by("value", "at").alias("header")))
-
-
-def header_names(line: str) -> list[str]:
-    """The column names of one header line, as a CSV reader names them: empty
+def header_names(text: str) -> list[str]:
+    """The column names of a header record, as a CSV reader names them: empty
     ones by place, and repeated ones numbered after the first."""
-    line = line.lstrip("\ufeff").rstrip("\r")
-    names = next(csv.reader([line])) if line else []
+    text = text.lstrip("\ufeff").removesuffix("\r")
+    names = next(csv.reader(io.StringIO(text, newline=""))) if text else []
     out: list[str] = []
     for i, name in enumerate(names):
         name = name or f"Unnamed: {i}"
@@ -124,66 +120,159 @@ def header_names(line: str) -> list[str]:
     return out
 
 
+def _file_kinds(facts: DataFrame) -> DataFrame:
+    """One row per file: ``file`` (hash of its path), ``utf8``, ``opens``, its
+    ``first`` line that is not blank, ``first_opens`` and ``head_block``."""
+    has_line = F.when(F.col("first").isNotNull(), F.col("block"))
+    return facts.groupBy("path").agg(
+        F.bool_and("utf8").alias("utf8"), F.bool_or("opens").alias("opens"),
+        F.min_by("first", has_line).alias("first"),
+        F.min_by("first_opens", has_line).alias("first_opens"),
+        F.min(has_line).alias("head_block")).select(
+        F.xxhash64("path").alias("file"), "utf8", "opens", "first", "head_block",
+        F.coalesce("first_opens", F.lit(False)).alias("first_opens"))
+
+
+def _decoded(raw: bytes | None, utf8: bool) -> str:
+    return bytes(raw or b"").decode("utf-8" if utf8 else "latin-1", "replace")
+
+
+def _columns(headers: list[list[str]]) -> list[str]:
+    """The names of all headers, each once, in the order met; names that
+    differ in case only are told apart as a table needs them."""
+    return list(dict.fromkeys(name for names in headers for name in names))
+
+
+_PARSE = {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE",
+          "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def _from_records(spark: SparkSession, lines: DataFrame, facts: DataFrame, latin1: bool,
+                  schema: T.StructType | None) -> DataFrame:
+    """Columns of records cut from the lines, whatever headers and encodings
+    the files have: one scan, one projection."""
+    kinds = _file_kinds(facts)
+    found = records(lines, facts)
+    heads = kinds
+    if kinds.where("first_opens").limit(1).count():
+        # A header of several lines: take it from the records.
+        first = found.where("header").select("file", F.col("record").alias("whole"))
+        heads = kinds.join(first, "file", "left").withColumn(
+            "first", F.coalesce("whole", "first"))
+    if schema is not None:
+        heads = heads.withColumn("first", F.lit(None).cast("binary"))
+    groups = heads.groupBy("first", "utf8").agg(F.count("*").alias("n")).orderBy(
+        F.desc("n"), "first", "utf8").collect()
+    if not groups:
+        return spark.createDataFrame([], schema or T.StructType([]))
+    # 12 bytes for every file that is not of the commonest kind.
+    number = {(r.first if r.first is None else bytes(r.first), r.utf8): i
+              for i, r in enumerate(groups)}
+    others = {} if len(groups) == 1 else {
+        r.file: number[r.first if r.first is None else bytes(r.first), r.utf8]
+        for r in heads.select("file", "first", "utf8").collect()}
+    kind = F.lit(0)
+    if others:
+        table = spark.createDataFrame([(f, k) for f, k in others.items() if k],
+                                      "file long, kind int")
+        found = found.join(F.broadcast(table), "file", "left")
+        kind = F.coalesce(F.col("kind"), F.lit(0))
+    odd = [i for i, r in enumerate(groups) if not r.utf8 and latin1]
+    text = F.when(kind.isin(odd), F.decode("record", "ISO-8859-1")).otherwise(
+        F.col("record").cast("string")) if odd else F.col("record").cast("string")
+    text = F.regexp_replace(text, "\r$", "")
+    rows = found.where(~F.col("header")).select("file", "block", "row", kind.alias("kind"),
+                                                text.alias("record"))
+    if schema is not None:
+        return rows.select(F.from_csv("record", F.lit(_ddl(schema)), _PARSE).alias("x")).select("x.*")
+    names = [header_names(_decoded(r.first, r.utf8 or not latin1)) for r in groups]
+    width = max(1, max(map(len, names)))
+    parsed = rows.select("kind", F.from_csv(
+        "record", F.lit(", ".join(f"c{i} string" for i in range(width))), _PARSE).alias("x"))
+    if len(groups) == 1:
+        out = parsed.select(*[F.col(f"x.c{i}") for i in range(len(names[0]))])
+        return disambiguate(out.toDF(*names[0]))
+    fields = F.array(*[F.col(f"x.c{i}") for i in range(width)])
+    parsed = parsed.select("kind", fields.alias("f"))
+    columns = _columns(names)
+    out = []
+    for name in columns:
+        # The field's place in each kind of file, null where it has none.
+        places = F.array(*[F.lit(own.index(name) if name in own else None).cast("int")
+                           for own in names])
+        out.append(F.get("f", F.get(places, F.col("kind"))))
+    return disambiguate(parsed.select(*[c.alias(f"c{i}") for i, c in enumerate(out)]).toDF(*columns))
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(
+        f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
+
+
 def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str | None = None,
              multi_line: bool = True, na_tokens: Sequence[str] | None = PANDAS_NA_TOKENS,
              infer: bool = True, latin1_fallback: bool = True,
-             with_row_id: bool = False, recursive: bool = False) -> DataFrame:
-    """S1 (+S2, S5): header row, UTF-8, files that are not valid UTF-8 decoded
-    as Latin-1.  Without a schema, columns go by the names in each file's own
-    header (a column that a file lacks is NULL there), and text is read first
-    so NA tokens are nulled before types are inferred.
-
-    Files are read in one group per (header, encoding); only where there is
-    more than one group do file paths reach the driver, one per file, as they
-    do in Spark's own listing.
-
-    ``multi_line`` keeps quoted newlines intact but stops a file being split;
-    turn it off for large files known to have none.
+             with_row_id: bool = False, recursive: bool = False,
+             pattern: str | None = None) -> DataFrame:
+    """S1 (+S2, S5): header record, UTF-8, files that are not valid UTF-8
+    decoded as Latin-1.  Without a schema, columns go by the names in each
+    file's own header (a column that a file lacks is NULL there), and text is
+    read first so NA tokens are nulled before types are inferred.
+
+    One aggregate over the raw lines tells each file's encoding and header and
+    whether a quoted field holds a newline.  Where none does and all files are
+    of one kind, Spark's own splittable reader takes them; otherwise records
+    are cut in parallel (``csv_records``).  Both split files at any size.
+
+    With ``infer`` the parsed text is written once under the shared scratch
+    folder while the same job counts what fits which type; the result reads
+    that table.  ``multi_line=False`` states that no field holds a newline;
+    ``pattern`` is a glob on file names.
     """
-    if schema is not None and not latin1_fallback:
-        groups = [(None, True, paths)]
+    if schema is not None and not isinstance(schema, T.StructType):
+        schema = spark.createDataFrame([], schema).schema
+    if schema is not None and not latin1_fallback and not multi_line:
+        df = _spark_csv(spark, paths, recursive, pattern, "UTF-8", schema)
     else:
-        facts = file_facts(spark, paths, recursive)
-        if schema is not None:
-            facts = facts.withColumn("header", F.lit(None).cast("string"))
-        kinds = facts.groupBy("header", "utf8").count().collect()
-        if len(kinds) == 1:
-            groups = [(kinds[0].header, kinds[0].utf8, paths)]
+        lines = raw_lines(spark, paths, recursive, pattern)
+        facts = materialize(block_facts(lines), "csv-facts")
+        kinds = _file_kinds(facts).agg(
+            F.count("*").alias("n"), F.bool_or("opens").alias("opens"),
+            F.count_distinct("utf8").alias("encodings"), F.bool_and("utf8").alias("utf8"),
+            F.count_distinct("first").alias("headers"), F.min("first").alias("first"),
+            F.max("head_block").alias("head_block")).first()
+        # Spark's reader looks for the header in a file's first block.
+        one_kind = (kinds.encodings <= 1 and not kinds.head_block
+                    and (schema is not None or kinds.headers <= 1))
+        if kinds.n and one_kind and not (kinds.opens and multi_line):
+            latin = latin1_fallback and not kinds.utf8
+            use = schema
+            if schema is None:
+                names = header_names(_decoded(kinds.first, not latin))
+                use = T.StructType([T.StructField(f"c{i}", T.StringType())
+                                    for i in range(len(names))])
+            df = _spark_csv(spark, paths, recursive, pattern,
+                            "ISO-8859-1" if latin else "UTF-8", use)
+            if schema is None:
+                # By place, so names that differ only in case do not meet.
+                df = disambiguate(df.toDF(*names))
         else:
-            by: dict = {}
-            for r in facts.select("header", "utf8", "path").orderBy("path").collect():
-                by.setdefault((r.header, r.utf8 or not latin1_fallback), []).append(r.path)
-            groups = [(h, u, p) for (h, u), p in by.items()]
-    df = None
-    for header, utf8, files in groups:
-        encoding = "UTF-8" if utf8 or not latin1_fallback else "ISO-8859-1"
-        use, names = schema, None
-        if schema is None:
-            if not utf8 and header is not None:
-                header = _as_latin1(spark, files, recursive)
-            names = header_names(header or "")
-            use = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-        part = _csv_reader(spark, multi_line, encoding, use).option(
-            "recursiveFileLookup", recursive).option("enforceSchema", True).csv(files)
-        if names is not None:
-            # By place, so names that differ only in case do not meet.
-            part = disambiguate(part.toDF(*names))
-        df = part if df is None else df.unionByName(part, allowMissingColumns=True)
-    if df is None:  # no file has a line
-        df = spark.createDataFrame([], schema if schema is not None else T.StructType([]))
-    if with_row_id:
-        df = df.withColumn(ROW_ID, F.monotonically_increasing_id())
+            df = _from_records(spark, lines, facts, latin1_fallback, schema)
     if na_tokens is not None and df.columns:
         df = null_tokens(df, na_tokens)
     if schema is None and infer:
-        df = infer_types(df)
-    return df
+        df = infer_types(df, staged=True)
+    return df.withColumn(ROW_ID, F.monotonically_increasing_id()) if with_row_id else df
 
 
-def _as_latin1(spark: SparkSession, files, recursive: bool) -> str:
-    """The header line of Latin-1 files that share it, decoded as such."""
-    raw = spark.read.option("recursiveFileLookup", recursive).text(files)
-    return raw.select(F.decode(F.col("value").cast("binary"), "ISO-8859-1")).first()[0]
+def _spark_csv(spark: SparkSession, paths, recursive: bool, pattern: str | None, encoding: str,
+               schema: T.StructType) -> DataFrame:
+    reader = (spark.read.options(**(_PARSE | {"multiLine": "false"})).option("header", True)
+              .option("encoding", encoding).option("recursiveFileLookup", recursive)
+              .option("enforceSchema", True).schema(schema))
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    return reader.csv(paths)
 
 
 _SUFFIXES = (".csv", ".xlsx", ".xls", ".parquet", ".orc", ".json")
@@ -217,7 +306,10 @@ def load_dataset(spark: SparkSession, path: str, fmt: str | None = None, **kw) -
     suffix its files share.  ``.xls`` is refused (binary legacy format)."""
     kind = ("." + fmt.lower().lstrip(".")) if fmt else _suffix(spark, path)
     if kind == ".csv":
-        return read_csv(spark, path, recursive=not path.lower().endswith(".csv"), **kw)
+        if path.lower().rstrip("/").endswith(".csv"):
+            return read_csv(spark, path, **kw)
+        # Files of other kinds beside them are no data.
+        return read_csv(spark, path, **({"recursive": True, "pattern": "*.[cC][sS][vV]"} | kw))
     if kind == ".xlsx":
         from .workbooks import read_workbooks
         return read_workbooks(spark, path, **kw)
