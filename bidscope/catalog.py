@@ -28,8 +28,10 @@ from .operators.order import canonical_sort_keys, preview, top_n, with_positions
 from .operators.profile import (best_candidates, candidate_columns, count_rows,
                                 first_distinct_values, profile_counts, profile_document,
                                 sample_rows)
-from .operators.project import drop_no_set_aside
+from .operators.pattern_index import classify_by_rules
+from .operators.project import CANONICAL_ORDER, drop_no_set_aside
 from .operators.summary import grouped_summary
+from .plans.plan_table import run_plan_table
 from .plans.run import run_plan, run_saved_plans, stage
 from .plans.plan import Plan
 from .session import scratch_path
@@ -171,6 +173,46 @@ def n5_extra_patterns(spark, sf_dir):
         "SolicitationNumber", "Normalized_Set_Aside", "Normalized_Opportunity_Type")
 
 
+def n5_many_patterns(spark, sf_dir):
+    """N1, N5 with thousands of rules: every dozen of order numbers is a
+    rule (some 5,000 at sf0.01), the link's first matching rule its bucket."""
+    twelfth = F.floor(F.col("o_orderkey") / 12)
+    rules = read_table(spark, sf_dir, "orders").select(twelfth.alias("position")).distinct().select(
+        "position", F.concat(F.lit("rule "), F.col("position") % 97).alias("bucket"),
+        F.concat(F.lit("OPP/"), "position").alias("pattern"))
+    return classify_by_rules(notices(spark, sf_dir).select("SolicitationNumber", "UiLink"), "UiLink",
+                             rules, "none", "bucket").select("SolicitationNumber", "bucket")
+
+
+_PLAN_JSON = """
+concat('{"filters": [', CASE c_custkey % 6
+  WHEN 0 THEN concat('{"column": "Agency", "operator": "equals", "value": "', n_name, '"}, {"column": '
+    || '"Normalized Set Aside", "operator": "in", "value": ["SDVOSB", "WOSB", "8(A) PROGRAM"]}')
+  WHEN 1 THEN concat('{"column": "Due Date", "operator": "between", "value": ["',
+    date_add(DATE '1993-01-01', cast(c_custkey AS int)), '", "', date_add(DATE '1993-01-01',
+    cast(c_custkey AS int) + 20),
+    '"]}, {"column": "Opportunity Type", "operator": "in", "value": ["Solicitation", "Other"]}')
+  WHEN 2 THEN concat('{"column": "Title", "operator": "contains", "value": "machinery"}, {"column": '
+    || '"Due Date", "operator": "next_days", "value": ', c_custkey % 30, '}')
+  WHEN 3 THEN concat('{"column": "UiLink", "operator": "contains", "value": "OPP/', c_custkey, '"}')
+  WHEN 4 THEN concat('{"column": "Normalized Set Aside", "operator": "equals", "value": "NO SET-ASIDE"'
+    || '}, {"column": "Solicitation Number", "operator": "in", "value": ["SOL-', c_custkey, '", "SOL-',
+    c_custkey + 96, '"]}')
+  ELSE '{"column": "Solicitation Date", "operator": "last_7_days"}, {"column": "?", "operator": "in"}'
+  END, ']', if(c_custkey % 4 = 0, ', "output_columns": ["Title", "PostedDate"]', ''), '}')
+"""
+
+
+def l4_stored_plans(spark, sf_dir):
+    """L1, L4: a plan per customer (1,500 at sf0.01), stored as JSON in a
+    table and run over the notices by an index of their filters."""
+    plans = read_table(spark, sf_dir, "customer").join(
+        read_table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey")).select(
+        F.col("c_custkey").cast("string").alias("plan_id"), F.expr(_PLAN_JSON).alias("plan"))
+    out = run_plan_table(notices(spark, sf_dir), plans, today=TODAY)
+    return dates_as_text(out.select("plan_id", *CANONICAL_ORDER))
+
+
 def f0_drop(spark, sf_dir):
     return drop_no_set_aside(_normalized(spark, sf_dir)).select(
         "SolicitationNumber", "Normalized_Set_Aside")
@@ -532,6 +574,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "n3_opp_type": n3_opp_type,
     "n3_opp_type_longest": n3_opp_type_longest,
     "n5_extra_patterns": n5_extra_patterns,
+    "n5_many_patterns": n5_many_patterns,
+    "l4_stored_plans": l4_stored_plans,
     "f0_drop": f0_drop,
     "p5_final_table": p5_final_table,
     "p2_column_map": p2_column_map,
@@ -669,6 +713,33 @@ def _sql_csv_round_trip() -> str:
     return O.with_notices(f"SELECT {cols} FROM notices")
 
 
+def _sql_stored_plans() -> str:
+    sa = '"Normalized Set Aside"'
+    tests = {
+        0: f"\"Agency\" = n_name AND {sa} IN ('SDVOSB', 'WOSB', '8(A) PROGRAM')",
+        1: "\"Due Date\" BETWEEN DATE '1993-01-01' + c_custkey::INT AND DATE '1993-01-01' + "
+           "(c_custkey + 20)::INT AND \"Opportunity Type\" IN ('Solicitation', 'Other')",
+        2: f"contains(lower(\"Title\"), 'machinery') AND \"Due Date\" BETWEEN {SQL_TODAY} AND "
+           f"{SQL_TODAY} + (c_custkey % 30)::INT",
+        3: "contains(lower(\"UiLink\"), 'opp/' || c_custkey)",
+        4: f"{sa} = 'NO SET-ASIDE' AND \"Solicitation Number\" IN ('SOL-' || c_custkey, "
+           "'SOL-' || (c_custkey + 96))",
+        5: f"\"Solicitation Date\" BETWEEN {SQL_TODAY} - 7 AND {SQL_TODAY}"}
+    cols = []
+    for name in CANONICAL_ORDER:
+        value = f'"{name}"::VARCHAR'
+        if name not in ("Title", "Solicitation Date"):
+            value = f"CASE WHEN c_custkey % 4 <> 0 THEN {value} END"
+        cols.append(f'{value} AS "{name}"')
+    parts = [
+        f"SELECT c_custkey::VARCHAR AS plan_id, {', '.join(cols)} FROM final, (SELECT c_custkey, "
+        f"n_name || '' AS n_name FROM customer JOIN nation ON c_nationkey = n_nationkey "
+        f"WHERE c_custkey % 6 = {k}) c WHERE {t}" + (
+            "" if k == 4 else f" AND coalesce({sa}, 'NO SET-ASIDE') <> 'NO SET-ASIDE'")
+        for k, t in tests.items()]
+    return O.final_cte(drop=False) + " UNION ALL ".join(parts)
+
+
 def _sql_o1_positions() -> str:
     return O.final_cte() + (
         "SELECT \"Solicitation Number\", row_number() OVER (ORDER BY CASE \"Opportunity Type\" "
@@ -725,6 +796,11 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT SolicitationNumber, Type, "
             f"{O.classify_longest('Type', OPPORTUNITY_BUCKETS, 'Other')} "
             f"AS Normalized_Opportunity_Type FROM notices"),
+        "n5_many_patterns": O.with_notices(
+            "SELECT SolicitationNumber, coalesce('rule ' || (min(position) % 97), 'none') AS bucket "
+            "FROM notices LEFT JOIN (SELECT DISTINCT o_orderkey // 12 AS position FROM orders) "
+            "ON contains(lower(UiLink), 'opp/' || position) GROUP BY SolicitationNumber"),
+        "l4_stored_plans": _sql_stored_plans(),
         "n5_extra_patterns": _sql_normalized(
             "SolicitationNumber, Normalized_Set_Aside, Normalized_Opportunity_Type",
             O.set_aside(extra={"8(A) PROGRAM": ["8(a)"], "WOSB": ["woman-owned"]}),

@@ -20,7 +20,8 @@ from ..functions.dates import DEFAULT_TZ, resolve_today
 from ..functions.text import col_ref
 from ..operators.filters import apply_filters, combined_predicate
 from ..operators.order import ROW_ID, canonical_sort, canonical_sort_keys, global_sort
-from ..operators.project import (CANONICAL_ORDER, NAICS, SET_ASIDE, canonical_columns,
+from ..operators.project import (CANONICAL_ORDER, NAICS, SET_ASIDE, SOURCE_TARGETS,
+                                 canonical_columns,
                                  disambiguate, project_canonical, resolve_columns,
                                  select_output_columns)
 from .plan import Plan, validate
@@ -130,6 +131,25 @@ def _signature(plan: Plan, parity: bool) -> str:
                       sort_keys=True, default=str)
 
 
+def _shown(pid: str, plan: Plan, fields: list, names: list[str], carry: list[str],
+           types: Mapping, sources: Mapping, notes: list[str] | None) -> list:
+    """``fields`` with the columns that a plan does not ask for as NULL."""
+    if plan.summary_by and notes is not None:
+        notes.append(f"plan {pid!r}: summary_by is not run among saved plans")
+    if not plan.output_columns:
+        return fields
+    asked = {SOURCE_TARGETS.get(key): raw for key, raw in sources.items()}
+    out = []
+    for name, value in zip(names, fields):
+        kept = (name in carry or name in plan.output_columns
+                or asked.get(name) in plan.output_columns)
+        out.append(value if kept else F.lit(None).cast(types[name]).alias(name))
+    unknown = [c for c in plan.output_columns if c not in names and c not in asked.values()]
+    if unknown and notes is not None:
+        notes.append(f"plan {pid!r}: output columns {unknown!r} are not among saved plans' columns")
+    return out
+
+
 def run_saved_plans(df: DataFrame, plans: Mapping[str, object], today=None,
                     tz: str = DEFAULT_TZ, strict: bool = False, match: str = "first",
                     parity: bool = False, tie_break: Sequence[str] | None = None,
@@ -143,6 +163,8 @@ def run_saved_plans(df: DataFrame, plans: Mapping[str, object], today=None,
     ``struct`` of its group's columns when its predicate holds, and
     ``explode`` of the non-null structs emits the rows -- a narrow plan, no
     shuffle, and the table is read once however many plans and groups.
+    With ``output_columns`` a plan's other columns are NULL.  Hundreds of
+    plans and more belong in a table (``plan_table.run_plan_table``).
     """
     day = resolve_today(today, tz)
     df = disambiguate(df)
@@ -199,10 +221,12 @@ def run_saved_plans(df: DataFrame, plans: Mapping[str, object], today=None,
             keep = F.coalesce(ref(SET_ASIDE), F.lit(NO_SET_ASIDE)) != F.lit(NO_SET_ASIDE)
         fields = [(ref(n) if (n in group_names or n in carry)
                    else F.lit(None).cast(name_type[n])).alias(n) for n in names]
+        sources = resolve_columns(df.columns, group[0][1].columns)
         for pid, plan in group:
             pred = combined_predicate(view, plan.filters, day, tz, strict, False, notes, ref)
             cond = keep if pred is None else (pred if keep is None else keep & pred)
-            row = F.struct(F.lit(pid).alias(PLAN_ID), *fields)
+            row = F.struct(F.lit(pid).alias(PLAN_ID),
+                           *_shown(pid, plan, fields, names, carry, name_type, sources, notes))
             tags.append(row if cond is None else F.when(cond, row))
     hits = F.filter(F.array(*tags), lambda x: x.isNotNull())
     out = level2.select(F.explode(hits).alias("_hit")).select(
