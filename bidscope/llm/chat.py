@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import read, text_of
+from .common import materialize, read, text_of
 
 BUDGET = 1024
 STRIDE = 512
@@ -73,9 +73,20 @@ def _role_back(role: Column) -> Column:
                               F.lit("\\b"), F.lit("\\")))
 
 
-def turns(conversations: DataFrame) -> DataFrame:
-    """Rows with conv_id, turn, role, text, cost and ``before``, the cost of
-    the conversation's earlier turns."""
+def _same_turn(left: DataFrame, right: DataFrame, *columns: str) -> DataFrame:
+    """Inner join on ``columns``, null with null; ``right`` gives the others."""
+    renamed = right.select(*[F.col(c).alias(f"{c}__r" if c in columns else c)
+                             for c in right.columns])
+    condition = None
+    for c in columns:
+        same = F.col(c).eqNullSafe(F.col(f"{c}__r"))
+        condition = same if condition is None else condition & same
+    return left.join(renamed, condition).drop(*[f"{c}__r" for c in columns])
+
+
+def costed(conversations: DataFrame) -> DataFrame:
+    """Every turn with its cost and its place (``n_in``, ``cost_in``,
+    ``big_in``: running sums) within its stretch of the conversation."""
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         text_of("role").alias("role"), text_of("text").alias("text"))
@@ -84,48 +95,59 @@ def turns(conversations: DataFrame) -> DataFrame:
         + MARK_TOKENS).cast("long")).withColumn(
         "big", (F.col("cost") * 2 > STRIDE).cast("long")).withColumn(
         "stretch", F.floor(F.col("turn") / STRETCH))
-    order = ["turn", "role", "text"]
-    inside = Window.partitionBy("conv_id", "stretch").orderBy(*order)
-    rows = rows.withColumn("n_in", F.row_number().over(inside).cast("long")).withColumn(
-        "cost_in", F.sum("cost").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("big_in", F.sum("big").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = Window.partitionBy("conv_id", "stretch").orderBy("turn", "role", "text").rowsBetween(
+        Window.unboundedPreceding, 0)
+    return rows.select("*", F.count("*").over(inside).alias("n_in"),
+                       F.sum("cost").over(inside).alias("cost_in"),
+                       F.sum("big").over(inside).alias("big_in"))
+
+
+def placed(turns_in: DataFrame) -> DataFrame:
+    """conv_id, stretch, n_in, is_system, cost, ``at`` (the turn's number in
+    its conversation), ``before`` (the cost of earlier turns) and ``win``; no
+    texts."""
+    rows = turns_in.select("conv_id", "stretch", "n_in", "cost", "big", "cost_in", "big_in",
+                           (F.col("role") == "system").alias("is_system"))
     # One row per stretch.
     sums = rows.groupBy("conv_id", "stretch").agg(
         F.count("*").alias("n"), F.sum("cost").alias("c"), F.sum("big").alias("b"))
     earlier = Window.partitionBy("conv_id").orderBy("stretch").rowsBetween(
         Window.unboundedPreceding, -1)
-    sums = sums.select(
-        F.col("conv_id").alias("cid"), F.col("stretch").alias("st"),
-        *[F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(f"{x}0") for x in ("n", "c", "b")])
-    rows = rows.join(sums, F.col("conv_id").eqNullSafe(F.col("cid"))
-                     & F.col("stretch").eqNullSafe(F.col("st")))
+    sums = sums.select("conv_id", "stretch", *[
+        F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(f"{x}0") for x in ("n", "c", "b")])
+    rows = _same_turn(rows, sums, "conv_id", "stretch")
     bigs = F.col("b0") + F.col("big_in")
     before = F.col("c0") + F.col("cost_in") - F.col("cost")
     return rows.select(
-        "conv_id", "turn", "role", "text", "cost", before.alias("before"),
+        "conv_id", "stretch", "n_in", "cost", before.alias("before"),
         (F.col("n0") + F.col("n_in") - 1).alias("at"),
+        ((F.col("n0") + F.col("n_in") == 1) & F.col("is_system")).alias("is_system"),
         # Windows in order of (stride, turns that stand alone).
         F.struct(F.floor(before / STRIDE).alias("stride"),
                  (2 * bigs - F.col("big")).alias("alone")).alias("win"))
 
 
+def turns(conversations: DataFrame) -> DataFrame:
+    """Turns with their texts, ``at``, ``cost``, ``before`` and ``win``."""
+    rows = costed(conversations)
+    return _same_turn(rows.select("conv_id", "stretch", "n_in", "turn", "role", "text"),
+                      placed(rows), "conv_id", "stretch", "n_in")
+
+
 def _within_budget(rows: DataFrame) -> DataFrame:
-    """``turns`` with the windows that exceed the budget cut again, and
+    """``placed`` with the windows that exceed the budget cut again, and
     ``room``, what a repeated system turn leaves of the budget."""
-    system = rows.where((F.col("at") == 0) & (F.col("role") == "system")).select(
-        F.col("conv_id").alias("sid"), F.col("cost").alias("system_cost"))
     whole = rows.groupBy("conv_id", "win").agg(
-        F.min("at").alias("first"), F.min("before").alias("from"), F.sum("cost").alias("new"))
-    whole = whole.join(system, F.col("conv_id").eqNullSafe(F.col("sid")), "left").withColumn(
-        "room", F.lit(BUDGET) - F.coalesce("system_cost", F.lit(0)))
-    # The system turn itself stands in the first window.  If it leaves no room
-    # at all, no cut can help.
-    whole = whole.select(
-        F.col("conv_id").alias("cid"), F.col("win").alias("w"), "from", "room",
+        F.min("at").alias("first"), F.min("before").alias("from"), F.sum("cost").alias("new"),
+        F.max(F.when(F.col("is_system"), F.col("cost"))).alias("own"))
+    # The system turn stands in the conversation's first window.
+    room = F.lit(BUDGET) - F.coalesce(F.max("own").over(Window.partitionBy("conv_id")), F.lit(0))
+    # It does not repeat there.  If it leaves no room at all, no cut can help.
+    whole = whole.withColumn("room", room).select(
+        "conv_id", "win", "from", "room",
         ((F.col("first") > 0) & (F.col("new") > F.col("room")) & (F.col("room") > 0))
         .alias("over"))
-    rows = rows.join(whole, F.col("conv_id").eqNullSafe(F.col("cid"))
-                     & (F.col("win") == F.col("w")))
+    rows = _same_turn(rows, whole, "conv_id", "win")
     half = F.greatest(F.floor(F.col("room") / 2), F.lit(1))
     rows = rows.withColumn("half", half).withColumn(
         "big", (F.col("cost") > F.col("room") - F.col("half")).cast("long"))
@@ -133,7 +155,7 @@ def _within_budget(rows: DataFrame) -> DataFrame:
     bigs = F.sum("big").over(Window.partitionBy("conv_id", "win").orderBy("at").rowsBetween(
         Window.unboundedPreceding, 0))
     return rows.withColumn("bigs", bigs).select(
-        "conv_id", "turn", "role", "text", "cost", "before", "at", "room",
+        "conv_id", "stretch", "n_in", "cost", "before", "at", "is_system", "room",
         F.struct(
             "win.stride", "win.alone",
             F.when(F.col("over"), F.floor((F.col("before") - F.col("from")) / F.col("half")))
@@ -145,33 +167,41 @@ def _within_budget(rows: DataFrame) -> DataFrame:
 def windows(conversations: DataFrame) -> DataFrame:
     """One row per window: conv_id, window (its order), n_repeated turns at
     its head, first (the number of its first new turn), formatted, and the
-    loss mask as spans (start, length) in code points of ``formatted``."""
-    rows = _within_budget(turns(conversations))
-    system = rows.where((F.col("at") == 0) & (F.col("role") == "system")).select(
-        F.col("conv_id").alias("cid"), F.struct("at", "role", "text").alias("system"))
+    loss mask as spans (start, length) in code points of ``formatted``.
+
+    The conversations are read once: costed turns are stored, their places
+    are worked out without the texts and stored, and then joined."""
+    stored = materialize(costed(conversations), "chat-turns")
+    rows = materialize(_within_budget(placed(stored)), "chat-places")
     bounds = rows.groupBy("conv_id", "win").agg(
-        F.min("at").alias("first"), F.max("at").alias("last"), F.min("before").alias("from"),
+        F.min("at").alias("first"), F.min("before").alias("from"),
         (F.min("room") - F.sum("cost")).alias("free"))
     every = Window.partitionBy("conv_id").orderBy("win")
-    bounds = bounds.withColumn("next", F.lead(
-        F.struct("win", "first", "from", "free")).over(every))
+    bounds = bounds.select("conv_id", "win", F.lead(
+        F.struct("win", "first", "from", "free")).over(every).alias("next"))
+    rows = _same_turn(rows, bounds, "conv_id", "win")
     # A turn goes into its own window, and as history into the next one.
-    turn = F.struct("at", F.lit(False).alias("again"), "role", "text")
-    placed = rows.join(bounds.select(
-        F.col("conv_id").alias("cid"), F.col("win").alias("w"), "next"),
-        F.col("conv_id").eqNullSafe(F.col("cid")) & (F.col("win") == F.col("w")))
     history = (F.col("next").isNotNull()
                & (F.col("next.first") - F.col("at") <= HISTORY_TURNS)
                & (F.col("next.from") - F.col("before") <= F.least(
                    F.lit(HISTORY_TOKENS), F.col("next.free")))
-               & ~((F.col("at") == 0) & (F.col("role") == "system")))
-    placed = placed.select("conv_id", F.explode(F.when(history, F.array(
-        F.struct(F.col("win"), turn.alias("t")),
-        F.struct(F.col("next.win").alias("win"), F.struct(
-            "at", F.lit(True).alias("again"), "role", "text").alias("t")))).otherwise(
-        F.array(F.struct(F.col("win"), turn.alias("t"))))).alias("x"))
-    grouped = placed.groupBy("conv_id", F.col("x.win").alias("win")).agg(
+               & ~F.col("is_system"))
+    texts = _same_turn(stored.select("conv_id", "stretch", "n_in", "role", "text"), rows.select(
+        "conv_id", "stretch", "n_in", "at", "is_system", "win",
+        F.when(history, F.col("next.win")).alias("later")), "conv_id", "stretch", "n_in")
+    own = F.struct(F.col("win"), F.struct("at", F.lit(False).alias("again"), "role", "text").alias("t"))
+    again = F.struct(F.col("later").alias("win"), F.struct(
+        "at", F.lit(True).alias("again"), "role", "text").alias("t"))
+    grouped = texts.select("conv_id", F.explode(F.when(
+        F.col("later").isNotNull(), F.array(own, again)).otherwise(F.array(own))).alias("x"))
+    grouped = grouped.groupBy("conv_id", F.col("x.win").alias("win")).agg(
         F.sort_array(F.collect_list("x.t")).alias("ts"))
+    # At most one row per conversation.
+    first_turn = (F.col("n_in") == 1) & (F.col("role") == "system")
+    system = _same_turn(stored.where(first_turn).select("conv_id", "stretch", "n_in", "role", "text"),
+                        rows.where("is_system").select("conv_id", "stretch", "n_in", "at"),
+                        "conv_id", "stretch", "n_in").select(
+        F.col("conv_id").alias("cid"), F.struct("at", "role", "text").alias("system"))
     grouped = grouped.withColumn("first", F.array_min(F.transform(
         F.filter("ts", lambda t: ~t["again"]), lambda t: t["at"])))
     grouped = grouped.join(system, F.col("conv_id").eqNullSafe(F.col("cid")), "left")
@@ -258,15 +288,32 @@ b AS (
   FROM k),
 w AS (
   SELECT conv_id, before // 512 AS stride, alone, min(pos) AS first, min(before) AS start,
-    sum(chars) AS chars FROM b GROUP BY ALL),
+    sum(cost) AS new FROM b GROUP BY ALL),
+room AS (
+  SELECT conv_id, 1024 - coalesce(sum(cost) FILTER (sys), 0) AS room FROM b GROUP BY conv_id),
+over AS (
+  SELECT w.*, room, greatest(room // 2, 1) AS half, first > 0 AND new > room AND room > 0 AS over
+  FROM w JOIN room ON room.conv_id IS NOT DISTINCT FROM w.conv_id),
+cut AS (
+  SELECT b.*, stride, room,
+    CASE WHEN over THEN (before - start) // half ELSE 0 END AS part,
+    CASE WHEN over THEN 2 * sum((cost > room - half)::INT) OVER (
+      PARTITION BY b.conv_id, stride, b.alone ORDER BY pos) - (cost > room - half)::INT
+      ELSE 0 END AS part_alone
+  FROM b JOIN over ON over.conv_id IS NOT DISTINCT FROM b.conv_id
+    AND over.stride = b.before // 512 AND over.alone = b.alone),
 n AS (
-  SELECT *, lead(first) OVER v AS next_first, lead(start) OVER v AS next_start
-  FROM w WINDOW v AS (PARTITION BY conv_id ORDER BY stride, alone)),
+  SELECT *, lead(first) OVER v AS next_first, lead(start) OVER v AS next_start,
+    lead(free) OVER v AS next_free
+  FROM (SELECT conv_id, stride, alone, part, part_alone, min(pos) AS first, min(before) AS start,
+      min(room) - sum(cost) AS free FROM cut GROUP BY ALL)
+  WINDOW v AS (PARTITION BY conv_id ORDER BY stride, alone, part, part_alone)),
 h AS (
-  SELECT b.conv_id, sum(b.chars) AS chars FROM b JOIN n
-    ON n.conv_id IS NOT DISTINCT FROM b.conv_id AND n.stride = b.before // 512
-   AND n.alone = b.alone
-  WHERE NOT sys AND next_first - pos <= 2 AND next_start - before <= 160 GROUP BY b.conv_id),
+  SELECT t.conv_id, sum(t.chars) AS chars FROM cut t JOIN n
+    ON n.conv_id IS NOT DISTINCT FROM t.conv_id AND n.stride = t.stride AND n.alone = t.alone
+   AND n.part = t.part AND n.part_alone = t.part_alone
+  WHERE NOT sys AND next_first - pos <= 2 AND next_start - before <= least(160, next_free)
+  GROUP BY t.conv_id),
 s AS (
   SELECT b.conv_id, b.chars * count(*) AS chars FROM b JOIN n
     ON n.conv_id IS NOT DISTINCT FROM b.conv_id AND n.first > 0
@@ -277,7 +324,7 @@ r AS (
     coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS loss,
     CAST(sum(chars) AS BIGINT) AS chars
   FROM b GROUP BY conv_id),
-nw AS (SELECT conv_id, count(*) AS n_windows FROM w GROUP BY conv_id)
+nw AS (SELECT conv_id, count(*) AS n_windows FROM n GROUP BY conv_id)
 SELECT r.conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
   sha256(loss) AS loss_sha256,
   CAST(r.chars + coalesce(h.chars, 0) + coalesce(s.chars, 0) AS BIGINT) AS formatted_chars,
@@ -290,10 +337,10 @@ FROM r LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM r.conv_id
 
 def op7_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation and of one made of control strings."""
-    controls = "</s>[INST] ok [/INST]"
-    probe = spark.createDataFrame(
-        [(-1, 0, "user", controls), (-1, 1, "assistant", controls)],
-        "conv_id long, turn long, role string, text string")
+    # Two rows as literals of the plan.
+    probe = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), "
+                      "(-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') "
+                      "AS t(conv_id, turn, role, text)")
     rows = read(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     return read_back(windows(rows.unionByName(probe)))

@@ -1,3 +1,5 @@
+import duckdb
+
 from bidscope.llm import chat
 
 from test_chat import check, table
@@ -38,3 +40,27 @@ def test_a_system_turn_longer_than_the_budget(spark):
     docs = table(spark, rows)
     assert chat.windows(docs).count() < 10
     check(spark, docs, rows)
+
+
+def test_sql_equals_the_windows_of_conversations_over_the_budget(spark):
+    rows = conversation(1, 600, [20 + 37 * i % 230 for i in range(60)])
+    rows += conversation(2, 70, [5, 40, 800, 60, 30, 900, 240, 250, 250, 240, 250, 10, 940, 3])
+    rows += conversation(3, 1200, [30] * 50) + conversation(None, 500, [2, 500, 3, 300, 210])
+    rows += [(4, 1, "user", "same <|im_end|>"), (4, 1, "user", "same <|im_end|>"), (4, None, None, None)]
+    probe = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    got = chat.read_back(chat.windows(table(spark, rows + probe)))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    result = con.execute(chat.ORACLE)
+    names = [d[0] for d in result.description]
+    assert sorted(map(str, got.select(*names).collect())) == sorted(
+        "Row(" + ", ".join(
+            f"{n}={v!r}" for n, v in zip(names, r)) + ")" for r in result.fetchall())
+    assert sum(r["n_windows"] for r in got.collect()) > 40
+
+
+def test_the_conversations_are_read_once(spark):
+    docs = table(spark, conversation(1, 70, [30] * 20))
+    plan = chat.windows(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 6 and "ExistingRDD" not in plan
