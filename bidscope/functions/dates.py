@@ -96,6 +96,21 @@ def _shaped(t: Column) -> Column:
                                           part(COMPACT_TIME, 3))))
 
 
+def _other_shape(raw: Column) -> Column:
+    # A date has a digit or two, is short, and starts with a digit or a
+    # letter of a month's or a weekday's name; other text ends here.
+    return (F.length(raw) <= LONGEST) & raw.rlike(
+        rf"^{PY_WHITESPACE_CLASS}*(?:[0-9]{{1,4}}[-/., A-Za-z]|[0-9]{{8}}[ Tt0-9]|"
+        r"(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|mon|tue|wed|thu|fri|sat|sun)).*[0-9]")
+
+
+def may_be_date(raw: Column) -> Column:
+    """Whether text has a layout that ``text_to_date`` tries: it never parses
+    other text, and which digits stand there does not matter."""
+    guards = [raw.rlike(_padded(shape)) for shape in (ISO_RE, COMPACT_RE, US_RE, NAMED_RE)]
+    return guards[0] | guards[1] | guards[2] | guards[3] | _other_shape(raw)
+
+
 def text_to_date(text: Column, mostly_not_dates: bool = False) -> Column:
     """Lenient, never-raising parse of date text; unparsable gives NULL.
 
@@ -125,11 +140,7 @@ def text_to_date(text: Column, mostly_not_dates: bool = False) -> Column:
         compact = raw.rlike(_padded(COMPACT_RE))
         us = raw.rlike(_padded(US_RE))
         named = raw.rlike(_padded(NAMED_RE))
-    # A date has a digit or two, is short, and starts with a digit or a
-    # letter of a month's or a weekday's name; other text ends here.
-    other = (F.length(raw) <= LONGEST) & raw.rlike(
-        rf"^{PY_WHITESPACE_CLASS}*(?:[0-9]{{1,4}}[-/., A-Za-z]|[0-9]{{8}}[ Tt0-9]|"
-        r"(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|mon|tue|wed|thu|fri|sat|sun)).*[0-9]")
+    other = _other_shape(raw)
     common = (
         F.when(iso, t.try_cast("date"))
         .when(compact, F.try_to_date(t, "yyyyMMdd"))

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.classify import OPPORTUNITY_BUCKETS, SET_ASIDE_BUCKETS
-from ..functions.dates import force_date
+from ..functions.dates import COMPACT_RE, LONGEST, force_date, may_be_date
 from ..functions.text import PY_WHITESPACE_CLASS, any_substring, col_ref, py_strip
+from ..session import materialize
 from .project import disambiguate
 
 EXAMPLES_PER_COLUMN = 10  # fixed value: example values per column
@@ -254,41 +255,93 @@ def profile_document(df: DataFrame, n: int = EXAMPLES_PER_COLUMN,
 ROLES = ("date", "set_aside", "type", "naics")
 
 
+_SA_PATTERNS = [p for _, pats in SET_ASIDE_BUCKETS for p in pats]
+_TY_PATTERNS = [p for _, pats in OPPORTUNITY_BUCKETS for p in pats]
+_NAICS = f"^{PY_WHITESPACE_CLASS}*[0-9]{{6}}{PY_WHITESPACE_CLASS}*$"
+# Patterns that hold a digit are tested before digits are made alike.
+_WITH_DIGIT = sorted({p for p in _SA_PATTERNS + _TY_PATTERNS if any(c.isdigit() for c in p)})
+
+
+def _text_roles(text: Column) -> dict[str, Column]:
+    low = py_strip(F.lower(text))
+    return {"set_aside": any_substring(low, _SA_PATTERNS), "type": any_substring(low, _TY_PATTERNS),
+            "naics": text.rlike(_NAICS)}
+
+
+def _cells(df: DataFrame, positions: list[int]) -> DataFrame:
+    """(position, text) of the non-null values of the columns there."""
+    fields = df.schema.fields
+    cells = F.array(*[F.struct(F.lit(i).alias("position"), F.when(
+        _non_null(col_ref(fields[i].name), fields[i].dataType),
+        col_ref(fields[i].name).cast("string")).alias("text")) for i in positions])
+    return df.select(F.explode(cells).alias("c")).select("c.position", "c.text").where(
+        "text is not null")
+
+
+def cell_shapes(df: DataFrame) -> DataFrame:
+    """(position, shape, n, then one flag per role of ``_text_roles``): the
+    values of every column with all digits made alike, counted, and what they
+    fit.  Values of more than ``LONGEST`` characters, which are no dates, are
+    tested as they stand and counted without a shape, so keys stay short."""
+    text = F.col("text")
+    alike = F.translate(text, "123456789", "0" * 9)
+    if _WITH_DIGIT:
+        alike = F.when(any_substring(F.lower(text), _WITH_DIGIT), text).otherwise(alike)
+    long = F.length("text") > LONGEST
+    flags = F.when(long, F.struct(*[t.alias(r) for r, t in _text_roles(text).items()]))
+    shapes = _cells(df, list(range(len(df.columns)))).select(
+        "position", F.when(~long, alike).alias("shape"), flags.alias("long")).groupBy(
+        "position", "shape", "long").agg(F.count("*").alias("n"))
+    return shapes.select("position", "shape", "n", *[
+        F.coalesce(F.col("long." + r), t, F.lit(False)).alias(r)
+        for r, t in _text_roles(F.col("shape")).items()])
+
+
+def _is_whole(dt: T.DataType) -> bool:
+    return isinstance(dt, T.IntegralType)
+
+
+def _date_hits(df: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(position, n): how many values of each column are dates.  Layouts are
+    told from the shapes; only columns with such shapes are read again, and
+    each distinct value of them is parsed once."""
+    fields = df.schema.fields
+    typed = [i for i, f in enumerate(fields) if isinstance(
+        f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
+    whole = [i for i, f in enumerate(fields) if _is_whole(f.dataType)]
+    maybe = F.when(F.col("position").isin(whole), F.col("shape").rlike(COMPACT_RE)).otherwise(
+        may_be_date(F.col("shape")))
+    found = sorted(r.position for r in shapes.where(
+        ~F.col("position").isin(typed) & F.col("shape").isNotNull() & maybe).select(
+        "position").distinct().collect())  # columns of df
+    hits = shapes.where(F.col("position").isin(typed)).select("position", "n")
+    for kind in ([i for i in found if i not in whole], [i for i in found if i in whole]):
+        if kind:
+            parsed = force_date(F.col("text").cast("bigint") if kind[0] in whole else F.col("text"),
+                                fields[kind[0]].dataType if kind[0] in whole else None)
+            values = _cells(df, kind).groupBy("position", "text").agg(F.count("*").alias("n"))
+            hits = hits.unionByName(values.where(parsed.isNotNull()).select("position", "n"))
+    return hits.groupBy("position").agg(F.sum("n").alias("date_hits"))
+
+
 def candidate_columns(df: DataFrame) -> DataFrame:
     """Per column, how many non-null values look like a date, a
-    set-aside text, an opportunity type or a six-digit NAICS code, in one
-    aggregate pass, plus the role a column fits (at least half its values,
-    earlier role on ties)."""
-    sa_pats = [p for _, pats in SET_ASIDE_BUCKETS for p in pats]
-    ty_pats = [p for _, pats in OPPORTUNITY_BUCKETS for p in pats]
+    set-aside text, an opportunity type or a six-digit NAICS code, plus the
+    role a column fits (at least half its values, earlier role on ties).
+
+    The cells are counted by shape in one pass (``cell_shapes``, written to
+    the shared scratch folder), the tests run once per shape."""
     df = disambiguate(df)
-    fields = df.schema.fields
-    flags, aggs = [], []
-    for i, f in enumerate(fields):
-        c = col_ref(f.name)
-        present = _non_null(c, f.dataType)
-        low = py_strip(F.lower(c.cast("string")))
-        tests = {
-            "date": force_date(c, f.dataType, mostly_not_dates=True).isNotNull(),
-            "set_aside": any_substring(low, sa_pats),
-            "type": any_substring(low, ty_pats),
-            "naics": c.cast("string").rlike(f"^{PY_WHITESPACE_CLASS}*[0-9]{{6}}"
-                                            f"{PY_WHITESPACE_CLASS}*$"),
-        }
-        # Flags first (one projection, shared subexpressions), counts after.
-        flags.append(present.alias(f"p{i}"))
-        aggs.append(F.count_if(F.col(f"p{i}")).alias(f"n{i}"))
-        for r, t in tests.items():
-            flags.append((present & t).alias(f"{r}f{i}"))
-            aggs.append(F.count_if(F.col(f"{r}f{i}")).alias(f"{r}{i}"))
-    df = df.select(*flags)
-    one = df.agg(*aggs)
-    rows = F.array(*[
-        F.struct(F.lit(f.name).alias("name"), F.lit(i).alias("position"),
-                 F.col(f"n{i}").alias("non_null_count"),
-                 *[F.col(f"{r}{i}").alias(f"{r}_hits") for r in ROLES])
-        for i, f in enumerate(fields)])
-    out = one.select(F.explode(rows).alias("r")).select("r.*")
+    names = df.sparkSession.createDataFrame(
+        [(i, f.name) for i, f in enumerate(df.schema.fields)], "position int, name string")
+    shapes = materialize(cell_shapes(df), "cell-shapes")
+    counts = shapes.groupBy("position").agg(
+        F.sum("n").alias("non_null_count"),
+        *[F.sum(F.when(F.col(r), F.col("n")).otherwise(0)).alias(f"{r}_hits") for r in ROLES[1:]])
+    # One row per column on every side.
+    out = names.join(counts, "position", "left").join(_date_hits(df, shapes), "position", "left")
+    out = out.na.fill(0).select("name", "position", "non_null_count",
+                                *[F.col(f"{r}_hits") for r in ROLES])
     best = F.greatest(*[F.col(f"{r}_hits") for r in ROLES])
     role = None
     for r in ROLES:
