@@ -5,16 +5,19 @@ words before an entity, and what stands before it inside its own word, are a
 context.  Contexts and the identifiers they precede form a graph: a context's
 score is the expected share of identifiers among all its occurrences in the
 corpus, an identifier's score the chance that one of its contexts is right
-(a seed's is 1), in turn for ``ROUNDS`` rounds of Spark joins.  Identifiers
-(runs of letters and digits with three digits or more) that follow a context
+(a seed's is 1), in turn for rounds of Spark joins.  Identifiers that an
+accepted context reveals count as known in the next round and bring further
+contexts, so identifiers that no seed's context precedes are found too, in up
+to ``GENERATIONS`` rounds.  Identifiers (runs of letters and digits with three digits or more) that follow a context
 of at least ``ACCEPT`` become spans of kind ``context``; base spans stay.
 
-A context counts if ``MIN_SEEDS`` different seeds stand behind it, however
-large the table.  Up to ``BROADCAST_CONTEXTS`` (counted) contexts are
+A context counts if ``MIN_SEEDS`` different known items stand behind it,
+however large the table.  Up to ``BROADCAST_CONTEXTS`` (counted) contexts are
 broadcast to the scan that counts their occurrences and to the one that finds
 spans; above that both join on the context's hash, with equal results.
 
-Defined results: null text counts as empty; rows are treated one by one, so
+Defined results: null text counts as empty; very long texts are read whole,
+their contexts from the real starts of the words before; rows are treated one by one, so
 repeated rows give repeated results; an empty table gives no rows; other
 columns are not read, and pass through ``redact`` unchanged.
 """
@@ -24,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +61,8 @@ BROADCAST_CONTEXTS = 1_000_000
 COUNTED = 1 << 20
 ACCEPT = 0.5
 ROUNDS = 3
+# Rounds in all, while new contexts are found.
+GENERATIONS = 24
 # Counts added to a context's occurrences, against rare ones.
 DOUBT = 1.0
 
@@ -123,6 +129,7 @@ def identifiers(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     out = []
     busy = sorted((s, e) for _, s, e in taken)
     starts = [s for s, _ in busy]
+    ends = [0, *accumulate((e for _, e in busy), max)]
     for m in IDENTIFIER.finditer(text):
         first, last = m.span()
         while last > first and text[last - 1] in "-_":
@@ -131,8 +138,8 @@ def identifiers(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
             first += 1
         if last - first < MIN_LENGTH or len(_digits(text[first:last])) < MIN_DIGITS:
             continue
-        k = bisect_left(starts, last)
-        if not any(e > first for _, e in busy[max(0, k - 8):k]):
+        # The furthest end of all spans that start before this one's end.
+        if ends[bisect_left(starts, last)] <= first:
             out.append((first, last))
     return out
 
@@ -160,8 +167,15 @@ def _context_hash(second: int, first: int, lead: int) -> int:
 def context_of(text: str, start: int) -> int | None:
     """The context of what starts at ``start``; None if other characters
     than a lead stand before it in its word."""
-    words = _BREAK.split(text[max(0, start - 4096):start])
-    before = [w for w in words[:-1] if w][-2:]
+    reach = 256
+    while True:
+        begin = max(0, start - reach)
+        words = _BREAK.split(text[begin:start])
+        # The first piece may be the rest of a word.
+        before = [w for w in words[begin > 0:-1] if w][-2:]
+        if begin == 0 or len(before) == 2:
+            break
+        reach *= 4
     lead = words[-1]
     if lead and _lead(lead) != lead:
         return None
@@ -273,30 +287,47 @@ def count_contexts(docs: DataFrame, contexts: np.ndarray | DataFrame,
 
 def learn_contexts(docs: DataFrame, min_seeds: int = MIN_SEEDS, accept: float = ACCEPT,
                    rounds: int = ROUNDS, limit: int = BROADCAST_CONTEXTS) -> DataFrame:
-    """The accepted contexts, as a stored table with a column ``context``."""
+    """The accepted contexts, as a stored table with a column ``context``.
+
+    Each round takes as candidates the contexts before ``min_seeds`` different
+    items that are known so far (seeds, and identifiers of a score of
+    ``accept`` or more), counts the occurrences of the new ones, and scores
+    contexts and items once.  It ends with the ``rounds``-th round in a row
+    without new candidates, or after ``GENERATIONS`` rounds."""
     edges = materialize(find_entities(docs).groupBy("context", "item").agg(
         F.count("*").alias("c"), F.max("seed").alias("seed")), "pii-edges")
-    seeds = edges.where("seed")
-    backed = materialize(seeds.groupBy("context").agg(F.count("*").alias("items")).where(
-        F.col("items") >= min_seeds).select("context"), "pii-candidates")
-    if backed.isEmpty():
-        return backed
-    occurrences = materialize(count_contexts(docs, backed, limit), "pii-contexts")
-    graph = materialize(edges.join(broadcast_if_bounded(occurrences, limit), "context"),
-                        "pii-graph")
     # An identifier that is a seed anywhere is one everywhere.
-    items = materialize(graph.groupBy("item").agg(
+    items = materialize(edges.groupBy("item").agg(
         F.max(F.col("seed").cast("double")).alias("score")), "pii-items")
-    scored = None
-    for _ in range(rounds):
-        scored = graph.join(items, "item").groupBy("context").agg(
-            (F.sum(F.col("c") * F.col("score")) / (F.max("n") + DOUBT)).alias("s"))
-        scored = materialize(scored.select("context", F.least("s", F.lit(0.999999)).alias("s")),
-                             "pii-scores")
-        items = materialize(graph.join(scored, "context").groupBy("item").agg(
-            F.max(F.col("seed").cast("double")).alias("sure"),
-            F.sum(F.log1p(-F.col("s"))).alias("miss")).select("item", F.greatest(
-                "sure", 1 - F.exp("miss")).alias("score")), "pii-items")
+    occurrences = scored = None
+    quiet = 0
+    for _ in range(GENERATIONS):
+        known = items.where(F.col("score") >= accept).select("item")
+        backed = edges.join(known, "item").groupBy("context").agg(
+            F.count("*").alias("items")).where(F.col("items") >= min_seeds).select("context")
+        if occurrences is not None:
+            backed = backed.join(occurrences, "context", "left_anti")
+        backed = materialize(backed, "pii-candidates")
+        if backed.isEmpty():
+            if occurrences is None:
+                return backed
+            quiet += 1
+            if quiet >= rounds:
+                break
+        else:
+            quiet = 0
+            counted = count_contexts(docs, backed, limit)
+            occurrences = materialize(counted if occurrences is None else
+                                      occurrences.unionByName(counted), "pii-contexts")
+        graph = edges.join(broadcast_if_bounded(occurrences, limit), "context")
+        scored = materialize(graph.join(items, "item").groupBy("context").agg(
+            (F.sum(F.col("c") * F.col("score")) / (F.max("n") + DOUBT)).alias("s")).select(
+            "context", F.least("s", F.lit(0.999999)).alias("s")), "pii-scores")
+        found = graph.join(scored, "context").groupBy("item").agg(
+            F.sum(F.log1p(-F.col("s"))).alias("miss"))
+        sure = edges.groupBy("item").agg(F.max(F.col("seed").cast("double")).alias("sure"))
+        items = materialize(sure.join(found, "item", "left").select("item", F.greatest(
+            "sure", F.coalesce(1 - F.exp("miss"), F.lit(0.0))).alias("score")), "pii-items")
     return materialize(scored.where(F.col("s") >= accept).select("context"), "pii-accepted")
 
 

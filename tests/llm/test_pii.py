@@ -132,3 +132,74 @@ def test_whole_table(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     check(rows, docs, pii.find_spans(docs, pii.learn_contexts(docs)).collect())
+
+
+def plain_contexts(texts, min_seeds, accept, rounds, generations):
+    """The bootstrapping without Spark, one occurrence after another."""
+    edges, seeds, words = Counter(), set(), Counter()
+    for text in texts:
+        base = pii.base_spans(text)
+        found = [(s, e, True) for _, s, e in base] + [
+            (s, e, False) for s, e in pii.identifiers(text, base)]
+        for s, e, seed in found:
+            context = pii.context_of(text, s)
+            if context is not None:
+                edges[context, text[s:e].lower()] += 1
+                seeds |= {text[s:e].lower()} if seed else set()
+        for m in re.finditer(r"[^ \t\n\x0b\x0c\r]+", text):
+            lead = len(pii._lead(m.group()))
+            words[pii.context_of(text, m.start() + lead)] += 1
+    score = {item: float(item in seeds) for _, item in edges}
+    counted, s, quiet = set(), {}, 0
+    for _ in range(generations):
+        known = {i for i, x in score.items() if x >= accept}
+        new = {c for c, n in Counter(c for c, i in edges if i in known).items() if n >= min_seeds}
+        quiet = 0 if new - counted else quiet + 1
+        if not counted | new or quiet >= rounds:
+            break
+        counted |= new
+        s = {c: min(sum(n * score[i] for (d, i), n in edges.items() if d == c)
+                    / (words[c] + pii.DOUBT), 0.999999) for c in counted}
+        for item in score:
+            miss = 1.0
+            for (c, i) in edges:
+                if i == item and c in s:
+                    miss *= 1 - s[c]
+            score[item] = max(float(item in seeds), 1 - miss)
+    return {c for c, x in s.items() if x >= accept}
+
+
+def generations_of_contexts():
+    """Mail addresses, identifiers behind the same words, and identifiers
+    that only stand behind words before those."""
+    texts = []
+    for i in range(40):
+        texts.append(f"please mail to u{i}@x.example.org now or the of {i}55123 it")
+        texts.append(f"please mail to ID{i:05d}A now")
+        texts.append(f"the ref code ID{i:05d}A is here")
+        texts.append(f"a ref code ZZ{i:05d}Q is here")
+        texts.append(f"your tax number: ZZ{i:05d}Q or tax number: YY{i:05d}K too")
+        texts.append(f"room of size {i}4455 and the of {i}99 of the of the of")
+    return texts
+
+
+def test_later_generations_are_found_as_in_plain_python(spark):
+    texts = generations_of_contexts()
+    docs = documents(spark, list(enumerate(texts)))
+    learned = pii.learn_contexts(docs)
+    accepted = {r.context for r in learned.collect()}
+    assert accepted == plain_contexts(texts, pii.MIN_SEEDS, pii.ACCEPT, pii.ROUNDS, pii.GENERATIONS)
+    shown = {r.doc_id: r.spans for r in pii.find_spans(docs, learned).collect()}
+    for i in (1, 2, 3):  # first, second and later generations
+        assert "context" in shown[i], texts[i]
+    assert shown[4].count("context") == 2
+    assert all("context" not in shown[6 * i + 5] for i in range(40))
+
+
+def test_contexts_from_real_word_starts_and_nested_spans():
+    far = " " * 5000
+    for text in ("mail to x12345", f"mail{far}to{far}x12345", "w" * 9000 + " mail to x12345"):
+        assert pii.context_of(text, text.index("x12345")) == pii.context_of("mail to x12345", 8)
+    # One long span, many short ones inside, then the identifier inside the long one.
+    taken = [(0, 0, 100)] + [(0, k, k + 1) for k in range(1, 30)]
+    assert pii.identifiers("x" * 40 + " ab12345 " + "y" * 60 + " cd12345", taken) == [(110, 117)]
