@@ -6,7 +6,8 @@ measure lies in ``[low, high]`` (None: open end).  ``measures`` computes the
 raw counts in one scan, ``verdict`` compiles the table over them.  No Python
 runs on the executors.
 
-Defined results: null text counts as empty (all measures 0, rejected);
+Defined results: null text counts as empty (all measures 0, rejected); very
+long texts are measured whole and exactly;
 repeated rows are judged row by row; an empty table gives no rows; other
 columns of the input are never read.
 """
@@ -64,6 +65,20 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def _window_hash(*words: Column) -> Column:
+    return F.xxhash64(*words)
+
+
+def _equal_windows(n: Column) -> Column:
+    """The places of all three-word windows of ``w`` that stand there twice or
+    more, found by sorting the words themselves."""
+    ordered = F.sort_array(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(
+        F.slice("w", i, F.lit(3)).alias("words"), i.alias("i"))))
+    return F.flatten(F.filter(F.zip_with(
+        ordered, F.slice(ordered, F.lit(2), n - 3),
+        lambda a, b: F.when(a.words == b.words, F.array(a.i, b.i))), lambda x: x.isNotNull()))
+
+
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              carry: Column | None = None) -> DataFrame:
     """``doc_id`` and the raw counts of every text, with ``carry`` (one
@@ -71,7 +86,8 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Repeated three-word windows: each window's 64-bit hash keeps its upper
     bits and takes the window's position in the lower ones, so one primitive
-    sort puts equal windows side by side with their positions.
+    sort puts equal windows side by side with their positions.  Windows that
+    meet there are compared word by word.
     """
     kept = [] if carry is None else [carry.alias("carry")]
     df = docs.select(F.col(id_col).alias("doc_id"), *kept, text_of(text_col).alias("txt"))
@@ -81,15 +97,21 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     df = _once(df, "bits", F.length(F.bin(n.cast("long"))))
     df = _once(df, "packed", F.when(n >= 4, F.sort_array(F.transform(
         F.sequence(F.lit(1), n - 2),
-        lambda i: _shift("shiftleft", F.xxhash64(
+        lambda i: _shift("shiftleft", _window_hash(
             F.element_at("w", i), F.element_at("w", i + 1), F.element_at("w", i + 2)), bits)
         .bitwiseOR(i.cast("long"))))).otherwise(none))
     m, mask = F.size("packed"), _shift("shiftleft", F.lit(1).cast("long"), bits) - 1
-    df = _once(df, "found", F.when(m >= 2, F.flatten(F.filter(F.zip_with(
+    no_pairs = F.array().cast("array<struct<i:int,j:int>>")
+    df = _once(df, "pairs", F.when(m >= 2, F.filter(F.zip_with(
         "packed", F.slice("packed", F.lit(2), m - 1),
-        lambda a, b: F.when(_shift("shiftright", a.bitwiseXOR(b), bits) == 0,
-                            F.array(a.bitwiseAND(mask), b.bitwiseAND(mask)))),
-        lambda x: x.isNotNull()))).otherwise(none))
+        lambda a, b: F.when(_shift("shiftright", a.bitwiseXOR(b), bits) == 0, F.struct(
+            a.bitwiseAND(mask).cast("int").alias("i"), b.bitwiseAND(mask).cast("int").alias("j")))),
+        lambda x: x.isNotNull())).otherwise(no_pairs))
+    # Windows of equal hashes whose words differ: this text is counted by its
+    # words instead.
+    differ = F.exists("pairs", lambda p: F.slice("w", p.i, F.lit(3)) != F.slice("w", p.j, F.lit(3)))
+    df = _once(df, "found", F.when(differ, _equal_windows(n)).otherwise(F.flatten(
+        F.transform("pairs", lambda p: F.array(p.i, p.j)))))
     repeated = F.size(F.array_distinct(F.flatten(F.transform(
         "found", lambda i: F.array(i, i + 1, i + 2)))))
     df = _once(df, "lines", F.filter(

@@ -74,3 +74,13 @@ def test_query_matches_sql(spark, name):
     names = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(names)
     assert canon(df.columns, [tuple(r) for r in df.collect()]) == canon(names, res.fetchall())
+
+
+def test_windows_with_equal_hashes_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    # Three hashes for all windows: most neighbours in the order differ.
+    monkeypatch.setattr(quality, "_window_hash", lambda *w: F.xxhash64(*w) % 3)
+    rows = [r for r in ROWS if r[0] != 6]
+    got = quality.score_documents(documents(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.n_repeat_words) for r in got) == sorted(
+        (str(i), brute(t)[4]) for i, t, *_ in rows)
