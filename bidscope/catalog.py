@@ -21,7 +21,7 @@ from . import oracle as O
 from .fixtures import ORDER_COLUMNS, notices, notices_from_orders, read_table
 from .functions.classify import (OPPORTUNITY_BUCKETS, SET_ASIDE_BUCKETS, SET_ASIDE_NULL_TEXT,
                                  normalize_opportunity_type, normalize_set_aside)
-from .functions.dates import force_date
+from .functions.dates import day_first_columns, force_date
 from .functions.text import col_ref
 from .operators.filters import apply_filters
 from .operators.order import canonical_sort_keys, preview, top_n, with_positions
@@ -120,6 +120,20 @@ def d1_layouts(spark, sf_dir):
                          .alias("day"))
 
 
+ORDERED_LAYOUTS = {"day_slash": "dd/MM/yyyy", "day_dot": "d.M.yy HH:mm", "month_slash": "M/d/yyyy"}
+
+
+def d1_column_order(spark, sf_dir):
+    """D1 over columns that write the day first, and one that does not: each
+    column's own numbers decide its ambiguous cells."""
+    day = F.col("o_orderdate").cast("date").cast("timestamp_ntz")
+    sheet = read_table(spark, sf_dir, "orders").select("o_orderkey", *[
+        F.date_format(day, x).alias(name) for name, x in ORDERED_LAYOUTS.items()])
+    first = day_first_columns(sheet, list(ORDERED_LAYOUTS))
+    return sheet.select("o_orderkey", *[force_date(F.col(c), day_first=c in first).cast(
+        "string").alias(c) for c in ORDERED_LAYOUTS])
+
+
 def f2_equals_number(spark, sf_dir):
     """F1, F2 with literals that are no value of the column's type."""
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -568,6 +582,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "e5_sample": e5_sample,
     "d1_force_date": d1_force_date,
     "d1_layouts": d1_layouts,
+    "d1_column_order": d1_column_order,
     "f2_equals_number": f2_equals_number,
     "n1_set_aside": n1_set_aside,
     "n1_set_aside_longest": n1_set_aside_longest,
@@ -777,6 +792,9 @@ def oracle_sql() -> dict[str, str]:
         "e4_candidates": _sql_candidates(),
         "e4_best_candidates": _sql_best_candidates(),
         "d1_layouts": "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders",
+        "d1_column_order": "SELECT o_orderkey, " + ", ".join(
+            f"CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS {c}" for c in ORDERED_LAYOUTS)
+            + " FROM orders",
         "f2_equals_number": (
             "SELECT CASE o_custkey WHEN 7 THEN 0 WHEN 5 THEN 5 ELSE 2 END AS test, o_orderkey "
             "FROM orders WHERE o_custkey IN (5, 7, 8, 11)"),
