@@ -174,7 +174,10 @@ def text_to_date(text: Column, mostly_not_dates: bool = False, day_first: bool =
         .when(named, F.coalesce(F.try_to_date(t, "MMM d, yyyy"),
                                 F.try_to_date(t, "MMMM d, yyyy")))
     )
-    return F.coalesce(common, F.when(other, _shaped(t, day_first)))
+    # The rarer layouts stay out of the generated code, as a function of an
+    # array's element: with them every date would be past the method limit.
+    rare = F.get(F.transform(F.array(t), lambda x: _shaped(x, day_first)), F.lit(0))
+    return F.coalesce(common, F.when(other, rare))
 
 
 NUMBERS = rf"^{PY_WHITESPACE_CLASS}*{_DAY_NAME}([0-9]{{1,2}})[-/. ]([0-9]{{1,2}})[-/. ]'?[0-9]{{2}}"
