@@ -9,6 +9,7 @@ repeatable.  Date columns are rendered as ``yyyy-MM-dd`` text on both sides.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from functools import reduce
 
@@ -23,6 +24,7 @@ from .functions.classify import (OPPORTUNITY_BUCKETS, SET_ASIDE_BUCKETS, SET_ASI
                                  normalize_opportunity_type, normalize_set_aside)
 from .functions.dates import day_first_columns, force_date
 from .functions.text import col_ref
+from .operators.audit import append_events, audit_view, clear_audit
 from .operators.filters import apply_filters
 from .operators.order import canonical_sort_keys, preview, top_n, with_positions
 from .operators.profile import (best_candidates, candidate_columns, count_rows,
@@ -31,10 +33,11 @@ from .operators.profile import (best_candidates, candidate_columns, count_rows,
 from .operators.pattern_index import classify_by_rules
 from .operators.project import CANONICAL_ORDER, drop_no_set_aside
 from .operators.summary import grouped_summary
-from .plans.plan_table import run_plan_table
+from .plans.plan_table import plan_problems, run_plan_table
 from .plans.run import run_plan, run_saved_plans, stage
 from .plans.plan import Plan
 from .session import scratch_path
+from .sinks.exports import write_sheets
 from .sources.readers import PANDAS_NA_TOKENS, load_dataset
 
 TODAY = "1998-02-04"
@@ -500,7 +503,6 @@ def g1_audit_run(spark, sf_dir):
     """G1 + G2 with K1/K5: the flagship plan exported by ``run_and_export``,
     which appends one audit event; the formatted audit view read back (the
     clock time itself is checked by its text shape only)."""
-    from .operators.audit import audit_view
     from .plans.jobs import run_and_export
     audit, out = scratch_path(spark, "audit"), scratch_path(spark, "export")
     run_and_export(notices(spark, sf_dir), FLAGSHIP_PLAN, out, audit_path=audit, today=TODAY,
@@ -511,6 +513,103 @@ def g1_audit_run(spark, sf_dir):
                        .alias("timestamp_ok"))
 
 
+FUNNEL_PLAN = {"filters": [
+    {"column": "Opportunity Type", "operator": "in", "value": ["Solicitation", "Other"]},
+    {"column": "Due Date", "operator": "between", "value": ["1995-01-01", "1996-12-31"]},
+    {"column": "Title", "operator": "contains", "value": "machinery"}]}
+
+
+def g1_funnel(spark, sf_dir):
+    """G1, K5: the row counts along a plan, all from the job that exports its
+    rows, read from the audit event."""
+    from .operators.audit import read_audit
+    from .plans.jobs import run_and_export
+    audit, out = scratch_path(spark, "audit"), scratch_path(spark, "export")
+    run_and_export(notices(spark, sf_dir), FUNNEL_PLAN, out, audit_path=audit, today=TODAY,
+                   tie_break=TIE, funnel=True)
+    event = read_audit(spark, audit).select(F.explode("extra").alias("step", "n"))
+    return event.where(F.col("step").rlike("^(rows|rows_read|default_.*|null_.*|after_.*)$"))
+
+
+RETAIN_FROM = "2024-01-15 12:00:00"
+
+
+def g3_retention(spark, sf_dir):
+    """The whole ``events`` table as an audit log, cleared up to a
+    moment inside a day; what is left."""
+    path = scratch_path(spark, "audit-log")
+    second = F.date_trunc("second", F.col("ts").cast("timestamp"))
+    append_events(read_table(spark, sf_dir, "events").select(
+        second.alias("timestamp"), F.lit("user").alias("role"), F.col("event_type").alias("action"),
+        F.lit("ok").alias("status"), F.col("event_id").cast("string").alias("message"),
+        F.create_map(F.lit("value"), F.col("value").cast("string")).alias("extra")), path)
+    clear_audit(spark, path, dt.datetime.fromisoformat(RETAIN_FROM))
+    return audit_view(spark, path).select("timestamp", "action", "message")
+
+
+def n6_missing_columns(spark, sf_dir):
+    """A sheet without the two source columns."""
+    bare = notices(spark, sf_dir).drop("TypeOfSetAsideDescription", "Type")
+    out = normalize_opportunity_type(normalize_set_aside(bare))
+    return out.select("SolicitationNumber", "Normalized_Set_Aside", "Normalized_Opportunity_Type")
+
+
+def o2_without_dates(spark, sf_dir):
+    """O2: positions of a table that has no date column."""
+    table = final(spark, sf_dir, sort=False).drop("Solicitation Date", "Due Date")
+    return with_positions(table, canonical_sort_keys(table, TIE)).select(
+        "Solicitation Number", "output_pos")
+
+
+def f14_text_dates(spark, sf_dir):
+    """date filters on canonical date columns that still hold text in
+    mixed layouts."""
+    text = notices(spark, sf_dir).select(
+        F.col("SolicitationNumber").alias("Solicitation Number"),
+        F.col("PostedDate").alias("Solicitation Date"), F.col("ResponseDeadLine").alias("Due Date"))
+    kept = apply_filters(text, [
+        {"column": "Solicitation Date", "operator": "between", "value": ["02/01/1998", "19980228"]},
+        {"column": "Due Date", "operator": "next_days", "value": 30}], TODAY)
+    return dates_as_text(kept)
+
+
+def l2_plan_problems(spark, sf_dir):
+    """L1, L2 on a table of plans: which plans cannot be run, and why."""
+    odd = F.expr("""CASE c_custkey % 5 WHEN 0 THEN '[1, 2]'
+      WHEN 1 THEN '{"filters": [{"column": "Title", "operator": "this_week"}]}'
+      WHEN 2 THEN '{"filters": [{"column": "Due Date", "operator": "next_days", "value": "soon"}]}'
+      WHEN 3 THEN '{"filters": [{"column": "Agency", "operator": "equals", "value": ["a", "b"]}]}'
+      ELSE '{no json' END""")
+    plans = read_table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("plan_id"), odd.alias("plan"))
+    return plan_problems(plans, TODAY)
+
+
+def k6_sheets(spark, sf_dir):
+    """K6: the filtered rows and their summary written side by side, each
+    read back."""
+    rows = final(spark, sf_dir, [{"column": "Normalized Set Aside", "operator": "in",
+                                  "value": ["SDVOSB"]}], sort=False)
+    path = scratch_path(spark, "sheets")
+    write_sheets({"Filtered": dates_as_text(rows), "Summary": rows.groupBy("Opportunity Type").agg(
+        F.count("*").alias("n"))}, path)
+    read = [load_dataset(spark, f"{path}/{name}", infer=False) for name in ("Filtered", "Summary")]
+    return read[0].select(F.col("Opportunity Type").alias("kind"), F.col(
+        "Solicitation Number").alias("value")).unionByName(read[1].select(
+            F.col("Opportunity Type").alias("kind"), F.col("n").alias("value")))
+
+
+def e3_profile_columns(spark, sf_dir):
+    """The profile document, read back column by column."""
+    doc = profile_document(notices(spark, sf_dir), 10, order_by="SolicitationNumber")
+    shape = ("row_count bigint, column_count int, columns array<struct<name:string,dtype:string,"
+             "non_null_count:bigint,example_values:array<string>>>")
+    read = doc.select(F.from_json("profile", shape).alias("p")).select(
+        "p.row_count", F.posexplode("p.columns").alias("position", "c"))
+    return read.select("row_count", "position", "c.name", "c.non_null_count",
+                       F.array_join("c.example_values", "|").alias("examples"))
+
+
 def k1_csv_round_trip(spark, sf_dir):
     """K1 then S1/S5: the notices written as CSV and read back.  NA
     spellings come back as NULL, as a CSV reader with pandas defaults does."""
@@ -607,6 +706,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "i3_ingested_custom_set_aside": i3_ingested_custom_set_aside,
     "s4_folder_dispatch": s4_folder_dispatch,
     "g1_audit_run": g1_audit_run,
+    "g1_funnel": g1_funnel,
+    "g3_retention": g3_retention,
+    "n6_missing_columns": n6_missing_columns,
+    "o2_without_dates": o2_without_dates,
+    "f14_text_dates": f14_text_dates,
+    "l2_plan_problems": l2_plan_problems,
+    "k6_sheets": k6_sheets,
+    "e3_profile_columns": e3_profile_columns,
     "k1_csv_round_trip": k1_csv_round_trip,
     "s1_csv_records": s1_csv_records,
     "s1_csv_inferred": s1_csv_inferred,
@@ -728,6 +835,30 @@ def _sql_csv_round_trip() -> str:
     return O.with_notices(f"SELECT {cols} FROM notices")
 
 
+def _sql_funnel() -> str:
+    sa, kind = '"Normalized Set Aside"', '"Opportunity Type"'
+    kept = f"{sa} IS NOT NULL AND {sa} <> 'NO SET-ASIDE'"
+    one = f"{kept} AND {kind} IN ('Solicitation', 'Other')"
+    two = one + " AND \"Due Date\" BETWEEN DATE '1995-01-01' AND DATE '1996-12-31'"
+    three = two + " AND contains(lower(\"Title\"), 'machinery')"
+    steps = {"rows_read": "TRUE", "default_set_aside": f"{sa} = 'NO SET-ASIDE'",
+             "null_set_aside": f"{sa} IS NULL", "default_type": f"{kind} = 'Other'",
+             "after_drop": kept, "after_filter_1": one, "after_filter_2": two,
+             "after_filter_3": three, "rows": three}
+    return O.final_cte(drop=False) + " UNION ALL ".join(
+        f"SELECT '{name}' AS step, count(*)::VARCHAR AS n FROM final WHERE {test}"
+        for name, test in steps.items())
+
+
+def _sql_profile_columns() -> str:
+    parts = [
+        f"SELECT (SELECT count(*) FROM notices) AS row_count, {i} AS position, '{c}' AS name, "
+        f"(SELECT count({c}) FROM notices) AS non_null_count, (SELECT string_agg(v, '|' ORDER BY k) "
+        f"FROM (SELECT {c} AS v, min(SolicitationNumber) AS k FROM notices WHERE {c} IS NOT NULL "
+        f"GROUP BY {c} ORDER BY k LIMIT 10)) AS examples" for i, c in enumerate(NOTICE_COLS)]
+    return O.with_notices(" UNION ALL ".join(parts))
+
+
 def _sql_stored_plans() -> str:
     sa = '"Normalized Set Aside"'
     tests = {
@@ -852,6 +983,33 @@ def oracle_sql() -> dict[str, str]:
         "s4_folder_dispatch": O.with_notices("SELECT " + ", ".join(
             f"CASE WHEN {c} NOT IN ({', '.join(O.q(t) for t in _NA)}) THEN CAST({c} AS VARCHAR) "
             f"END AS {c}" for c in NOTICE_COLS) + " FROM notices"),
+        "g1_funnel": _sql_funnel(),
+        "g3_retention": (
+            "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, event_type AS action, "
+            "event_id::VARCHAR AS message FROM events WHERE date_trunc('second', ts) >= "
+            f"TIMESTAMP '{RETAIN_FROM}'"),
+        "n6_missing_columns": O.with_notices(
+            "SELECT SolicitationNumber, NULL::VARCHAR AS \"Normalized_Set_Aside\", 'Other' AS "
+            "\"Normalized_Opportunity_Type\" FROM notices"),
+        "o2_without_dates": O.final_cte() + (
+            "SELECT \"Solicitation Number\", row_number() OVER (ORDER BY CASE \"Opportunity Type\" "
+            "WHEN 'Solicitation' THEN 1 WHEN 'Presolicitation' THEN 2 WHEN 'Sources Sought' THEN 3 "
+            "WHEN 'Other' THEN 4 END NULLS LAST, \"Solicitation Number\") AS output_pos FROM final"),
+        "f14_text_dates": O.final_cte(drop=False) + (
+            "SELECT \"Solicitation Number\", \"Solicitation Date\"::VARCHAR AS \"Solicitation Date\", "
+            "\"Due Date\"::VARCHAR AS \"Due Date\" FROM final WHERE \"Solicitation Date\" BETWEEN "
+            f"DATE '1998-02-01' AND DATE '1998-02-28' AND \"Due Date\" BETWEEN {SQL_TODAY} AND "
+            f"{SQL_TODAY} + 30"),
+        "l2_plan_problems": (
+            "SELECT c_custkey::VARCHAR AS plan_id, CASE c_custkey % 5 WHEN 0 THEN 'plan is no JSON "
+            "object' WHEN 1 THEN 'needs a date column' WHEN 2 THEN 'needs a number of days' ELSE "
+            "'needs a single value' END AS problem FROM customer WHERE c_custkey % 5 < 4"),
+        "k6_sheets": O.final_cte() + (
+            ", kept AS (SELECT * FROM final WHERE \"Normalized Set Aside\" = 'SDVOSB') SELECT "
+            "\"Opportunity Type\" AS kind, \"Solicitation Number\" AS value FROM kept UNION ALL SELECT "
+            "\"Opportunity Type\", count(*)::VARCHAR FROM kept GROUP BY ALL").replace(
+                ", kept", "SELECT * FROM (WITH kept", 1) + ")",
+        "e3_profile_columns": _sql_profile_columns(),
         "k1_csv_round_trip": _sql_csv_round_trip(),
         "s1_csv_records": O.with_notices(
             "SELECT SolicitationNumber AS number, replace(Title, ' ', chr(10) || chr(10)) AS "

@@ -14,7 +14,7 @@ from ..operators.audit import log_event
 from ..operators.summary import grouped_summary
 from ..sinks.exports import write_sheets
 from ..operators.sizing import materialize
-from .run import _as_plan, finish_rows, plan_rows
+from .run import Funnel, _as_plan, finish_rows, plan_rows
 
 FILTERED_SHEET = "Filtered"
 SUMMARY_SHEET = "Summary"
@@ -22,14 +22,17 @@ SUMMARY_SHEET = "Summary"
 
 def run_and_export(df: DataFrame, plan, out_path: str, fmt: str = "csv",
                    audit_path: str | None = None, today=None, tz: str = DEFAULT_TZ,
-                   role: str = "unknown", **kw) -> dict:
+                   role: str = "unknown", funnel: bool = False, **kw) -> dict:
     """Write the plan's rows as ``Filtered`` (and ``Summary`` when the plan
     has ``summary_by``) under ``out_path``; return rows, status and notes.
-    A plan's ``sheets`` member renames them, e.g. ``{"Summary": "By NAICS"}``."""
+    A plan's ``sheets`` member renames them, e.g. ``{"Summary": "By NAICS"}``.
+    With ``funnel`` the result and the audit event also hold the row counts
+    along the plan (``Funnel``), counted by the export itself."""
     plan = _as_plan(plan)
     day = resolve_today(today, tz)
     notes: list[str] = []
-    pr = plan_rows(df, plan, today=day, tz=tz, notes=notes, **kw)
+    points = Funnel() if funnel else None
+    pr = plan_rows(df, plan, today=day, tz=tz, notes=notes, funnel=points, **kw)
     names = {FILTERED_SHEET: FILTERED_SHEET, SUMMARY_SHEET: SUMMARY_SHEET}
     names.update({k: str(v) for k, v in (plan.sheets or {}).items() if k in names and v})
     keys = [k for k in (plan.summary_by or []) if k in pr.rows.columns]
@@ -46,8 +49,9 @@ def run_and_export(df: DataFrame, plan, out_path: str, fmt: str = "csv",
     counts = write_sheets(frames, out_path, fmt=fmt)
     rows = counts[names[FILTERED_SHEET]]
     status = "ok" if rows else "empty"
+    along = points.counts() if points else {}
     if audit_path:
         log_event(df.sparkSession, audit_path, "run_plan", status, f"{rows} rows",
                   {"rows": rows, "output": out_path, "format": fmt, "plan": plan.to_json(),
-                   "notes": "; ".join(notes)}, role=role)
-    return {"rows": rows, "status": status, "notes": notes, "sheets": counts}
+                   "notes": "; ".join(notes), **along}, role=role)
+    return {"rows": rows, "status": status, "notes": notes, "sheets": counts, "funnel": along}

@@ -10,11 +10,11 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.classify import (DEFAULT_SET_ASIDE_COLUMN, DEFAULT_TYPE_COLUMN, NO_SET_ASIDE,
-                                  SET_ASIDE_OUT, TYPE_OUT, normalize_opportunity_type,
+                                  OTHER_TYPE, SET_ASIDE_OUT, TYPE_OUT, normalize_opportunity_type,
                                   normalize_set_aside, set_aside_expr, type_expr)
 from ..functions.dates import DEFAULT_TZ, resolve_today
 from ..functions.text import col_ref
@@ -47,9 +47,32 @@ def normalize(df: DataFrame, plan: Plan, match: str = "first",
                                       match=match, notes=notes)
 
 
+class Funnel:
+    """Row counts at the points of a plan, taken while its one action runs:
+    ``observe`` nodes inside the lazy plan, no job of their own.
+
+    Filters are not pushed below an observed point, so every row that is
+    counted is read.  A stage that Spark has to run again after a lost
+    executor may be counted twice, as with any observed metric."""
+
+    def __init__(self):
+        self.points: list[tuple[str, Observation]] = []
+
+    def tap(self, df: DataFrame, **counts: Column) -> DataFrame:
+        """``df``, counting its rows under each name where its column holds."""
+        seen = Observation()
+        self.points += [(name, seen) for name in counts]
+        return df.observe(seen, *[F.count_if(F.coalesce(c, F.lit(False))).alias(name)
+                                  for name, c in counts.items()])
+
+    def counts(self) -> dict[str, int]:
+        """The counts, in plan order; after the action only."""
+        return {name: int(seen.get[name]) for name, seen in self.points}
+
+
 def stage(df: DataFrame, plan: Plan, match: str = "first", parity: bool = False,
           carry: Sequence[str] = (), notes: list[str] | None = None,
-          reuse_buckets: bool = False) -> DataFrame:
+          reuse_buckets: bool = False, funnel: Funnel | None = None) -> DataFrame:
     """Normalised, F0-dropped, canonical (unfiltered, unsorted) table.
 
     Q12: a plan asking for ``NO SET-ASIDE`` rows turns the drop off unless
@@ -61,6 +84,11 @@ def stage(df: DataFrame, plan: Plan, match: str = "first", parity: bool = False,
         notes.append("plan asks for NO SET-ASIDE: no-set-aside drop turned off")
     stored = SET_ASIDE_OUT in df.columns and TYPE_OUT in df.columns
     normalized = df if (reuse_buckets and stored) else normalize(df, plan, match, notes)
+    if funnel is not None:
+        bucket, kind = col_ref(SET_ASIDE_OUT), col_ref(TYPE_OUT)
+        normalized = funnel.tap(
+            normalized, rows_read=F.lit(True), default_set_aside=bucket == NO_SET_ASIDE,
+            null_set_aside=bucket.isNull(), default_type=kind == OTHER_TYPE)
     return project_canonical(normalized, plan.columns, drop_no_set_aside_rows=drop,
                              include_naics=plan.mentions(NAICS), carry=carry, notes=notes)
 
@@ -80,8 +108,11 @@ class PlanRows:
 def plan_rows(df: DataFrame, plan, today=None, tz: str = DEFAULT_TZ, strict: bool = False,
               match: str = "first", parity: bool = False,
               tie_break: Sequence[str] | None = None, regex_contains: bool = False,
-              notes: list[str] | None = None, reuse_buckets: bool = False) -> PlanRows:
-    """Classify, drop, project and filter (no sort, hidden columns kept)."""
+              notes: list[str] | None = None, reuse_buckets: bool = False,
+              funnel: Funnel | None = None) -> PlanRows:
+    """Classify, drop, project and filter (no sort, hidden columns kept).
+    With a ``funnel``, rows are counted as read, by default bucket, after the
+    drop and after each filter."""
     plan = _as_plan(plan)
     day = resolve_today(today, tz)
     df = disambiguate(df)
@@ -97,8 +128,14 @@ def plan_rows(df: DataFrame, plan, today=None, tz: str = DEFAULT_TZ, strict: boo
     # Raw columns a user asks for that feed no canonical column ride along.
     raw_wanted = [c for c in (plan.output_columns or []) if c in df.columns and c not in sources]
     carry = [c for c in [*ties, *raw_wanted] if c not in CANONICAL_ORDER]
-    staged = stage(df, plan, match, parity, carry, notes, reuse_buckets)
-    filtered = apply_filters(staged, plan.filters, day, tz, strict, regex_contains, notes)
+    staged = stage(df, plan, match, parity, carry, notes, reuse_buckets, funnel)
+    if funnel is None:
+        filtered = apply_filters(staged, plan.filters, day, tz, strict, regex_contains, notes)
+    else:
+        filtered = funnel.tap(staged, after_drop=F.lit(True))
+        for i, f in enumerate(plan.filters, 1):
+            filtered = apply_filters(filtered, [f], day, tz, strict, regex_contains, notes)
+            filtered = funnel.tap(filtered, **{f"after_filter_{i}": F.lit(True)})
     return PlanRows(filtered, plan, ties, carry, resolved)
 
 
