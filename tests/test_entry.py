@@ -8,7 +8,7 @@ from tools.oracle_check import canon
 
 from conftest import SF001
 
-TABLES = ["orders", "customer", "nation", "documents"]
+TABLES = ["orders", "customer", "nation", "documents", "events"]
 
 
 def test_entry_smoke(spark):
