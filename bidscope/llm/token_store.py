@@ -2,7 +2,8 @@
 
 Documents are range-partitioned by id, encoded in order, and each partition
 writes one Arrow file: record batches whose rows are fixed-size lists of
-``SEQUENCE`` ids, of as many bits ``mask`` (an id, or padding at a file's
+``SEQUENCE`` ids (16 bits each, or 32 if the vocabulary has larger ids), of as
+many bits ``mask`` (an id, or padding at a file's
 end) and of bits ``first`` (a document starts).  A reader maps the file and
 finds sequence ``k`` of it in batch ``k // BATCH_ROWS``, row
 ``k % BATCH_ROWS``, without copying.  Documents are found again from the
@@ -43,11 +44,19 @@ BATCH_ROWS = 256
 MANIFEST = "part int, path string, n_docs long, n_ids long, n_sequences long"
 DOCUMENTS = "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long"
 
-# The vocabulary has fewer than 2 ** 16 ids.
-ID_TYPE = pa.uint16()
-SCHEMA = pa.schema([pa.field("ids", pa.list_(ID_TYPE, SEQUENCE)),
-                    pa.field("mask", pa.list_(pa.bool_(), SEQUENCE)),
-                    pa.field("first", pa.list_(pa.bool_(), SEQUENCE))])
+
+
+def id_type(n_ids: int) -> pa.DataType:
+    """The narrowest type that holds ``n_ids`` different ids."""
+    return pa.uint16() if n_ids <= 1 << 16 else pa.uint32()
+
+
+def sequence_schema(ids: pa.DataType) -> pa.Schema:
+    return pa.schema([pa.field("ids", pa.list_(ids, SEQUENCE)),
+                      pa.field("mask", pa.list_(pa.bool_(), SEQUENCE)),
+                      pa.field("first", pa.list_(pa.bool_(), SEQUENCE))])
+
+
 INDEX = pa.schema([pa.field("doc_id", pa.int64())])
 
 
@@ -62,14 +71,17 @@ FIRST = 2
 class SequenceWriter:
     """Cuts a stream of ids into full record batches of one Arrow file."""
 
-    def __init__(self, sink):
-        self.file = ipc.new_file(sink, SCHEMA)
+    def __init__(self, sink, n_ids: int):
+        self.type = id_type(n_ids)
+        self.number = np.dtype(self.type.to_pandas_dtype())
+        self.schema = sequence_schema(self.type)
+        self.file = ipc.new_file(sink, self.schema)
         self.ids, self.mask = [], []
         self.held = self.written = self.sequences = 0
 
     def add(self, ids: np.ndarray, mask: np.ndarray) -> None:
         """``mask``: FIRST for a document's first id, 1 for the others."""
-        self.ids.append(ids.astype(np.uint16))
+        self.ids.append(ids.astype(self.number))
         self.mask.append(mask)
         self.held += len(ids)
         self.written += len(ids)
@@ -81,10 +93,10 @@ class SequenceWriter:
         for first in range(0, n, SEQUENCE * BATCH_ROWS):
             last = min(n, first + SEQUENCE * BATCH_ROWS)
             self.file.write_batch(pa.record_batch([
-                pa.FixedSizeListArray.from_arrays(pa.array(ids[first:last], ID_TYPE), SEQUENCE),
+                pa.FixedSizeListArray.from_arrays(pa.array(ids[first:last], self.type), SEQUENCE),
                 *[pa.FixedSizeListArray.from_arrays(pa.array(bits), SEQUENCE)
                   for bits in (mask[first:last] > 0, mask[first:last] == FIRST)]],
-                schema=SCHEMA))
+                schema=self.schema))
             self.sequences += (last - first) // SEQUENCE
         self.ids, self.mask = [ids[n:]], [mask[n:]]
         self.held -= n
@@ -92,7 +104,7 @@ class SequenceWriter:
     def close(self) -> None:
         if self.held:
             pad = -self.held % SEQUENCE
-            self.ids.append(np.zeros(pad, np.uint16))
+            self.ids.append(np.zeros(pad, self.number))
             self.mask.append(np.zeros(pad, np.uint8))
             self.held += pad
             self._put(self.held)
@@ -109,15 +121,17 @@ def write_tokens(docs: DataFrame, out_dir: str, vocabulary: str | None = None,
         name = posixpath.join(out_dir, f"part-{part:07d}.arrow")
         store, path = _file_system(name)
         trial = f"{path}.{uuid.uuid4().hex}"
-        encode = encoder(vocabulary).encode
-        out = index = None
+        known = encoder(vocabulary)
+        encode, out, index = known.encode, None, None
         for batch in batches:
             for rows, texts in slices_of(batch):
                 if out is None:
                     store.create_dir(posixpath.dirname(path), recursive=True)
                     sink, index_sink = (store.open_output_stream(trial + end)
                                         for end in (".ids", ".docs"))
-                    out, index = SequenceWriter(sink), ipc.new_file(index_sink, INDEX)
+                    largest = max(known.library.get_vocab(True).values(), default=0)
+                    out = SequenceWriter(sink, 1 + max(largest, end_id))
+                    index = ipc.new_file(index_sink, INDEX)
                     n_docs = 0
                 ids, offsets = with_end(*encode(texts), end_id)
                 mask = np.ones(len(ids), np.uint8)

@@ -136,3 +136,20 @@ def test_search_beats_best_fit():
         assert fill.max() <= 2048 and fill.sum() == lengths.sum()
         assert (fill ** 2).sum() >= before
         assert len(np.unique(after)) <= len(np.unique(first))
+
+
+def test_ids_beyond_16_bits_are_kept(tmp_path):
+    import numpy as np
+    import pyarrow as pa
+    from bidscope.llm import token_store
+    for n_ids, kind in ((1 << 16, pa.uint16()), ((1 << 16) + 1, pa.uint32())):
+        path = str(tmp_path / f"{n_ids}.arrow")
+        ids = np.array([0, 1, n_ids - 1] * 1000, "<u4")
+        with pa.OSFile(path, "wb") as sink:
+            out = token_store.SequenceWriter(sink, n_ids)
+            out.add(ids, np.ones(len(ids), np.uint8))
+            out.close()
+        table = pa.ipc.open_file(path).read_all()
+        assert table.schema.field("ids").type.value_type == kind
+        flat = table["ids"].combine_chunks().flatten().to_numpy()
+        assert (flat[:len(ids)] == ids).all() and out.written == len(ids)
