@@ -10,11 +10,12 @@ fills grows with each step, until the bin is empty or no step is left.  Work
 is spread by groups; each group can waste part of one bin, which is a share
 of 1 / (bins of a group) of the whole.
 
-``pack_mixed`` keeps the order of mixing: pieces are numbered by their
-documents' slots and places, a group is a run of consecutive numbers, and
-sequences are numbered by group and in a group by the mean number of what they
-hold.  Sequences read in order of their ids therefore hold, up to the end of
-each group, exactly the documents that the schedule puts there.
+``pack_in_order`` keeps the order in which the documents stand (files by their
+part numbers): pieces are numbered in that order, a group is a run of
+consecutive numbers, and sequences are numbered by group and in a group by the
+mean number of what they hold.  Sequences read in order of their ids therefore
+hold, up to the end of each group, exactly the documents that stand there.
+``pack_mixed`` does so with the order of mixing, for documents in any order.
 
 Defined results: null text counts as empty (one end id, a piece of length
 1); rows with a null or repeated doc_id are packed as rows of their own; an
@@ -30,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import mixing
@@ -280,6 +282,27 @@ def pack_mixed(docs: DataFrame, target: dict[str, float] | None = None,
     return pack(materialize(numbered, "numbered-pieces"), capacity, group_pieces, "number")
 
 
+def pack_in_order(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None,
+                  with_ids: bool = False, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """Pieces of ``docs`` packed in the order in which the rows stand: of
+    tables read, the order of files (by part number, then name) and of the rows
+    in each; else that of partitions."""
+    names = [x.split()[0] for x in PIECES.split(", ")] + (["ids"] if with_ids else [])
+    # Which task reads a block does not matter: blocks are put in order here.
+    cut = materialize(cut_pieces(docs, capacity, vocabulary, with_ids=with_ids, carry={
+        "file": F.input_file_name(), "block": F.input_file_block_start()}).withColumn(
+        "at", F.monotonically_increasing_id()), "pieces")
+    block = ["file", "block", "task"]
+    cut = cut.withColumn("task", F.shiftright("at", 33))
+    part = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    before = Window.orderBy(part, *block).rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each block of a file.
+    first = cut.groupBy(*block).agg(F.count("*").alias("n"), F.min("at").alias("first")).select(
+        *block, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    numbered = cut.join(first, block).select(*names, (F.col("at") + F.col("shift")).alias("number"))
+    return pack(materialize(numbered, "numbered-pieces"), capacity, group_pieces, "number")
+
+
 def sequences(packed: DataFrame) -> DataFrame:
     """The packed sequences themselves (``packed`` with ids): one row each,
     ids in order of their offsets, at most a sequence's length."""

@@ -9,8 +9,8 @@ last return the columns of ``documents``.
 3. personal data: spans are replaced by their kinds;
 4. mixing: documents are written in the order of their blocks' slots;
 5. packing: one row per piece, with its sequence and place; groups and
-   sequence ids follow the mixing order, worked out again from the rows, so it
-   holds whatever order the Parquet files are read in.
+   sequence ids follow the order in which mixing wrote the documents, by the
+   part numbers of its files and the rows in each, whichever tasks read them.
 
 Null ids and texts, repeated rows, empty tables and further columns are
 treated as the operators' docstrings state.
@@ -40,7 +40,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_order(docs)
 
 
+def pack_in_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_in_order(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing and packing of documents that stand in any order."""
     return packing.pack_mixed(docs)
 
 
@@ -49,7 +54,7 @@ STAGES = [
     ("n-gram Jaccard join", near_duplicates),
     ("personal data", personal_data),
     ("mixing sources", mix_sources),
-    ("best-fit packing", pack),
+    ("best-fit packing", pack_in_order),
 ]
 
 # Near duplicates, contexts and packing are beyond SQL: tests/llm compares

@@ -1,3 +1,5 @@
+import pathlib
+import shutil
 from collections import Counter
 
 import corpus_pipeline
@@ -74,3 +76,38 @@ def test_long_documents_and_order_inside_a_group(spark):
 
 def test_empty(spark):
     assert packing.pack_mixed(documents(spark, [])).count() == 0
+
+
+def test_last_stage_follows_the_rows_as_mixing_wrote_them(spark, tmp_path):
+    docs = mixed_table(spark).repartition(4)
+    *_, (_, mix), (_, last) = corpus_pipeline.STAGES
+    mixed = mix(spark, docs, "")
+    # Files of very unequal size, so that they are read in another order.
+    at = {r.doc_id: i for i, r in enumerate(mixed.select("doc_id").collect())}
+    for turned in (False, True):
+        place = {i: 17_999 - p if turned else p for i, p in at.items()}
+        order = spark.createDataFrame(list(place.items()), "doc_id long, p long")
+        rows = docs.join(order, "doc_id").orderBy("p")
+        path = str(tmp_path / f"t{turned}")
+        for n in (100, 17_000, 18_000):
+            low = {100: 0, 17_000: 100, 18_000: 17_000}[n]
+            rows.where(f"p >= {low} and p < {n}").drop("p").select(*docs.columns).coalesce(1) \
+                .write.mode("append").parquet(f"{path}/{low}")
+        flat = tmp_path / f"f{turned}"
+        flat.mkdir()
+        for i, low in enumerate((0, 100, 17_000)):
+            [file] = pathlib.Path(f"{path}/{low}").glob("*.parquet")
+            shutil.copy(file, flat / f"part-{i:05d}-x.parquet")
+        groups = groups_of(last(spark, spark.read.parquet(str(flat)), "").collect())
+        assert len(groups) == 3
+        done = 0
+        for g in groups:
+            assert sorted(place[r.doc_id] for r in g) == list(range(done, done + len(g)))
+            done += len(g)
+        assert done == 18_000
+    # The stages as they run: the rows of the mixing stage, written and read.
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    groups = groups_of(last(spark, spark.read.parquet(str(tmp_path / "mixed")), "").collect())
+    assert [sorted(at[r.doc_id] for r in g) for g in groups] == [
+        list(range(a, a + len(g))) for a, g in zip((0, len(groups[0]), sum(map(len, groups[:2]))),
+                                                   groups)]
