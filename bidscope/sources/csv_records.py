@@ -9,8 +9,8 @@ and the same.  Such functions chain in any grouping, like prefix sums, so one
 aggregate gives the function of each block, a window over the blocks gives
 the state that each block starts in, and the records are then cut block by
 block in one scan in file order.  Records that cross a block's edge leave
-fragments; only the blocks beside such an edge are read once more to join
-them.
+fragments.  Where there are any, what is cut is written once to the scratch
+folder, so headers and fragments are taken from there and no file is cut again.
 
 The same aggregate (``block_facts``) tells whether a file is valid UTF-8 and
 what its first line is; blank lines outside quotes are skipped as a CSV
@@ -34,6 +34,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 BOM = b"\xef\xbb\xbf"
 # States between two quotes of a line.
 _OUTSIDE, _INSIDE, _CLOSED, _START = 0, 1, 2, 3
@@ -115,8 +117,8 @@ def _key(*columns: str) -> Column:
 class Cutter:
     """Cuts the lines of one task, in file order, into records."""
 
-    def __init__(self, inside: np.ndarray, late: dict[int, int], edges: bool):
-        self.inside, self.late, self.edges = set(inside.tolist()), late, edges
+    def __init__(self, inside: np.ndarray, late: dict[int, int]):
+        self.inside, self.late = set(inside.tolist()), late
         self.file = self.block = None
         self.open: list[bytes] = []
 
@@ -132,9 +134,6 @@ class Cutter:
         self._keep(head, tail, text, header)
 
     def _keep(self, head: bool, tail: bool, text: bytes, header: bool) -> None:
-        whole = not head and not tail
-        if whole == self.edges:
-            return
         self.out.append((self.file, self.block, self.row, head, tail, header, text))
         self.row += 1
 
@@ -200,11 +199,11 @@ _CUT = ("file long, block long, row long, head boolean, tail boolean, header boo
         "record binary")
 
 
-def _cut(lines: DataFrame, inside: np.ndarray, late: dict[int, int], edges: bool) -> DataFrame:
+def _cut(lines: DataFrame, inside: np.ndarray, late: dict[int, int]) -> DataFrame:
     sent = lines.sparkSession.sparkContext.broadcast((inside, late))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(*sent.value, edges)
+        cutter = Cutter(*sent.value)
 
         def table(rows: list) -> Iterator[pa.RecordBatch]:
             if rows:
@@ -227,35 +226,25 @@ def _cut(lines: DataFrame, inside: np.ndarray, late: dict[int, int], edges: bool
     return plain.mapInArrow(cut, _CUT)
 
 
-def records(lines: DataFrame, facts: DataFrame) -> DataFrame:
+def records(lines: DataFrame, facts: DataFrame, headers: bool = False) -> DataFrame:
     """(file, block, row, header, record): every record that is not blank, as
     bytes; ``file`` is the hash of its path, and (block, row) is its place in
-    the file.  ``header`` marks the first record of each file."""
+    the file.  ``header`` marks the first record of each file; with ``headers``
+    they are looked up, beside the records."""
     inside = inside_blocks(facts)
     keys = np.array([r.key for r in inside.select(_key("path", "block").alias("key")).collect()],
                     np.int64)
     late = {r.file: r.block for r in facts.where("first is not null").groupBy("path").agg(
         F.min("block").alias("block")).where("block > 0").select(
         _key("path").alias("file"), "block").collect()}
-    whole = _cut(lines, keys, late, False).select("file", "block", "row", "header", "record")
+    cut = _cut(lines, keys, late)
+    if not len(keys) and not headers:
+        return cut.select("file", "block", "row", "header", "record")
+    cut = materialize(cut, "csv-records")
+    whole = cut.where("not head and not tail").select("file", "block", "row", "header", "record")
     if not len(keys):
         return whole
-    # The blocks that start inside a field, and those before them.
-    near = facts.select("path", "block", F.lead("block").over(
-        Window.partitionBy("path").orderBy("block")).alias("next")).join(
-        inside.select("path", F.col("block").alias("crossed")), "path").where(
-        "crossed = block or crossed = next").select("path", "block").distinct()
-    near = {r.key for r in near.select(_key("path", "block").alias("key")).collect()}
-    chosen = lines.sparkSession.sparkContext.broadcast(np.sort(np.array(list(near), np.int64)))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.isin(batch.column("key").to_numpy(), chosen.value)
-            yield batch.filter(pa.array(keep))
-
-    fields = lines.select("*", _key("path", "block").alias("key"))
-    picked = fields.mapInArrow(pick, fields.schema)
-    parts = _cut(picked, keys, late, True)
+    parts = cut.where("head or tail")
     # A record is its tail fragment and the heads behind it.
     order = Window.partitionBy("file").orderBy("block", "row")
     parts = parts.withColumn("group", F.sum(F.col("tail").cast("int")).over(order))

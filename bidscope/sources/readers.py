@@ -152,9 +152,10 @@ def _from_records(spark: SparkSession, lines: DataFrame, facts: DataFrame, latin
     """Columns of records cut from the lines, whatever headers and encodings
     the files have: one scan, one projection."""
     kinds = _file_kinds(facts)
-    found = records(lines, facts)
+    long_headers = kinds.where("first_opens").limit(1).count() > 0
+    found = records(lines, facts, long_headers)
     heads = kinds
-    if kinds.where("first_opens").limit(1).count():
+    if long_headers:
         # A header of several lines: take it from the records.
         first = found.where("header").select("file", F.col("record").alias("whole"))
         heads = kinds.join(first, "file", "left").withColumn(

@@ -120,3 +120,25 @@ def test_empty_files(spark, tmp_path):
     (tmp_path / "c.csv").write_text("A,B\n")
     got = readers.read_csv(spark, str(tmp_path))
     assert got.columns == ["A", "B"] and got.count() == 0
+
+
+def test_files_are_cut_once_however_often_records_are_read(spark, tmp_path):
+    """A header of two lines and fields across blocks: headers, whole records
+    and joined ones all come from what one pass has cut."""
+    from bidscope.sources import csv_records
+    (tmp_path / "a.csv").write_bytes(b'"x\ny",z\n' + b"".join(
+        b'"%d\n\nq",%d\n' % (i, i) for i in range(400)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        lines = csv_records.raw_lines(spark, str(tmp_path))
+        facts = csv_records.block_facts(lines).cache()
+        found = csv_records.records(lines, facts, True)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan
+        rows = found.orderBy("block", "row").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.header for r in rows].count(True) == 1
+    assert sorted(bytes(r.record) for r in rows) == sorted(
+        [b'"x\ny",z', *(b'"%d\n\nq",%d' % (i, i) for i in range(400))])
