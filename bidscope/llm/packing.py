@@ -30,6 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -289,9 +290,16 @@ def pack_in_order(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | N
     in each; else that of partitions."""
     names = [x.split()[0] for x in PIECES.split(", ")] + (["ids"] if with_ids else [])
     # Which task reads a block does not matter: blocks are put in order here.
-    cut = materialize(cut_pieces(docs, capacity, vocabulary, with_ids=with_ids, carry={
-        "file": F.input_file_name(), "block": F.input_file_block_start()}).withColumn(
-        "at", F.monotonically_increasing_id()), "pieces")
+    stand = {"file": F.input_file_name(), "block": F.input_file_block_start()}
+    try:
+        docs.select(*stand.values())
+    except AnalysisException as e:
+        if "MULTI_SOURCES" not in str(e):
+            raise
+        # Rows of a join stand in no file.
+        stand = {"file": F.lit(""), "block": F.lit(-1).cast("long")}
+    cut = materialize(cut_pieces(docs, capacity, vocabulary, with_ids=with_ids, carry=stand)
+                      .withColumn("at", F.monotonically_increasing_id()), "pieces")
     block = ["file", "block", "task"]
     cut = cut.withColumn("task", F.shiftright("at", 33))
     part = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).try_cast("long")
