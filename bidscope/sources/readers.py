@@ -13,7 +13,7 @@ import io
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,16 +52,25 @@ def null_tokens(df: DataFrame, tokens: Sequence[str] = PANDAS_NA_TOKENS) -> Data
     return df.select(*cols)
 
 
+def _beyond_64_bits(whole: Column) -> Column:
+    """Whether a whole number, as text, needs more than 64 bits.  Its digits
+    tell: a cast that does not fit costs an exception per value."""
+    digits = F.regexp_extract(whole, r"^\s*[+-]?0*([0-9]*)", 1)
+    most = F.when(F.contains(whole, F.lit("-")), str(1 << 63)).otherwise(str((1 << 63) - 1))
+    size = F.length(digits)
+    return (F.length(whole) > 18) & ((size > 19) | ((size == 19) & (digits > most)))
+
+
 def _fit_counts(names: Sequence[str]) -> list:
-    """Per text column: its values, and how many are no whole number, no whole
-    number of 64 bits, no number, no truth value (Spark's casts take more,
-    such as ``12D``)."""
+    """Per text column: its values, and how many are no whole number, whole
+    numbers beyond 64 bits, no number, no truth value (Spark's casts take
+    more, such as ``12D``)."""
     aggs = []
     for i, name in enumerate(names):
         c = col_ref(name)
         aggs += [F.count(c).alias(f"n{i}"),
                  F.count(F.when(~c.rlike(WHOLE), 1)).alias(f"w{i}"),
-                 F.count(F.when(c.try_cast("bigint").isNull() & c.isNotNull(), 1)).alias(f"l{i}"),
+                 F.count(F.when(c.rlike(WHOLE) & _beyond_64_bits(c), 1)).alias(f"l{i}"),
                  F.count(F.when(~c.rlike(NUMBER), 1)).alias(f"d{i}"),
                  F.count(F.when(~c.isin(*TRUTHS), 1)).alias(f"b{i}")]
     return aggs

@@ -142,3 +142,22 @@ def test_files_are_cut_once_however_often_records_are_read(spark, tmp_path):
     assert [r.header for r in rows].count(True) == 1
     assert sorted(bytes(r.record) for r in rows) == sorted(
         [b'"x\ny",z', *(b'"%d\n\nq",%d' % (i, i) for i in range(400))])
+
+
+def test_types_by_digits_without_a_cast_per_value(spark, tmp_path):
+    """Whole numbers at the edges of 64 bits; counting casts no value, as a
+    cast that fails costs an exception."""
+    fits = ["9223372036854775807", "-9223372036854775808", " +0000000000000000000000012 ", "-0",
+            "\t09223372036854775807"]
+    beyond = ["9223372036854775808", "-9223372036854775809", "+99999999999999999999", "1" * 40]
+    df = spark.createDataFrame([(v,) for v in fits + beyond], "v string")
+    got = df.select("v", readers._beyond_64_bits(df.v).alias("b"),
+                    df.v.try_cast("bigint").isNull().alias("want")).collect()
+    assert [r.b for r in got] == [r.want for r in got] == [False] * 5 + [True] * 4
+    counted = df.agg(*readers._fit_counts(["v"]))
+    assert "cast" not in counted._jdf.queryExecution().optimizedPlan().toString()
+    for name, values, kind in (("f", fits, "bigint"), ("b", ["1", *beyond], "string"),
+                               ("m", ["x", *beyond], "string"), ("d", ["1.5", *beyond], "double")):
+        path = tmp_path / f"{name}.csv"
+        path.write_text("k,v\n" + "".join(f"a,{v}\n" for v in values))
+        assert dict(readers.read_csv(spark, str(path)).dtypes)["v"] == kind
